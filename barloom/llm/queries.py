@@ -6,11 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import round_trip_digest
 from .common import table
 from .exact_dedup import exact_dedup
+from .langid import language_report
+from .mixing import mixed_digest
 from .simhash import simhash_dedup
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizer files are installed on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_digest(table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_digest(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
@@ -20,10 +42,44 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op9_simhash_dedup, op10_exact_dedup)
+    f.__name__: f for f in (op1_mix_sources, op2_language_id, op6_bpe_round_trip, op9_simhash_dedup, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": """
+        WITH RECURSIVE docs AS (
+            SELECT doc_id, source, coalesce(text, '') AS text, coalesce('s' || source, 'n') AS key FROM documents
+        ), sizes AS (
+            SELECT key, sum(length(text)) AS size FROM docs GROUP BY key HAVING sum(length(text)) > 0
+        ), rates AS (
+            SELECT key, pow(size::DOUBLE, 0.5) / (SELECT sum(pow(size::DOUBLE, 0.5)) FROM sizes)
+                        * (SELECT sum(size) FROM sizes)::DOUBLE / size AS rate
+            FROM sizes
+        ), draws AS (
+            SELECT key, greatest(1, ceil(rate / 32.0))::INT AS draws, rate / greatest(1, ceil(rate / 32.0)) AS mean FROM rates
+        ), cdf AS (
+            SELECT key, mean, draws, 0 AS j, exp(-mean) AS p, exp(-mean) AS c FROM draws
+            UNION ALL
+            SELECT key, mean, draws, j + 1, p * mean / (j + 1), c + p * mean / (j + 1) FROM cdf
+            WHERE j < ceil(mean + 12 * sqrt(mean) + 30)
+        ), tables AS (
+            SELECT key, any_value(draws) AS draws, list(c ORDER BY j) AS cdf FROM cdf GROUP BY key
+        ), drawn AS (
+            SELECT doc_id, source, text, cdf, unnest(range(1, draws + 1)) AS i FROM docs JOIN tables USING (key)
+        ), hashed AS (
+            SELECT *, ('0x' || substr(md5('17:' || i || ':' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM drawn
+        ), counted AS (
+            SELECT doc_id, any_value(source) AS source, any_value(text) AS text,
+                   sum(len(list_filter(cdf, lambda c: c < u)))::BIGINT AS n_copies
+            FROM hashed GROUP BY doc_id
+        ), copies AS (
+            SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM counted
+        )
+        SELECT doc_id, copy, n_copies, source,
+               ('0x' || substr(md5('17:mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy), 1, 15))::BIGINT AS mix_key,
+               sha256(text) AS text_sha256
+        FROM copies
+    """,
     "op10_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
