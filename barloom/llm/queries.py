@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import round_trip_digest
 from .common import table
+from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .langid import language_report
+from .line_dedup import line_report
 from .mixing import mixed_digest
+from .quality import quality_report
 from .simhash import simhash_dedup
+from .suffix_dedup import suffix_report
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -29,10 +33,26 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op4_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_report(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
@@ -42,7 +62,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_language_id, op6_bpe_round_trip, op9_simhash_dedup, op10_exact_dedup)
+    f.__name__: f for f in (
+        op1_mix_sources, op2_language_id, op3_embedding_dedup, op4_quality_perplexity, op6_bpe_round_trip,
+        op7_suffix_dedup, op8_line_dedup, op9_simhash_dedup, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
