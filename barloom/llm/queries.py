@@ -10,6 +10,7 @@ from .bpe import round_trip_digest
 from .common import table
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
+from .html_extract import page_report
 from .langid import language_report
 from .line_dedup import line_report
 from .mixing import mixed_digest
@@ -41,6 +42,10 @@ def op4_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_report(table(spark, sf_dir, "pages"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -63,7 +68,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_mix_sources, op2_language_id, op3_embedding_dedup, op4_quality_perplexity, op6_bpe_round_trip,
+        op1_mix_sources, op2_language_id, op3_embedding_dedup, op4_quality_perplexity, op5_html_extract, op6_bpe_round_trip,
         op7_suffix_dedup, op8_line_dedup, op9_simhash_dedup, op10_exact_dedup)
 }
 
