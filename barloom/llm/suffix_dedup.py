@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_runs, run_starts, stash
+from .common import bounded_batches, key_runs, run_starts, stash
 
 #: Bytes of a k-gram whose hash picks the anchor of a window.
 GRAM = 32
@@ -18,9 +18,11 @@ GRAM = 32
 PIECE = 1 << 19
 _POS = np.uint64((1 << 20) - 1)
 #: Bytes of one shard of segments.
-SHARD = 1 << 22
+SHARD = 1 << 20
 #: Segments of one anchor in a shard; those of a more frequent anchor fill several shards.
 SEGMENTS = 2048
+#: Places of the anchor in a shared window that are told apart before segments are compared.
+CASES = 4
 #: Segments found in more than 1/HOT of all places are joined by broadcast: there are at most HOT.
 HOT = 1000
 _GAP = 0xFF  # no byte of UTF-8
@@ -66,16 +68,21 @@ def segments(data: bytes, length: int) -> tuple[list[tuple], list[tuple[int, int
     """The distinct segments of a text, and the spans of those it holds twice.
 
     A segment is the bytes of a run of windows with one anchor: (anchor hash,
-    two halves of the segment's fingerprint, start, windows, times).
+    two halves of the segment's fingerprint, start, windows, times, keys).  Two
+    segments that share a window share the bytes around the anchor that lie in
+    the window whichever way it lies: one of CASES stretches, whose hashes are
+    the keys.
     """
+    step = -(-(length - GRAM) // CASES)
     found: dict[bytes, list] = {}
     spans: list[tuple[int, int]] = []
     for at, piece in _pieces(data, length):
-        for s, n, _, h in zip(*(x.tolist() for x in anchors(piece, length))):
+        for s, n, a, h in zip(*(x.tolist() for x in anchors(piece, length))):
             s += at
+            a += at
             fp = xxhash.xxh3_128_digest(data[s: s + n + length - 1])
             if (seen := found.get(fp)) is None:
-                found[fp] = [h, s, n, 1]
+                found[fp] = [h, s, n, 1, a]
                 continue
             if seen[3] == 1:
                 spans.append((seen[1], seen[1] + n + length - 1))
@@ -86,14 +93,20 @@ def segments(data: bytes, length: int) -> tuple[list[tuple], list[tuple[int, int
             else:
                 spans.append((s, end))
     out = []
-    for fp, (h, s, n, times) in found.items():
-        a, b = np.frombuffer(fp, np.int64).tolist()
-        out.append((int(np.uint64(h).view(np.int64)), a, b, s, n, times))
+    for fp, (h, s, n, times, a) in found.items():
+        f1, f2 = np.frombuffer(fp, np.int64).tolist()
+        keys = []
+        for j in range(CASES):
+            lo = a - step * j
+            hi = lo + length - step
+            if lo >= s and hi <= s + n + length - 1:
+                keys.append(int(np.uint64(xxhash.xxh3_64_intdigest(data[lo:hi], j)).view(np.int64)))
+        out.append((int(np.uint64(h).view(np.int64)), f1, f2, s, n, times, keys))
     return out, spans
 
 
-def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in the order of their first ``depth`` bytes at least, and each one's rank.
+def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order, and each one's place.
 
     Larsson-Sadakane refinement: suffixes start sorted by eight bytes; each round
     sorts the groups that are still undecided by the rank of what follows, which
@@ -117,7 +130,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     h = 8
     open_ = np.repeat(sizes > 1, sizes)
     at = np.flatnonzero(open_)
-    while len(at) and h < depth:
+    while len(at):
         suffix = order[at]
         group = rank[suffix]
         nxt = suffix + h
@@ -171,7 +184,7 @@ def repeated_windows(parts: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     text = np.frombuffer(bytes([_GAP]).join(parts) + bytes([_GAP]), np.uint8)
     starts = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
     windows = size - length + 1
-    order, place = suffix_array(text, length)
+    order, place = suffix_array(text)
     lcp = common_prefixes(text, order, place, starts, windows, length)
     seg = np.repeat(np.arange(len(parts)), size + 1)
     inside = np.arange(len(text)) - starts[seg]
@@ -204,36 +217,42 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, t, s, e): byte spans that together cover what is to be removed; t is a hash of the text."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
+    bounded_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["id", "t", "h", "f1", "f2", "s", "n", "times"]
+        columns = ["id", "t", "h", "f1", "f2", "s", "n", "times", "keys"]
         for batch in batches:
             out: list[tuple] = []
             for i, t, body in zip(batch["id"], batch["t"], batch["body"]):
                 segs, spans = segments(body.encode("utf-8", "surrogatepass"), length)
                 out += [(i, t, *x) for x in segs]
-                out += [(i, t, 0, 0, 0, s, e - s - length + 1, 0) for s, e in spans]
+                out += [(i, t, 0, 0, 0, s, e - s - length + 1, 0, None) for s, e in spans]
             yield pd.DataFrame(out, columns=columns)
 
-    cutted = stash(keyed.select("id", "t", "body").mapInPandas(cut, "id long, t long, h long, f1 long, f2 long, s long, n long, times long"))
+    cutted = stash(keyed.select("id", "t", "body").mapInPandas(cut, "id long, t long, h long, f1 long, f2 long, s long, n long, times long, keys array<long>"))
     held = cutted.where("times > 0")
     own = cutted.where("times = 0").select("id", "t", "s", (F.col("s") + F.col("n") + length - 1).alias("e"))
     # Equal segments become one with a count, wherever they lie: all their windows repeat.
     seg = ["h", "f1", "f2"]
-    kinds = stash(held.groupBy(*seg).agg(F.sum("times").alias("m"), F.min(F.struct("id", "t", "s", "n")).alias("one")))
+    kinds = stash(held.groupBy(*seg).agg(F.sum("times").alias("m"), F.min(F.struct("id", "t", "s", "n", "keys")).alias("one")))
     multi = kinds.where("m > 1").select(*seg, "m")
     total = multi.agg(F.sum("m")).first()[0] or 0
     hot = multi.where(F.col("m") * HOT > total).select(*seg)
     rest = multi.where(F.col("m") * HOT <= total).select(*seg)
     copies = held.join(F.broadcast(hot), seg, "left_semi").unionByName(held.join(F.broadcast(hot), seg, "left_anti").join(rest, seg, "left_semi"))
     copied = copies.select("id", "t", "s", (F.col("s") + F.col("n") + length - 1).alias("e"))
-    # Different segments of one anchor can share windows, if one of them is not covered yet.
-    unsure = kinds.groupBy("h").agg(F.count("*").alias("d"), F.min("m").alias("least"), F.sum(F.col("one.n") + length).alias("bytes")).where("d > 1 AND least = 1")
-    unsure = stash(unsure.select("h", "d", "bytes"))
-    shards = (unsure.agg(F.sum("bytes")).first()[0] or 0) // SHARD + 1
+    # Different segments of one anchor can share windows, if one of them is not covered yet
+    # and they agree in one of the stretches around the anchor.
+    unsure = kinds.groupBy("h").agg(F.count("*").alias("d"), F.min("m").alias("least")).where("d > 1 AND least = 1").select("h")
+    near = stash(kinds.join(unsure, "h").select("h", "f1", "f2", "m", "one"))
+    keyed_near = near.select("h", "f1", "f2", "m", F.explode("one.keys").alias("key"))
+    shared = keyed_near.groupBy("h", "key").agg(F.count("*").alias("d"), F.min("m").alias("least")).where("d > 1 AND least = 1").select("h", "key")
+    close = stash(keyed_near.join(shared, ["h", "key"]).select("h", "f1", "f2").distinct())
+    sizes = stash(close.groupBy("h").agg(F.count("*").alias("d")))
+    shards = (close.count() * (length + (length - GRAM) // 2)) // SHARD + 1
     subs = F.ceil(F.col("d") / SEGMENTS).cast("long")
-    wanted = kinds.join(unsure, "h").select(
+    wanted = near.join(close, seg, "left_semi").join(sizes, "h").select(
         "h", subs.alias("subs"), "one.id", "one.t", "one.s", "one.n", (F.col("m") > 1).alias("known"),
         F.when(subs > 1, F.xxhash64("h", F.pmod(F.xxhash64("f1", "f2"), subs))).otherwise(F.pmod("h", F.lit(shards))).alias("shard"))
     by_doc = wanted.groupBy("id", "t").agg(F.collect_list(F.struct("h", "subs", "s", "n", "known", "shard")).alias("wanted"))
