@@ -248,33 +248,52 @@ def _few(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def _allowance(length: Column, short: float) -> Column:
+    """What the perplexity of a short text, the mean of few numbers, may exceed that of a long one by."""
+    return 1 + short / F.sqrt(length.cast("double") + 1)
+
+
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             lang_col: str = "lang", quantile: float = 0.99, slack: float = 1.15,
+             lang_col: str = "lang", quantile: float = 0.99, slack: float = 1.3, short: float = 4.0, hold_out: int = 4,
              max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """The input's columns in a struct ``row``, with trusted, perplexity, threshold and kept.
 
-    ``trusted_ids`` has the ids (column ``id_col``) of trusted documents; the
-    model is trained on all of their text.  A language's threshold is ``slack``
-    times the ``quantile`` of the perplexities of its trusted documents (all of
-    them, by a mergeable quantile summary); texts above it are rejected.  A
-    language, or null, without trusted documents takes the threshold over all of
-    them; without any trusted document all rows are kept and have no threshold.
-    Null and empty texts consist of their end alone and are scored as such;
-    repeated ids are rows of their own; an empty table gives an empty result.
+    ``trusted_ids`` has the ids (column ``id_col``) of trusted documents.  One in
+    ``hold_out`` of them, by a hash of the id, is held out (0: none) and the model
+    is trained on all text of the others.  A language's limit is ``slack`` times
+    the ``quantile`` of the perplexities of its held-out documents (all of them,
+    by a mergeable quantile summary), each over its allowance for short texts,
+    1 + ``short`` / sqrt(characters + 1); a document's threshold is the limit
+    times its own allowance, and texts above it are rejected.  A language, or
+    null, without held-out documents takes the limit over all of them; where none
+    are held out, all trusted documents set the limits; without any trusted
+    document all rows are kept and have no threshold.  Null and empty texts
+    consist of their end alone and are scored as such; repeated ids are rows of
+    their own; an empty table gives an empty result.
     """
     ids = cut_lineage(trusted_ids.select(F.col(id_col).alias("trusted_id")).where("trusted_id IS NOT NULL").distinct())
     packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("body"),
                          F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("language"))
+    held_out = F.pmod(F.xxhash64("id"), F.lit(hold_out)) == 0 if hold_out else F.lit(False)
     flagged = packed.join(F.broadcast(ids) if _few(ids, MAX_TRUSTED) else ids, F.col("id") == F.col("trusted_id"), "left").select(
-        "row", "body", "language", F.col("trusted_id").isNotNull().alias("trusted"))
-    model = LanguageModel(flagged, F.col("trusted"), "body", max_broadcast)
-    good = model.score(flagged.where("trusted").select("body", "language"), "body").select("row.language", "perplexity")
-    limits = good.groupBy("language").agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("own"))
-    limits = cut_lineage(limits)
-    overall = good.agg(F.percentile_approx("perplexity", quantile, 10_000) * slack).first()[0]
+        "row", "body", "language", F.col("trusted_id").isNotNull().alias("trusted"), held_out.alias("held_out"))
+    model = LanguageModel(flagged, F.expr("trusted AND NOT held_out"), "body", max_broadcast)
+    size = F.length(F.coalesce("row.body", F.lit("")))
+
+    def limits_of(rows: Column) -> tuple[DataFrame, float | None]:
+        good = model.score(flagged.where(rows).select("body", "language"), "body").select(
+            "row.language", (F.col("perplexity") / _allowance(size, short)).alias("perplexity"))
+        good = cut_lineage(good)
+        limit = F.percentile_approx("perplexity", quantile, 10_000) * slack
+        return cut_lineage(good.groupBy("language").agg(limit.alias("own"))), good.agg(limit).first()[0]
+
+    limits, overall = limits_of(F.expr("trusted AND held_out"))
+    if overall is None:
+        limits, overall = limits_of(F.col("trusted"))
     scored = model.score(flagged, "body").select("row.*", "perplexity")
     joined = scored.join(F.broadcast(limits) if _few(limits, MAX_LANGUAGES) else limits, "language", "left")
-    threshold = F.coalesce("own", F.lit(overall).cast("double"))
+    allowance = _allowance(F.length(F.coalesce("body", F.lit(""))), short)
+    threshold = F.coalesce("own", F.lit(overall).cast("double")) * allowance
     return joined.select("row", "trusted", "perplexity", threshold.alias("threshold"),
                          F.coalesce(F.col("perplexity") <= threshold, F.lit(True)).alias("kept"))
 
