@@ -13,13 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.bars import SERIES
+from ..operators.bars import series
 
 Stage = dict[str, Column]
 
 
 def _w(n: int):
-    return SERIES.rowsBetween(-(n - 1), 0)
+    return series().rowsBetween(-(n - 1), 0)
 
 
 def _full(n: int, x: Column) -> Column:
@@ -34,7 +34,7 @@ def roll(kind: str, x: str, n: int, lead: int = 0) -> Column:
 
 def wma(x: str, n: int, lead: int = 0) -> Column:
     """Weights 1..n, the newest heaviest: a weighted sum of lags, so no array is built."""
-    total = sum((F.lag(x, k).over(SERIES) if k else F.col(x)) * float(n - k) for k in range(n))
+    total = sum((F.lag(x, k).over(series()) if k else F.col(x)) * float(n - k) for k in range(n))
     return _full(n + lead, total / (n * (n + 1) / 2))
 
 
@@ -77,12 +77,12 @@ def _cci(n: int) -> list[Stage]:
 
 
 def _roc(n: int) -> list[Stage]:
-    before = F.lag("close", n).over(SERIES)
+    before = F.lag("close", n).over(series())
     return [{f"ROC_{n}": 100 * _div(F.col("close") - before, before)}]
 
 
 def _mom(n: int) -> list[Stage]:
-    return [{f"MOM_{n}": F.col("close") - F.lag("close", n).over(SERIES)}]
+    return [{f"MOM_{n}": F.col("close") - F.lag("close", n).over(series())}]
 
 
 def _cmo(n: int) -> list[Stage]:
@@ -102,21 +102,21 @@ def _ao(a: int, b: int) -> list[Stage]:
 
 
 def _kst(r: tuple[int, ...] = (10, 15, 20, 30), s: tuple[int, ...] = (10, 10, 10, 15), signal: int = 9) -> list[Stage]:
-    rocs = {f"_kst{i}": _div(F.col("close") - F.lag("close", n).over(SERIES), F.lag("close", n).over(SERIES)) for i, n in enumerate(r)}
+    rocs = {f"_kst{i}": _div(F.col("close") - F.lag("close", n).over(series()), F.lag("close", n).over(series())) for i, n in enumerate(r)}
     line = 100 * sum((i + 1) * roll("avg", f"_kst{i}", m, n) for i, (n, m) in enumerate(zip(r, s)))
     return [rocs, {"KST": line}, {"KSTs": roll("avg", "KST", signal, r[3] + s[3] - 1)}]
 
 
 def _coppock(fast: int, slow: int, n: int) -> list[Stage]:
     def roc(k: int) -> Column:
-        return 100 * _div(F.col("close") - F.lag("close", k).over(SERIES), F.lag("close", k).over(SERIES))
+        return 100 * _div(F.col("close") - F.lag("close", k).over(series()), F.lag("close", k).over(series()))
 
     return [{"_coppock": roc(fast) + roc(slow)}, {f"COPC_{fast}_{slow}_{n}": wma("_coppock", n, slow)}]
 
 
 def _aroon(n: int) -> list[Stage]:
     """Bars since the extreme of the last n + 1; of equal extremes the oldest counts."""
-    w = SERIES.rowsBetween(-n, 0)
+    w = series().rowsBetween(-n, 0)
 
     def since(x: str, best: Callable) -> Column:
         place = F.array_position(F.collect_list(x).over(w), best(x).over(w))
@@ -128,7 +128,7 @@ def _aroon(n: int) -> list[Stage]:
 
 def _linreg(n: int) -> list[Stage]:
     """Slope over the n closes before this bar."""
-    return [{f"LR_{n}": F.when(F.col("rn") > n, F.regr_slope("close", F.col("rn").cast("double")).over(SERIES.rowsBetween(-n, -1)))}]
+    return [{f"LR_{n}": F.when(F.col("rn") > n, F.regr_slope("close", F.col("rn").cast("double")).over(series().rowsBetween(-n, -1)))}]
 
 
 def _ichimoku(a: int, b: int, c: int) -> list[Stage]:
@@ -161,12 +161,12 @@ def _donchian(n: int) -> list[Stage]:
 
 
 def _obv() -> list[Stage]:
-    step = F.coalesce(F.signum(F.col("close") - F.lag("close").over(SERIES)), F.lit(1.0)) * F.col("volume")
-    return [{"_obv": step}, {"OBV": F.sum("_obv").over(SERIES.rowsBetween(Window.unboundedPreceding, 0))}]
+    step = F.coalesce(F.signum(F.col("close") - F.lag("close").over(series())), F.lit(1.0)) * F.col("volume")
+    return [{"_obv": step}, {"OBV": F.sum("_obv").over(series().rowsBetween(Window.unboundedPreceding, 0))}]
 
 
 def _ad() -> list[Stage]:
-    return [{"AD": F.sum("_mfv").over(SERIES.rowsBetween(Window.unboundedPreceding, 0))}]
+    return [{"AD": F.sum("_mfv").over(series().rowsBetween(Window.unboundedPreceding, 0))}]
 
 
 def _cmf(n: int) -> list[Stage]:
@@ -180,13 +180,13 @@ def _mfi(n: int) -> list[Stage]:
 
 def _volume_index(name: str, fits: Callable[[Column, Column], Column]) -> list[Stage]:
     """A running product from 1000 over the bars whose volume fits, as the exponential of summed logarithms."""
-    before, old = F.lag("volume").over(SERIES), F.lag("close").over(SERIES)
+    before, old = F.lag("volume").over(series()), F.lag("close").over(series())
     step = F.when(F.coalesce(fits(F.col("volume"), before), F.lit(False)), F.log(F.try_divide(F.col("close"), old))).otherwise(0.0)
-    return [{f"_{name}": step}, {name: 1000 * F.exp(F.sum(f"_{name}").over(SERIES.rowsBetween(Window.unboundedPreceding, 0)))}]
+    return [{f"_{name}": step}, {name: 1000 * F.exp(F.sum(f"_{name}").over(series().rowsBetween(Window.unboundedPreceding, 0)))}]
 
 
 def _pivots() -> list[Stage]:
-    h, lo, c = (F.lag(x).over(SERIES) for x in ("high", "low", "close"))
+    h, lo, c = (F.lag(x).over(series()) for x in ("high", "low", "close"))
     p = (h + lo + c) / 3
     return [{"PIVOT_S1": 2 * p - h, "PIVOT_S2": p - (h - lo), "PIVOT_S3": lo - 2 * (h - p), "PIVOT_P": p, "PIVOT_R1": 2 * p - lo, "PIVOT_R2": p + (h - lo), "PIVOT_R3": h + 2 * (p - lo)}]
 
@@ -205,7 +205,7 @@ def _atr_simple(n: int) -> list[Stage]:
 
 
 def _vwap() -> list[Stage]:
-    w = SERIES.rowsBetween(Window.unboundedPreceding, 0)
+    w = series().rowsBetween(Window.unboundedPreceding, 0)
     return [{"VWAP": _div(F.sum("_tpv").over(w), F.sum("volume").over(w))}]
 
 
@@ -226,8 +226,8 @@ FAMILIES: dict[str, list[tuple]] = {
 
 
 def _base(bars: DataFrame) -> DataFrame:
-    before = {c: F.lag(c).over(SERIES) for c in ("high", "low", "close")}
-    rows = bars.withColumns({"rn": F.row_number().over(SERIES), **{f"_p{c}": x for c, x in before.items()}})
+    before = {c: F.lag(c).over(series()) for c in ("high", "low", "close")}
+    rows = bars.withColumns({"rn": F.row_number().over(series()), **{f"_p{c}": x for c, x in before.items()}})
     h, lo, c, pc = F.col("high"), F.col("low"), F.col("close"), F.col("_pclose")
     tp = (h + lo + c) / 3
     known = pc.isNotNull()

@@ -5,27 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .bars import SERIES
+from .bars import series
 
 
-def rows_back(n: int, over: WindowSpec = SERIES) -> WindowSpec:
-    return over.rowsBetween(-(n - 1), 0)
+def rows_back(n: int, over: WindowSpec | None = None) -> WindowSpec:
+    return (over or series()).rowsBetween(-(n - 1), 0)
 
 
-def expanding(over: WindowSpec = SERIES) -> WindowSpec:
-    return over.rowsBetween(Window.unboundedPreceding, 0)
+def expanding(over: WindowSpec | None = None) -> WindowSpec:
+    return (over or series()).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def pct_change(x: str, k: int = 1, over: WindowSpec = SERIES) -> Column:
-    before = F.lag(x, k).over(over)
+def pct_change(x: str, k: int = 1, over: WindowSpec | None = None) -> Column:
+    before = F.lag(x, k).over(over or series())
     return F.try_divide(F.col(x) - before, before)
 
 
-def forward_return(x: str, k: int, over: WindowSpec = SERIES) -> Column:
-    return F.try_divide(F.lead(x, k).over(over) - F.col(x), F.col(x))
+def forward_return(x: str, k: int, over: WindowSpec | None = None) -> Column:
+    return F.try_divide(F.lead(x, k).over(over or series()) - F.col(x), F.col(x))
 
 
-def expanding_z(x: str, least: int = 20, over: WindowSpec = SERIES) -> Column:
+def expanding_z(x: str, least: int = 20, over: WindowSpec | None = None) -> Column:
     """(x - mean) / sample deviation of all rows so far, this one included."""
     w = expanding(over)
     z = F.try_divide(F.col(x) - F.avg(x).over(w), F.stddev_samp(x).over(w))
@@ -39,7 +39,7 @@ def percentile_of(history: Column, x: Column) -> Column:
     return F.try_divide((below + up_to + F.when(up_to > below, 1).otherwise(0)).cast("double"), F.lit(2.0) * F.size(history))
 
 
-def rolling_percent_rank(x: str, n: int, over: WindowSpec = SERIES) -> Column:
+def rolling_percent_rank(x: str, n: int, over: WindowSpec | None = None) -> Column:
     """Rank in percent of the newest of the last n values, ties averaged; null before n values."""
     held = F.collect_list(x).over(rows_back(n, over))
     below = F.size(F.filter(held, lambda y: y < F.col(x)))
@@ -47,7 +47,7 @@ def rolling_percent_rank(x: str, n: int, over: WindowSpec = SERIES) -> Column:
     return F.when(F.size(held) >= n, (below + (equal + 1) / 2.0) / n * 100)
 
 
-def drawdowns(rows: DataFrame, equity: str, over: WindowSpec = SERIES) -> DataFrame:
+def drawdowns(rows: DataFrame, equity: str, over: WindowSpec | None = None) -> DataFrame:
     """Adds peak and drawdown, the share below the running maximum."""
     peak = F.max(equity).over(expanding(over))
     return rows.withColumn("peak", peak).withColumn("drawdown", F.try_divide(F.col(equity) - F.col("peak"), F.col("peak")))
@@ -61,9 +61,9 @@ def islands(rows: DataFrame, keys: list[str], order: list[str], state: str) -> D
     return marked.groupBy(*keys, "run", state).agg(F.count("*").alias("length"), F.min(order[0]).alias("first_ts"), F.max(order[0]).alias("last_ts"))
 
 
-def transitions(rows: DataFrame, state: str, over: WindowSpec = SERIES) -> DataFrame:
+def transitions(rows: DataFrame, state: str, over: WindowSpec | None = None) -> DataFrame:
     """Rows at which the state changes, with the state before."""
-    return rows.withColumn("from_state", F.lag(state).over(over)).where(F.col("from_state") != F.col(state)).withColumnRenamed(state, "to_state")
+    return rows.withColumn("from_state", F.lag(state).over(over or series())).where(F.col("from_state") != F.col(state)).withColumnRenamed(state, "to_state")
 
 
 def simple_regimes(bars: DataFrame, trend: int = 20, lookback: int = 252) -> DataFrame:
@@ -73,9 +73,9 @@ def simple_regimes(bars: DataFrame, trend: int = 20, lookback: int = 252) -> Dat
     else up or down by more than two percent from the mean of ``trend`` closes,
     else ranging; unknown during the first 2 * trend bars.
     """
-    before = F.lag("close").over(SERIES)
+    before = F.lag("close").over(series())
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
-    out = bars.withColumn("rn", F.row_number().over(SERIES)).withColumn("tr", F.when(F.col("rn") > 1, tr))
+    out = bars.withColumn("rn", F.row_number().over(series())).withColumn("tr", F.when(F.col("rn") > 1, tr))
     out = out.withColumn("mean_tr", F.when(F.col("rn") > trend, F.avg("tr").over(rows_back(trend)))).withColumn("mean_close", F.avg("close").over(rows_back(trend)))
     held = F.collect_list("mean_tr").over(rows_back(lookback))
     share = F.try_divide(F.size(F.filter(held, lambda y: y <= F.col("mean_tr"))).cast("double"), F.size(held))

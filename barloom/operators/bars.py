@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 OHLC = ["open", "high", "low", "close"]
-SERIES = Window.partitionBy("symbol").orderBy("ts")
+
+
+def series() -> WindowSpec:
+    """All bars of a symbol in order of time."""
+    return Window.partitionBy("symbol").orderBy("ts")
 
 
 def canonical(rows: DataFrame) -> DataFrame:
@@ -51,7 +55,7 @@ def trading_hours(bars: DataFrame, start: str, end: str, zone: str) -> DataFrame
 def split(bars: DataFrame, train: float = 0.67, validation: float = 0.165) -> DataFrame:
     """Adds part: train, validation or holdout by position, cut at the floor of shares of the rows."""
     n = F.count("*").over(Window.partitionBy("symbol"))
-    at = F.row_number().over(SERIES)
+    at = F.row_number().over(series())
     cut, cut2 = F.floor(n * F.lit(train)), F.floor(n * F.lit(train + validation))
     return bars.withColumn("part", F.when(at <= cut, "train").when(at <= cut2, "validation").otherwise("holdout"))
 
@@ -63,7 +67,7 @@ def date_ranges(bars: DataFrame) -> DataFrame:
 
 def validation_report(bars: DataFrame, min_rows: int = 252, max_gap_days: int = 10) -> DataFrame:
     """Per symbol: too few rows, long gaps, bars whose high and low do not bound the rest, non-positive prices."""
-    gap = F.datediff("ts", F.lag("ts").over(SERIES))
+    gap = F.datediff("ts", F.lag("ts").over(series()))
     bad = (F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close", "high"))
     return bars.withColumn("_gap", gap).groupBy("symbol").agg(
         F.count("*").alias("n_rows"), (F.count("*") < min_rows).alias("too_short"), F.count_if(F.col("_gap") > max_gap_days).alias("n_gaps"),
@@ -71,14 +75,14 @@ def validation_report(bars: DataFrame, min_rows: int = 252, max_gap_days: int =
         F.count_if(F.least(*OHLC) <= 0).alias("n_non_positive"))
 
 
-def ffill(x: str | Column, limit: int | None = None, over=SERIES) -> Column:
+def ffill(x: str | Column, limit: int | None = None, over: WindowSpec | None = None) -> Column:
     """The last known value, at most ``limit`` rows back."""
-    return F.last(x, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding if limit is None else -limit, 0))
+    return F.last(x, ignorenulls=True).over((over or series()).rowsBetween(Window.unboundedPreceding if limit is None else -limit, 0))
 
 
-def bfill(x: str | Column, limit: int | None = None, over=SERIES) -> Column:
+def bfill(x: str | Column, limit: int | None = None, over: WindowSpec | None = None) -> Column:
     """The next known value, at most ``limit`` rows ahead: this looks ahead of time."""
-    return F.first(x, ignorenulls=True).over(over.rowsBetween(0, Window.unboundedFollowing if limit is None else limit))
+    return F.first(x, ignorenulls=True).over((over or series()).rowsBetween(0, Window.unboundedFollowing if limit is None else limit))
 
 
 def calendar(bars: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ FROM d GROUP BY symbol""")
 def series_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars, returns, moving average, compounded equity and drawdown by symbol."""
     rows = event_bars(spark, sf_dir).withColumn("ret", A.pct_change("close")).withColumn("mean20", F.avg("close").over(A.rows_back(20)))
-    rows = rows.withColumn("rn", F.row_number().over(B.SERIES)).withColumn("lr", F.sum(F.log1p(F.coalesce("ret", F.lit(0.0)))).over(A.expanding()))
+    rows = rows.withColumn("rn", F.row_number().over(B.series())).withColumn("lr", F.sum(F.log1p(F.coalesce("ret", F.lit(0.0)))).over(A.expanding()))
     rows = A.drawdowns(rows.withColumn("equity", F.exp("lr")), "equity")
     out = rows.groupBy("symbol").agg(
         F.count("*").alias("n_bars"), F.avg("ret").alias("mean_return"), (F.try_divide(F.avg("ret"), F.stddev_samp("ret")) * F.sqrt(F.lit(252.0))).alias("sharpe"),
@@ -35,20 +35,20 @@ def series_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out, "mean_return", "sharpe", "max_drawdown")
 
 
-@query(f"WITH {HOURLY} SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 4) AS volume FROM bars")
+@query(f"WITH {HOURLY} SELECT symbol, ts, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, round(volume, 4) AS volume FROM bars")
 def bars_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_rounded(event_bars(spark, sf_dir), *B.OHLC), "volume", digits=4)
+    return _rounded(_rounded(event_bars(spark, sf_dir), *B.OHLC, digits=8), "volume", digits=4)
 
 
-@query(f"WITH {DAILY} SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 4) AS volume FROM bars")
+@query(f"WITH {DAILY} SELECT symbol, ts, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, round(volume, 4) AS volume FROM bars")
 def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_rounded(daily_bars(spark, sf_dir), *B.OHLC), "volume", digits=4)
+    return _rounded(_rounded(daily_bars(spark, sf_dir), *B.OHLC, digits=8), "volume", digits=4)
 
 
-@query(f"""WITH {HOURLY} SELECT symbol, date_trunc('day', ts) AS bin, round(first(open ORDER BY ts), 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low,
-    round(last(close ORDER BY ts), 6) AS close, round(sum(volume), 4) AS volume FROM bars GROUP BY 1, 2""")
+@query(f"""WITH {HOURLY} SELECT symbol, date_trunc('day', ts) AS bin, round(first(open ORDER BY ts), 8) AS open, round(max(high), 8) AS high, round(min(low), 8) AS low,
+    round(last(close ORDER BY ts), 8) AS close, round(sum(volume), 4) AS volume FROM bars GROUP BY 1, 2""")
 def bars_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_rounded(B.resample(event_bars(spark, sf_dir), "day"), *B.OHLC), "volume", digits=4)
+    return _rounded(_rounded(B.resample(event_bars(spark, sf_dir), "day"), *B.OHLC, digits=8), "volume", digits=4)
 
 
 def _messy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +132,7 @@ def bars_aligned_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     round(close / lag(close, 5) {W}) - 1, 6) AS ret_5, round(lead(close, 5) {W}) / close - 1, 6) AS fwd_5 FROM bars""")
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_bars(spark, sf_dir).select(
-        "symbol", "ts", F.round(F.col("close") - F.lag("close").over(B.SERIES), 8).alias("diff"), F.round(A.pct_change("close"), 6).alias("ret_1"),
+        "symbol", "ts", F.round(F.col("close") - F.lag("close").over(B.series()), 8).alias("diff"), F.round(A.pct_change("close"), 6).alias("ret_1"),
         F.round(A.pct_change("close", 5), 6).alias("ret_5"), F.round(A.forward_return("close", 5), 6).alias("fwd_5"))
 
 
@@ -148,7 +148,7 @@ def expanding_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT symbol, ts, CASE WHEN len(held) >= 252 THEN round((lt + (eq + 1) / 2.0::DOUBLE) / 252 * 100, 6) END AS pct_rank_252,
            round((plt + ple + CASE WHEN ple > plt THEN 1 ELSE 0 END)::DOUBLE / (2.0::DOUBLE * nullif(len(prior), 0)), 6) AS prior_pct FROM c""")
 def volume_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prior = F.collect_list("volume").over(B.SERIES.rowsBetween(-252, -1))
+    prior = F.collect_list("volume").over(B.series().rowsBetween(-252, -1))
     rows = daily_bars(spark, sf_dir).withColumn("prior", prior)
     return rows.select("symbol", "ts", F.round(A.rolling_percent_rank("volume", 252), 6).alias("pct_rank_252"),
                        F.round(A.percentile_of(F.col("prior"), F.col("volume")), 6).alias("prior_pct"))
