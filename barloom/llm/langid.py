@@ -78,7 +78,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
             at = np.flatnonzero(n)
             yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": n[at]})
 
-    counts = known.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = known.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     n = np.zeros((BUCKETS, len(names)))
     n[counts["bucket"], counts["lang"].map({x: i for i, x in enumerate(names)})] = counts["n"]
     n += SMOOTHING
