@@ -244,8 +244,8 @@ def _base(bars: DataFrame) -> DataFrame:
     })
 
 
-def window_indicators(bars: DataFrame, *families: str) -> DataFrame:
-    """(symbol, ts, one column per output) of the families, or of all."""
+def window_indicators(bars: DataFrame, *families: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(symbol, ts, columns of the bars to keep, one column per output) of the families, or of all."""
     levels: list[Stage] = []
     for family in families or tuple(FAMILIES):
         for make, *args in FAMILIES[family]:
@@ -256,4 +256,4 @@ def window_indicators(bars: DataFrame, *families: str) -> DataFrame:
     rows = _base(bars)
     for stage in levels:
         rows = rows.withColumns(stage)
-    return rows.select("symbol", "ts", *(F.col(f"`{c}`") for stage in levels for c in stage if not c.startswith("_")))
+    return rows.select("symbol", "ts", *keep, *(F.col(f"`{c}`") for stage in levels for c in stage if not c.startswith("_")))

@@ -1,6 +1,6 @@
 """Queries over the test tables, each with the SQL that checks it."""
 
-from . import indicators, series  # noqa: F401  (they register their queries)
+from . import indicators, series, signals, trades  # noqa: F401  (they register their queries)
 from .base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
