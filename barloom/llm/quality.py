@@ -201,8 +201,8 @@ class LanguageModel:
         self.table = stash(kneser_ney(stash(ngram_counts(docs, text_col, trusted))))
         self.held = None
         if self.table.count() <= max_broadcast:
-            known = self.table.toPandas()
-            self.held = docs.sparkSession.sparkContext.broadcast((known["h"].to_numpy(np.int64).view(np.uint64), known["logp"].to_numpy(np.float32)))
+            known = self.table.toArrow()  # columns, without an object for each row
+            self.held = docs.sparkSession.sparkContext.broadcast((known["h"].to_numpy().astype(np.int64).view(np.uint64), known["logp"].to_numpy().astype(np.float32)))
 
     def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """The input's columns in a struct ``row``, with each text's perplexity per character.
