@@ -61,4 +61,4 @@ def position_size(capital: Column, entry: Column, stop: Column, risk: float = 0.
     """Whole units so that neither the risk to the stop nor the value exceeds its share of the capital; 0 without risk."""
     per_unit = F.abs(entry - stop)
     by_risk, by_value = F.floor(F.try_divide(capital * risk, per_unit)), F.floor(F.try_divide(capital * most, entry))
-    return F.coalesce(F.greatest(F.least(by_risk, by_value), F.lit(0)), F.lit(0)).cast("long")
+    return F.when((per_unit > 0) & (entry > 0), F.greatest(F.least(by_risk, by_value), F.lit(0))).otherwise(0).cast("long")
