@@ -21,7 +21,7 @@ BASE = f"""{DAILY}, b0 AS (SELECT *, row_number() {P}) AS rn, lag(close) {P}) AS
 
 def _digits(column: str) -> int:
     """Six, but more for values that often lie just halfway between two such numbers."""
-    return {"MOM": 8, "TRU": 8, "CMF": 10, **dict.fromkeys(("ITS", "IKS", "ISA", "ISB", "DCL", "DCM", "DCU"), 9)}.get(column[:3], 6)
+    return {"MOM": 8, "TRU": 8, "CMF": 10, "ISA": 10, **dict.fromkeys(("ITS", "IKS", "ISB", "DCL", "DCM", "DCU", "PIV"), 9)}.get(column[:3], 6)
 
 
 def _r(n: int) -> str:

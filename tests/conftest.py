@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
-os.environ.setdefault("PYARROW_IGNORE_TIMEZONE", "1")
+# Python workers import the package too, whatever folder the tests start in.
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(Path(__file__).resolve().parents[1]), os.environ.get("PYTHONPATH", "")]))
 
 
 @pytest.fixture(scope="session")
