@@ -194,8 +194,9 @@ def labelled_pages(n: int, seed: int) -> list[str]:
                 lambda: paragraphs(1, 3), lambda: f"<h2>{words(1, 8)}</h2>", lambda: "<ul>" + "".join(f"<li>{prose(1, 20)}</li>" for _ in range(rng.randint(2, 4))) + "</ul>",
                 lambda: f"<blockquote><p>{prose()}</p></blockquote>", lambda: f"<pre>{words(1, 30)}</pre>", lambda: f"<p><b>{prose()}<br>",
                 lambda: f"<table><tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr></table>", lambda: f"<p>{words(1, 10)} <a href='/y'>{words(1, 5)}</a> {prose()}</p>",
-                lambda: f"<figure><figcaption>{prose(1, 12)}</figcaption></figure>", lambda: f"<div>{prose()}</div>"],
-                [8, 2, 2, 1, 1, 2, 1, 3, 1, 2])[0]()
+                lambda: f"<figure><figcaption>{prose(1, 12)}</figcaption></figure>", lambda: f"<div>{prose()}</div>",
+                lambda: f"<p>{rng.choice([' | ', ' · ', ' » ', ' © ']).join(words(1, 3) for _ in range(rng.randint(1, 8)))}{rng.choice(['', ' |', '.'])}</p>"],
+                [8, 2, 2, 1, 1, 2, 1, 3, 1, 2, 2])[0]()
             if rng.random() < 0.15:
                 body += rest(rng.choice(["ad", "share", "aside", "notice", "form", "nav", "comments"]))
         if rng.random() < 0.35:
