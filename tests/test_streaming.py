@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,11 +48,11 @@ def test_signals_keep_state_between_batches(spark, sf_dir, pieces):
 
 
 def test_late_events_are_left_out(spark, tmp_path):
-    rows = [(1, "2024-01-01 00:01:00", 1, "a", 5.0, None), (2, "2024-01-01 10:00:00", 1, "a", 6.0, None), (3, "2024-01-01 00:02:00", 1, "a", 7.0, None)]
+    """The watermark of one batch holds for late events of the batch after the next."""
+    rows = [(1, "2024-01-01 00:01:00", 1, "a", 5.0, None), (2, "2024-01-01 10:00:00", 1, "a", 6.0, None), (4, "2024-01-01 10:01:00", 1, "a", 6.5, None), (3, "2024-01-01 00:02:00", 1, "a", 7.0, None)]
     for i, r in enumerate(rows):
         spark.createDataFrame([r], "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).select(
             "event_id", "ts", "user_id", "event_type", "value", "props").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        import time
         time.sleep(1.1)  # files are taken in order of their time
     out = ST.drain(ST.bars(ST.event_stream(spark, str(tmp_path / "in"), 1)), shared_folder(spark), "append")
     assert [(r["open"], r["num_trades"]) for r in out.orderBy("ts").collect()][0] == (5.0, 1)
