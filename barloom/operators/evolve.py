@@ -139,7 +139,7 @@ def evolve(population: DataFrame, m: DataFrame, generations: int, seed: int, eli
 def apply_patch(weights: DataFrame, patch: DataFrame, cap: float = 0.1) -> DataFrame:
     """Weights changed by named factors, each change within ``cap`` of the old weight; names without a patch stay, unknown ones are left out."""
     change = F.least(F.greatest(F.coalesce(F.col("factor"), F.lit(1.0)), F.lit(1 - cap)), F.lit(1 + cap))
-    return weights.join(F.broadcast(patch.select("name", "factor")), "name", "left").select(*weights.columns[:-1], F.round(clip(F.col("weight") * change), 6).alias("weight"))
+    return weights.join(patch.select("name", "factor"), "name", "left").select(*(c for c in weights.columns if c != "weight"), F.round(clip(F.col("weight") * change), 6).alias("weight"))
 
 
 def drift(old: DataFrame, new: DataFrame) -> DataFrame:

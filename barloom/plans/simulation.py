@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import costs as C
 from ..functions import normalise as N
 from ..operators import analytics as A
 from ..operators import bars as B
@@ -115,3 +116,43 @@ def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ST.drain(ST.alerts(ST.event_stream(spark, f"{sf_dir}/events.parquet*"), {"purchase": (10, 80), "view": (5, 90)}), shared_folder(spark), "append")
     return out.select("event_id", "event_type", F.round("excess", 6).alias("excess"), "priority")
+
+
+@query("""WITH f AS (SELECT user_id, CASE WHEN event_type = 'view' THEN 'entry' ELSE 'exit' END AS kind, ts, value AS price FROM events WHERE event_type IN ('view', 'purchase')),
+    n AS (SELECT *, lead(kind) OVER w AS nk, lead(ts) OVER w AS nt, lead(price) OVER w AS np FROM f WINDOW w AS (PARTITION BY user_id ORDER BY ts, kind))
+    SELECT user_id, ts AS entry_ts, round(price, 6) AS entry_price, CASE WHEN nk = 'exit' THEN nt END AS exit_ts, round(CASE WHEN nk = 'exit' THEN np END, 6) AS exit_price FROM n WHERE kind = 'entry'""")
+def ledger_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of a ledger with the exits that follow them."""
+    fills = table(spark, sf_dir, "events").where("event_type IN ('view', 'purchase')").select("user_id", F.when(F.col("event_type") == "view", "entry").otherwise("exit").alias("kind"), "ts", F.col("value").alias("price"))
+    return S.pair_fills(fills, "user_id").withColumns({c: F.round(c, 6) for c in ("entry_price", "exit_price")})
+
+
+@query(f"""WITH {DAILY}, t AS (SELECT symbol, ts, close, greatest(high - low, abs(high - lag(close) {_OVER}), abs(low - lag(close) {_OVER})) AS tr FROM bars),
+    a AS (SELECT symbol, ts, close, avg(tr) OVER (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING) AS atr FROM t WHERE close > 0), l AS (SELECT * FROM a WHERE atr > 0)
+    SELECT symbol, ts, round(close - 2 * atr, 5) AS stop, round(close + 4 * atr, 5) AS target, floor(least(100000 * 0.02::DOUBLE / (close - (close - 2 * atr)), 100000 * 0.2::DOUBLE / close))::BIGINT AS n FROM l""")
+def position_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stop, target and size of a long position entered at each close."""
+    rows = daily_bars(spark, sf_dir)
+    before = F.lag("close").over(B.series())
+    rows = rows.withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))).withColumn("atr", F.avg("tr").over(A.rows_back(14))).where("atr > 0 AND close > 0")
+    close = F.col("close")
+    rows = rows.withColumn("s", C.stop_price(close, F.col("atr"), F.lit(True)))
+    return rows.select("symbol", "ts", F.round("s", 5).alias("stop"), F.round(C.target_price(close, F.col("s")), 5).alias("target"), C.position_size(F.lit(100_000.0), close, F.col("s")).alias("n"))
+
+
+@query("""WITH g AS (SELECT c_custkey AS dna_id, name, w FROM (SELECT c_custkey, 'a' AS name, c_acctbal / 10000 AS w FROM customer UNION ALL SELECT c_custkey, 'b', c_nationkey / 25.0::DOUBLE FROM customer)),
+    n AS (SELECT count(DISTINCT dna_id) AS n FROM g), d AS (SELECT sum(n * q - s * s) AS d, any_value(n) AS n FROM (SELECT name, sum(w) AS s, sum(w * w) AS q FROM g GROUP BY 1) CROSS JOIN n)
+    SELECT round(2 * d / (n * (n - 1)), 6) AS diversity FROM d""")
+def population_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean squared distance of two genomes whose genes follow from customers."""
+    c = table(spark, sf_dir, "customer")
+    genes = c.select(F.col("c_custkey").alias("dna_id"), F.explode(F.create_map(F.lit("a"), F.col("c_acctbal") / 10000, F.lit("b"), F.col("c_nationkey") / 25.0)).alias("name", "weight"))
+    return E.diversity(genes).select(F.round("diversity", 6).alias("diversity"))
+
+
+@query("""WITH w AS (SELECT p_partkey AS name, (p_size - 25) / 50.0::DOUBLE AS weight FROM part), p AS (SELECT p_partkey AS name, p_size / 20.0::DOUBLE AS factor FROM part WHERE p_partkey % 3 = 0)
+    SELECT w.name, round(least(greatest(w.weight * least(greatest(coalesce(factor, 1), 0.9::DOUBLE), 1.1::DOUBLE), -1), 1), 6) AS weight FROM w LEFT JOIN p ON w.name = p.name""")
+def patched_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    weights = part.select(F.col("p_partkey").alias("name"), ((F.col("p_size") - 25) / 50.0).alias("weight"))
+    return E.apply_patch(weights, part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("name"), (F.col("p_size") / 20.0).alias("factor")))
