@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, stash
+from .common import bounded_batches, cut_lineage, stash
 
 ORDER = 5
 #: N-gram scores that are broadcast (12 bytes each); a larger model is joined by a shuffle.
@@ -20,9 +21,11 @@ MAX_TRUSTED = 2_000_000
 #: Languages whose thresholds are broadcast.
 MAX_LANGUAGES = 20_000
 #: Characters whose n-grams are counted or scored at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Distinct n-grams that a task holds before it hands its counts on.
-HELD = 1 << 20
+HELD = 1 << 19
+#: Rows that leave a task together.
+ROWS = 1 << 16
 #: Characters of text in one block where the model is joined by a shuffle.
 BLOCK_CHARS = 1 << 24
 _BOS, _EOS = 1, 2
@@ -87,30 +90,34 @@ def ngram_counts(docs: DataFrame, text_col: str, trusted: Column) -> DataFrame:
     Each task adds up its own n-grams first, so what is shuffled grows with the
     distinct n-grams of a task and not with the text.
     """
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
-        def out(x: tuple) -> pd.DataFrame:
-            return pd.DataFrame({"gram": np.ascontiguousarray(x[2]).view(f"<U{ORDER}").ravel().astype(object), "h": x[0].view(np.int64), "n": x[1][:, 0]})
+        def out(x: tuple) -> Iterator[pa.RecordBatch]:
+            grams = np.ascontiguousarray(x[2]).view(f"<U{ORDER}").ravel()
+            for i in range(0, len(grams), ROWS):
+                part = slice(i, i + ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(grams[part]), pa.array(x[0][part].view(np.int64)), pa.array(x[1][part, 0])], ["gram", "h", "n"])
 
         for batch in batches:
-            good = batch["trusted"].to_numpy(bool)
+            bodies, good = batch.column("body").to_pylist(), batch.column("trusted").to_pylist()
             for flag in (True, False):
-                for h, n, codes in _grams([t or "" for t in batch["body"][good == flag]]):
+                for h, n, codes in _grams([t or "" for t, g in zip(bodies, good) if bool(g) == flag]):
                     held.append((h, (n * flag)[:, None], codes))
                     size += len(h)
                     if size > 2 * HELD:
                         held = [_merge(held)]
                         size = len(held[0][0])
                         if size > HELD:
-                            yield out(held[0])
+                            yield from out(held[0])
                             held, size = [], 0
         if held:
-            yield out(_merge(held))
+            yield from out(_merge(held))
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("body"), trusted.alias("trusted"))
-    return rows.mapInPandas(count, "gram string, h long, n long").groupBy("gram").agg(F.first("h").alias("h"), F.sum("n").alias("n"))
+    return rows.mapInArrow(count, "gram string, h long, n long").groupBy("gram").agg(F.first("h").alias("h"), F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
