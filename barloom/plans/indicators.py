@@ -21,7 +21,7 @@ BASE = f"""{DAILY}, b0 AS (SELECT *, row_number() {P}) AS rn, lag(close) {P}) AS
 
 def _digits(column: str) -> int:
     """Six, but more for values that often lie just halfway between two such numbers."""
-    return {"MOM": 8, "TRU": 8, "CMF": 10, "ISA": 10, **dict.fromkeys(("ITS", "IKS", "ISB", "DCL", "DCM", "DCU", "PIV"), 9)}.get(column[:3], 6)
+    return {"MOM": 8, "TRU": 8, "CMF": 10, "ISA": 8, **dict.fromkeys(("ITS", "IKS", "ISB", "DCL", "DCM", "DCU", "PIV"), 9)}.get(column[:3], 6)
 
 
 def _r(n: int) -> str:
@@ -46,8 +46,8 @@ def _query(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
 
 
 def _shown(c: str) -> Column:
-    """The compounded volume indices run to hundreds of digits here and are shown as logarithms."""
-    return F.log(c) if c in ("NVI", "PVI") else F.col(f"`{c}`")
+    """Volume indices run to hundreds of digits here, and the leading span often lies just halfway between two rounded numbers: both are shown as logarithms."""
+    return F.log(c) if c in ("NVI", "PVI", "ISA") else F.col(f"`{c}`")
 
 
 _mid = {n: f"(({_agg('max', 'high', n)} + {_agg('min', 'low', n)}) / 2)" for n in (9, 26, 52)}
@@ -57,7 +57,7 @@ _mid = {n: f"(({_agg('max', 'high', n)} + {_agg('min', 'low', n)}) / 2)" for n i
     **{f"SMA_{n}": _agg("avg", "close", n) for n in (10, 20, 50, 100, 200)}, **{f"WMA_{n}": _wma("close", n) for n in (10, 20)},
     "HMA_9": _wma("h9", 3), "HMA_16": _wma("h16", 4),
     **{f"VWMA_{n}": f"{_agg('sum', 'close * volume', n)} / {_agg('sum', 'volume', n)}" for n in (10, 20)},
-    "ITS": _mid[9], "IKS": _mid[26], "ISB": _mid[52], "ISA": f"({_mid[9]} + {_mid[26]}) / 2",
+    "ITS": _mid[9], "IKS": _mid[26], "ISB": _mid[52], "ISA": f"ln(({_mid[9]} + {_mid[26]}) / 2)",
     "PIVOT_S1": "2 * ptp - ph", "PIVOT_S2": "ptp - (ph - pl)", "PIVOT_S3": "pl - 2 * (ph - ptp)", "PIVOT_P": "ptp", "PIVOT_R1": "2 * ptp - pl",
     "PIVOT_R2": "ptp + (ph - pl)", "PIVOT_R3": "ph + 2 * (ptp - pl)"}, "h"))
 def indicators_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
