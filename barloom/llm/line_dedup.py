@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import struct
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ from .common import cut_lineage, stash
 MIN_CHARS = 20
 #: Lines in more than 1/HOT of all occurrences are joined by broadcast: there are at most HOT.
 HOT = 1000
-#: Copies of one document's line hashes for its later partners, at most.
-SALTS = 64
+#: A line in at most so many documents pairs all of them; lines in more are looked up with their runs.
+PAIRED = 32
 
 
 def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -95,40 +97,79 @@ def _line_hashes(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda x: F.xxhash64(F.trim(x)).bitwiseAND(F.lit(-2)) + F.when(F.length(F.trim(x)) >= MIN_CHARS, 1).otherwise(0))
 
 
+def runs(lines: np.ndarray, frequent: set[int]) -> Iterator[tuple[int, int, int]]:
+    """(start, end, hash) of each frequent line and of its runs over the short lines after and before it.
+
+    A run that goes on to the next long line needs no row: that line is
+    frequent, with runs of its own, or pairs the documents.
+    """
+    x = lines.tolist()
+    for at, h in enumerate(x):
+        if h not in frequent:
+            continue
+        yield at, at, h
+        for step in (1, -1):
+            mixed, j = h, at + step
+            while 0 <= j < len(x) and not x[j] & 1:
+                mixed = xxhash.xxh64_intdigest(struct.pack("<qqb", mixed, x[j], step))
+                mixed -= (mixed >> 63) << 64
+                yield min(at, j), max(at, j), mixed
+                j += step
+
+
+def _earlier(held: DataFrame, by: str) -> DataFrame:
+    """``held`` with ``first`` and ``n``, the smallest key and the number of rows of its ``by``, where n > 1."""
+    firsts = stash(held.groupBy(by).agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    shared = firsts.agg(F.sum("n")).first()[0] or 0
+    hot, rest = firsts.where(F.col("n") * HOT > shared), firsts.where(F.col("n") * HOT <= shared)
+    return held.join(F.broadcast(hot), by).unionByName(held.join(F.broadcast(hot.select(by)), by, "left_anti").join(rest, by))
+
+
 def line_deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, gone): for each document that loses lines, their places.  See ``line_dedup``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = stash(docs.select(_key(id_col, text).alias("key"), _line_hashes(text).alias("lines")).dropDuplicates(["key"]))
     held = lines.select("key", F.explode(F.array_distinct(F.filter("lines", lambda h: h.bitwiseAND(F.lit(1)) == 1))).alias("h"))
-    firsts = stash(held.groupBy("h").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1"))
-    shared = firsts.agg(F.sum("n")).first()[0] or 0
-    hot = firsts.where(F.col("n") * HOT > shared).select("h", "first")
-    rest = firsts.where(F.col("n") * HOT <= shared).select("h", "first")
-    pairs = held.join(F.broadcast(hot), "h").unionByName(held.join(F.broadcast(hot.select("h")), "h", "left_anti").join(rest, "h"))
-    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
-    pairs = stash(pairs.where("first < key").select("first", "key").distinct().withColumn("salt", salt))
-    earlier = pairs.select("first", "salt").distinct().join(lines.select(F.col("key").alias("first"), F.col("lines").alias("a")), "first")
-    both = pairs.join(earlier, ["first", "salt"]).join(lines.select("key", F.col("lines").alias("b")), "key")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = stash(_earlier(held, "h").select("key", "h", "n"))
+    holders = held.where(F.col("n") <= PAIRED).groupBy("h").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    pairs = holders.select("keys", F.posexplode("keys").alias("at", "key")).where("at > 0").select(
+        "key", F.explode(F.slice("keys", F.lit(1), F.col("at"))).alias("first"))
+    pairs = stash(pairs.distinct())
+    both = pairs.join(lines.select(F.col("key").alias("first"), F.col("lines").alias("a")), "first").join(lines.select("key", F.col("lines").alias("b")), "key")
+
+    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             gone = [common_lines(a, b) for a, b in zip(batch["a"], batch["b"])]
             yield pd.DataFrame({"id": batch["id"], "t": batch["t"], "gone": gone})
 
-    found = both.select("key.id", "key.t", "a", "b").mapInPandas(run, "id long, t long, gone array<int>").where(F.size("gone") > 0)
-    return found.groupBy(F.struct("id", "t").alias("key")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    found = both.select("key.id", "key.t", "a", "b").mapInPandas(aligned, "id long, t long, gone array<int>").where(F.size("gone") > 0)
+    frequent = held.where(F.col("n") > PAIRED).groupBy("key").agg(F.collect_list("h").alias("frequent")).join(lines, "key")
+
+    def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(i, t, *r) for i, t, f, x in zip(batch["id"], batch["t"], batch["frequent"], batch["lines"]) for r in runs(x, set(f.tolist()))]
+            yield pd.DataFrame(out, columns=["id", "t", "start", "end", "run"])
+
+    known = frequent.select("key.id", "key.t", "frequent", "lines").mapInPandas(looked_up, "id long, t long, start int, end int, run long")
+    known = stash(known.select(F.struct("id", "t").alias("key"), "start", "end", "run"))
+    repeats = _earlier(known, "run").where("first < key").select("key", F.sequence("start", "end").alias("gone"))
+    gone = found.select(F.struct("id", "t").alias("key"), "gone").unionByName(repeats).select("key", F.explode("gone").alias("at"))
+    return gone.groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Delete from each document the blocks of lines that it shares with earlier ones.
 
-    A line of at least MIN_CHARS characters that two documents share makes its
-    first document (the smallest id) a partner of every other one that holds it:
-    however frequent the line, it makes one pair for each occurrence, so no line
-    has to be left out as too frequent.  Each pair is aligned by patience diff
-    over line hashes, lines compared without the white space at their ends, and
-    the aligned blocks of the later document are deleted, a block being a run of
-    neighbouring lines in both that holds one of MIN_CHARS characters.
+    Each document is paired with every earlier one (smaller id) that shares a
+    line of at least MIN_CHARS characters which at most PAIRED documents hold.
+    Each pair is aligned by patience diff over line hashes, lines compared
+    without the white space at their ends, and the aligned blocks of the later
+    document are deleted, a block being a run of neighbouring lines in both that
+    holds one of MIN_CHARS characters.  A line that more documents hold would
+    pair them by the square of their number.  Such a line goes from all but the
+    first document, in whatever order it stands there, together with the short
+    lines around it as far as some earlier document has the same ones: that is a
+    join of run hashes with their first document, a row for each line of a run.
     Alignments use the texts as given, so the result does not depend on order.
 
     Returns the input's columns in a struct ``row``, with n_lines, n_removed and
