@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,3 +45,24 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
             ORACLE_SQL[f.__name__] = sql
         return f
     return register
+
+
+def shown(x: Column) -> Column:
+    """``x`` with six decimals, or nine significant digits where these are fewer.
+
+    Two engines add up in different orders, so values differ in their last bits;
+    they are put on a grid whose borders lie off the halves, on which means of
+    prices with few decimals often fall.
+    """
+    size = F.floor(F.log10(F.abs(x)))
+    step = F.pow(F.lit(10.0), size - 8)
+    text = F.concat(F.floor(x / step + 0.4142).cast("string"), F.lit("E"), (size - 8).cast("string"))
+    return F.when(F.abs(x) < 100, F.floor(x * 1e6 + 0.4142) / 1e6).when(F.abs(x) < 1e8, F.floor(x * F.pow(F.lit(10.0), 8 - size) + 0.4142) / F.pow(F.lit(10.0), 8 - size)).when(
+        F.abs(x) < 1e300, text.cast("double"))
+
+
+def shown_sql(x: str) -> str:
+    """The same in SQL; ``x`` is a column."""
+    size = f"floor(log10(abs({x})))"
+    return (f"CASE WHEN abs({x}) < 100 THEN floor({x} * 1e6::DOUBLE + 0.4142::DOUBLE)::BIGINT / 1e6::DOUBLE WHEN abs({x}) < 1e8 THEN floor({x} * pow(10.0::DOUBLE, 8 - {size}) + 0.4142::DOUBLE)::BIGINT / pow(10.0::DOUBLE, 8 - {size}) "
+            f"WHEN abs({x}) < 1e300 THEN concat(floor({x} / pow(10.0::DOUBLE, {size} - 8) + 0.4142::DOUBLE)::BIGINT, 'E', ({size} - 8)::BIGINT)::DOUBLE END")
