@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Query vectors that go to the tasks together.
-QUERY_BLOCK = 2048
+#: Query vectors, and vectors that are searched, that meet in one task.
+QUERY_BLOCK, VECTOR_BLOCK = 2048, 1 << 16
 
 
 def words(text: Column) -> Column:
@@ -45,20 +43,29 @@ def paragraph_chunks(docs: DataFrame, id_col: str, text_col: str, limit: int = 5
     """(id, chunk_index, total_chunks, text): paragraphs packed greedily up to ``limit`` tokens.
 
     A new chunk starts with the last ``overlap`` words of the one before.  The
-    fold over a document's paragraphs stays inside one expression.
+    fold over a document's paragraphs carries numbers only: where each chunk
+    starts, and how many words the growing one has; texts are put together once,
+    when the chunks are known.
     """
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-
-    def step(acc: Column, unit: Column) -> Column:
-        now = acc["now"]
-        tail = F.array_join(F.slice(F.concat(F.array_repeat(F.lit(""), overlap), words(now)), -overlap, overlap), " ")
-        full = (now != "") & (tokens(now) + tokens(unit) > limit)
-        return F.struct(F.when(full, F.array_append(acc["done"], now)).otherwise(acc["done"]).alias("done"),
-                        F.when(now == "", unit).when(full, F.concat(F.ltrim(tail), F.lit("\n\n"), unit)).otherwise(F.concat(now, F.lit("\n\n"), unit)).alias("now"))
-
-    chunks = F.aggregate(_units(F.coalesce(text_col, F.lit("")), limit), start, step, lambda acc: F.when(acc["now"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["now"])))
-    rows = docs.select(id_col, chunks.alias("c"))
-    return rows.select(id_col, F.size("c").alias("total_chunks"), F.posexplode("c").alias("chunk_index", "text"))
+    units = docs.select(id_col, _units(F.coalesce(text_col, F.lit("")), limit).alias("units")).where(F.size("units") > 0)
+    units = units.withColumn("words", F.transform("units", words)).withColumn("n", F.transform("words", F.size))
+    of = lambda n: F.floor(n * 1.3).cast("int")
+    start = F.struct(F.array().cast("array<struct<unit:int,word:int>>").alias("starts"), F.lit(0).alias("now"), F.lit(0).alias("unit"), F.lit(0).alias("word"))
+
+    def step(acc: Column, n: Column) -> Column:
+        full = (acc["unit"] == 0) | (of(acc["now"]) + of(n) > limit)
+        carried = F.when(full, F.least(acc["now"], F.lit(overlap))).otherwise(acc["now"])
+        here = F.struct(acc["unit"].alias("unit"), acc["word"].alias("word"))
+        return F.struct(F.when(full, F.array_append(acc["starts"], here)).otherwise(acc["starts"]).alias("starts"), (carried + n).alias("now"), (acc["unit"] + 1).alias("unit"), (acc["word"] + n).alias("word"))
+
+    rows = units.withColumn("starts", F.aggregate("n", start, step, lambda acc: acc["starts"])).withColumn("all", F.flatten("words"))
+    rows = rows.select(id_col, "units", "all", "starts", F.size("starts").alias("total_chunks"), F.posexplode("starts").alias("chunk_index", "at"))
+    end = F.coalesce(F.try_element_at("starts", F.col("chunk_index") + 2).getField("unit"), F.size("units"))
+    own = F.array_join(F.slice("units", F.col("at.unit") + 1, end - F.col("at.unit")), "\n\n")
+    carried = F.least(F.col("at.word"), F.lit(overlap))
+    tail = F.array_join(F.slice("all", F.col("at.word") - carried + 1, carried), " ")
+    text = F.when(F.col("chunk_index") == 0, own).otherwise(F.concat(tail, F.lit("\n\n"), own))
+    return rows.select(id_col, "chunk_index", "total_chunks", text.alias("text"))
 
 
 def section_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 500) -> DataFrame:
@@ -89,53 +96,35 @@ def apply_changes(chunks: DataFrame, changes: DataFrame, fresh: DataFrame, key:
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_col: str = "query", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query, id, distance, score, rank): the k closest vectors of each query by squared distance.
-
-    Queries, a stated set, go to the tasks in blocks; each task keeps k rows a
-    query, so what is shuffled does not depend on the number of vectors.  Filter
-    the vectors before (pre-filter) or the result after (post-filter): these differ.
+    """(query, id, distance, score, rank): the k closest vectors of each query by squared distance, of equals the smaller id.
+
+    Queries and vectors are dealt into blocks by a hash, and every block of one
+    meets every block of the other in a group of its own; each group keeps k rows
+    a query.  Nothing passes the driver, and a task's size does not follow the
+    input.  Distances come from one matrix product; those near the edge are
+    computed again without it.  Filter the vectors before (pre-filter) or the
+    result after (post-filter): these differ.
     """
-    spark = vectors.sparkSession
-    key = vectors.schema[id_col].dataType
-    schema = T.StructType([queries.schema[query_col], T.StructField(id_col, key), T.StructField("distance", T.DoubleType())])
-    ids, block, parts = [], [], []
-
-    def search() -> DataFrame:
-        held = spark.sparkContext.broadcast((list(ids), np.array(block, np.float64)))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, q = held.value
-            best: pd.DataFrame | None = None
-            for b in batches:
-                b = b[b["v"].notna()]
-                if not len(b):
-                    continue
-                x = np.stack(b["v"].to_numpy()).astype(np.float64)
-                d = np.stack([((x - y) ** 2).sum(axis=1) for y in q])
-                n = min(k, len(b))
-                # Ties at the edge are all kept here and broken by id at the end.
-                edge = np.partition(d, n - 1, axis=1)[:, n - 1]
-                i, j = np.nonzero(d <= edge[:, None])
-                found = pd.DataFrame({query_col: [names[a] for a in i], id_col: b["id"].to_numpy()[j], "distance": d[i, j]})
-                best = found if best is None else pd.concat([best, found])
-                best = best.sort_values(["distance", id_col]).groupby(query_col, sort=False).head(k)
-            if best is not None:
-                yield best
-
-        return vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInPandas(run, schema)
-
-    for row in queries.select(query_col, F.col(vector_col)).toLocalIterator():
-        ids.append(row[0])
-        block.append(row[1])
-        if len(ids) == QUERY_BLOCK:
-            parts.append(search())
-            ids.clear()
-            block.clear()
-    if ids or not parts:
-        parts.append(search()) if ids else parts.append(spark.createDataFrame([], schema))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    blocks = F.lit(queries.count() // QUERY_BLOCK + 1)
+    parts = F.lit(vectors.count() // VECTOR_BLOCK + 1)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+    schema = T.StructType([queries.schema[query_col], vectors.schema[id_col], T.StructField("distance", T.DoubleType())])
+    q = queries.where(F.col(vector_col).isNotNull()).select(F.col(query_col).alias("q"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(query_col), blocks).alias("block"), every(parts).alias("part"))
+    x = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("x"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(id_col), parts).alias("part"), every(blocks).alias("block"))
+
+    def search(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
+        if not len(qs) or not len(xs):
+            return pd.DataFrame(columns=schema.names)
+        a, b = (np.stack(d["v"].to_numpy()).astype(np.float64) for d in (qs, xs))
+        near = (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T) + (a * a).sum(axis=1)[:, None]
+        n = min(k, len(b))
+        edge = np.partition(near, n - 1, axis=1)[:, n - 1]
+        i, j = np.nonzero(near <= (edge + 1e-6 * (1 + np.abs(edge)))[:, None])
+        found = pd.DataFrame({query_col: qs["q"].to_numpy()[i], id_col: xs["x"].to_numpy()[j], "distance": ((a[i] - b[j]) ** 2).sum(axis=1).round(9)})
+        return found.sort_values(["distance", id_col]).groupby(query_col, sort=False).head(k)
+
+    keys = ["block", "part"]
+    found = q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInPandas(search, schema)
     rank = F.row_number().over(Window.partitionBy(query_col).orderBy("distance", id_col))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", F.round(1 / (1 + F.col("distance")), 4))
 

@@ -99,15 +99,18 @@ def rolling(trades: DataFrame, n: int, *keys: str) -> DataFrame:
         F.sum(PNL).over(sofar).alias("cumulative_pnl"), F.sum(PNL).over(last).alias("rolling_pnl"), F.avg(PNL).over(last).alias("rolling_avg")).where(F.col("trade_num") >= n)
 
 
-def max_drawdown(trades: DataFrame, *keys: str) -> DataFrame:
-    """The deepest fall of the running result below its maximum, absolute and as a share of the maximum's size.
+def max_drawdown(trades: DataFrame, *keys: str, capital: float = 100_000.0) -> DataFrame:
+    """The deepest fall of capital and running result below their maximum, absolute and as a share of it.
 
-    Daily results are summed first, so the running part is over days and not over all trades.
+    Daily results are summed first, so the running part is over days and not
+    over all trades.  The start counts as a maximum, so the share is defined for
+    groups that only lose; it passes 1 where more than all is lost.
     """
     daily = trades.groupBy(*keys, "exit_date").agg(F.sum(PNL).alias("pnl"))
     w = Window.partitionBy(*keys).orderBy("exit_date").rowsBetween(Window.unboundedPreceding, 0)
-    curve = daily.withColumn("equity", F.sum("pnl").over(w)).withColumn("peak", F.max("equity").over(w))
-    return curve.groupBy(*keys).agg(F.max(F.col("peak") - F.col("equity")).alias("max_drawdown_abs"), F.max((F.col("peak") - F.col("equity")) / (F.abs("peak") + 1e-10)).alias("max_drawdown"))
+    curve = daily.withColumn("equity", F.sum("pnl").over(w) + capital).withColumn("peak", F.greatest(F.lit(capital), F.max("equity").over(w)))
+    fall = F.col("peak") - F.col("equity")
+    return curve.groupBy(*keys).agg(F.max(fall).alias("max_drawdown_abs"), F.max(fall / F.col("peak")).alias("max_drawdown"))
 
 
 def holding_bucket(days: Column) -> Column:

@@ -71,7 +71,7 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.apply_changes(hashed(old), changes, hashed(now), "doc_id")
 
 
-NEAREST = """q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % 50 = 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+NEAREST = """q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % 20 = 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
     v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
     d AS (SELECT query, vec_id, label, list_sum(list_transform(range(1, 65), lambda i: (v[i] - q[i]::DOUBLE) * (v[i] - q[i]::DOUBLE))) AS distance FROM q CROSS JOIN v)"""
 
@@ -86,7 +86,7 @@ def _whole(vectors: DataFrame) -> DataFrame:
 def search_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top five of each query vector among the vectors of even labels."""
     vectors = _whole(table(spark, sf_dir, "embeddings"))
-    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
     return D.nearest(queries, vectors.where("label % 2 = 0"), 5).select("query", "vec_id", "rank", "score")
 
 
@@ -95,7 +95,7 @@ def search_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_postfiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top fifteen of each query vector, of which those of even labels are shown."""
     vectors = _whole(table(spark, sf_dir, "embeddings"))
-    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
     found = D.nearest(queries, vectors, 15)
     return found.join(vectors.where("label % 2 = 0").select("vec_id"), "vec_id", "left_semi").select("query", "vec_id", "rank", "score")
 
@@ -104,7 +104,7 @@ def search_postfiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The top fifteen re-ranked to five different texts."""
     vectors = _whole(table(spark, sf_dir, "embeddings"))
-    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     return D.mmr(D.nearest(queries, vectors, 15).join(texts, "vec_id", "left"), 5).select("query", "vec_id", "rank", "score", "mmr_rank")
 

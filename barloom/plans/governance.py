@@ -11,23 +11,23 @@ from ..operators import trades as T
 from ..sources.tables import daily_bars, table, trades
 from .base import DAILY, TRADES, query
 
-_SEVERITY = "CASE event_id % 40 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END"
+_SEVERITY = "CASE WHEN value > 99.9 THEN 'critical' WHEN value > 99 THEN 'high' WHEN value > 95 THEN 'medium' ELSE 'low' END"
 
 
 def _news_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 10 < 3")
-    k = F.col("event_id") % 40
-    return e.select("event_id", "event_type", "ts", F.when(k == 0, "critical").when(k == 1, "high").when(k == 2, "medium").otherwise("low").alias("severity"))
+    """Errors stand for market events; the value decides how severe one is."""
+    e, v = table(spark, sf_dir, "events").where("event_type = 'error'"), F.col("value")
+    return e.select("event_id", "event_type", "ts", F.when(v > 99.9, "critical").when(v > 99, "high").when(v > 95, "medium").otherwise("low").alias("severity"))
 
 
-@query(f"""WITH e AS (SELECT event_id, ts, {_SEVERITY} AS severity FROM events WHERE event_id % 10 < 3)
+@query(f"""WITH e AS (SELECT event_id, ts, {_SEVERITY} AS severity FROM events WHERE event_type = 'error')
     SELECT event_id, severity, ts - to_hours(CASE severity WHEN 'critical' THEN 12 WHEN 'high' THEN 4 WHEN 'medium' THEN 2 ELSE 1 END) AS valid_from,
         ts + to_hours(CASE severity WHEN 'critical' THEN 24 WHEN 'high' THEN 8 WHEN 'medium' THEN 4 ELSE 2 END) AS valid_until FROM e""")
 def event_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.validity(_news_events(spark, sf_dir)).select("event_id", "severity", "valid_from", "valid_until")
 
 
-_ACTIVE = f"""e AS (SELECT event_id, ts, {_SEVERITY} AS severity FROM events WHERE event_id % 10 < 3),
+_ACTIVE = f"""e AS (SELECT event_id, ts, {_SEVERITY} AS severity FROM events WHERE event_type = 'error'),
     v AS (SELECT *, ts - to_hours(CASE severity WHEN 'critical' THEN 12 WHEN 'high' THEN 4 WHEN 'medium' THEN 2 ELSE 1 END) AS a, ts + to_hours(CASE severity WHEN 'critical' THEN 24 WHEN 'high' THEN 8 WHEN 'medium' THEN 4 ELSE 2 END) AS b FROM e),
     p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'),
     s AS (SELECT p.event_id, p.user_id, p.ts, min(CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 END) AS k FROM p LEFT JOIN v ON p.ts BETWEEN v.a AND v.b GROUP BY ALL),

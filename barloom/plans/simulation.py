@@ -150,9 +150,9 @@ def population_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.diversity(genes).select(F.round("diversity", 6).alias("diversity"))
 
 
-@query("""WITH w AS (SELECT p_partkey AS name, (p_size - 25) / 50.0::DOUBLE AS weight FROM part), p AS (SELECT p_partkey AS name, p_size / 20.0::DOUBLE AS factor FROM part WHERE p_partkey % 3 = 0)
+@query("""WITH w AS (SELECT p_partkey AS name, (p_size - 25) / 50.0::DOUBLE AS weight FROM part), p AS (SELECT p_partkey AS name, p_size / 20.0::DOUBLE AS factor FROM part)
     SELECT w.name, round(least(greatest(w.weight * least(greatest(coalesce(factor, 1), 0.9::DOUBLE), 1.1::DOUBLE), -1), 1), 6) AS weight FROM w LEFT JOIN p ON w.name = p.name""")
 def patched_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     weights = part.select(F.col("p_partkey").alias("name"), ((F.col("p_size") - 25) / 50.0).alias("weight"))
-    return E.apply_patch(weights, part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("name"), (F.col("p_size") / 20.0).alias("factor")))
+    return E.apply_patch(weights, part.select(F.col("p_partkey").alias("name"), (F.col("p_size") / 20.0).alias("factor")))

@@ -99,21 +99,20 @@ def trade_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(_round(_round(T.rolling(trades(spark, sf_dir), 30, "player", "symbol"), 6, "win_rate"), 4, "cumulative_pnl", "rolling_pnl"), 6, "rolling_avg")
 
 
-_DRAWN = f"""{TRADES}, d AS (SELECT player, exit_date, sum(net_pnl) AS pnl FROM trades GROUP BY 1, 2), e AS (SELECT *, sum(pnl) OVER (PARTITION BY player ORDER BY exit_date) AS equity FROM d),
-    p AS (SELECT *, max(equity) OVER (PARTITION BY player ORDER BY exit_date) AS peak FROM e),
-    drawn AS (SELECT player, max(peak - equity) AS max_drawdown_abs, max((peak - equity) / (abs(peak) + 1e-10::DOUBLE)) AS max_drawdown FROM p GROUP BY player)"""
+_DRAWN = f"""{TRADES}, d AS (SELECT player, exit_date, sum(net_pnl) AS pnl FROM trades GROUP BY 1, 2), e AS (SELECT *, 100000 + sum(pnl) OVER (PARTITION BY player ORDER BY exit_date) AS equity FROM d),
+    p AS (SELECT *, greatest(100000, max(equity) OVER (PARTITION BY player ORDER BY exit_date)) AS peak FROM e),
+    drawn AS (SELECT player, max(peak - equity) AS max_drawdown_abs, max((peak - equity) / peak) AS max_drawdown FROM p GROUP BY player)"""
 
 
-@query(f"WITH {_DRAWN} SELECT player, round(max_drawdown_abs, 4) AS max_drawdown_abs, round(least(max_drawdown, 100), 5) AS max_drawdown FROM drawn")
+@query(f"WITH {_DRAWN} SELECT player, round(max_drawdown_abs, 4) AS max_drawdown_abs, round(max_drawdown, 5) AS max_drawdown FROM drawn")
 def trade_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = T.max_drawdown(trades(spark, sf_dir), "player").withColumn("max_drawdown", F.least(F.col("max_drawdown"), F.lit(100.0)))
-    return _round(_round(out, 4, "max_drawdown_abs"), 5, "max_drawdown")
+    return _round(_round(T.max_drawdown(trades(spark, sf_dir), "player"), 4, "max_drawdown_abs"), 5, "max_drawdown")
 
 
 @query(f"""WITH {_DRAWN}, m AS (SELECT symbol, player, count(*) AS n, sum(net_pnl) AS profit, count(*) FILTER (net_pnl > 0) / count(*)::DOUBLE AS wr,
         coalesce(avg(net_pnl_pct) / nullif(stddev_pop(net_pnl_pct), 0) * sqrt(252), 0) AS sharpe,
         CASE WHEN -sum(net_pnl) FILTER (NOT net_pnl > 0) > 0 THEN coalesce(sum(net_pnl) FILTER (net_pnl > 0), 0) / -sum(net_pnl) FILTER (NOT net_pnl > 0) ELSE 10 END AS pf FROM trades GROUP BY 1, 2),
-    x AS (SELECT m.*, least(max_drawdown, 1) AS dd FROM m JOIN drawn USING (player)),
+    x AS (SELECT m.*, max_drawdown AS dd FROM m JOIN drawn USING (player)),
     s AS (SELECT *, (0.3::DOUBLE / (1 + exp(-profit / 10000)) + 0.25::DOUBLE * CASE WHEN sharpe < 0 THEN 0 ELSE 1 / (1 + exp(-(sharpe - 1) * 2)) END + 0.2::DOUBLE * greatest(0, 1 - dd)
         + 0.25::DOUBLE * (0.7::DOUBLE * CASE WHEN wr >= 0.7 THEN 1.0::DOUBLE WHEN wr >= 0.65 THEN 0.9::DOUBLE + (wr - 0.65::DOUBLE) * 2 WHEN wr >= 0.55 THEN 0.7::DOUBLE + (wr - 0.55::DOUBLE) * 2
             ELSE greatest(0, wr / 0.55::DOUBLE * 0.7::DOUBLE) END + 0.3::DOUBLE * CASE WHEN pf > 0 THEN least(1, pf / 2) ELSE 0 END))
@@ -124,7 +123,7 @@ def trade_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strategy_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each symbol of a player scored with the player's drawdown."""
     rows = trades(spark, sf_dir)
-    drawn = T.max_drawdown(rows, "player").select("player", F.least(F.col("max_drawdown"), F.lit(1.0)).alias("max_drawdown"))
+    drawn = T.max_drawdown(rows, "player").select("player", "max_drawdown")
     out = T.fitness(T.metrics(rows, "symbol", "player").join(drawn, "player"))
     return _round(out.select("player", "symbol", "total_trades", "fitness"), 6, "fitness")
 
@@ -248,12 +247,12 @@ def asof_next_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "user_id", F.round("next_view", 6).alias("next_view"))
 
 
-@query("""WITH s AS (SELECT event_id AS alarm, event_type AS kind, ts - INTERVAL 2 HOUR AS valid_from, ts + INTERVAL 4 HOUR AS valid_until FROM events WHERE event_id % 97 = 0)
+@query("""WITH s AS (SELECT event_id AS alarm, event_type AS kind, ts - INTERVAL 2 HOUR AS valid_from, ts + INTERVAL 4 HOUR AS valid_until FROM events WHERE event_type = 'error')
     SELECT e.event_id, s.alarm, s.kind FROM events e JOIN s ON e.ts BETWEEN s.valid_from AND s.valid_until WHERE e.event_type = 'purchase'""")
 def interval_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases within the validity of alarms: two hours before to four after."""
+    """Purchases within the validity of errors as alarms: two hours before to four after."""
     e = table(spark, sf_dir, "events")
-    spans = e.where("event_id % 97 = 0").select(F.col("event_id").alias("alarm"), F.col("event_type").alias("kind"), F.expr("ts - INTERVAL 2 HOURS").alias("valid_from"), F.expr("ts + INTERVAL 4 HOURS").alias("valid_until"))
+    spans = e.where("event_type = 'error'").select(F.col("event_id").alias("alarm"), F.col("event_type").alias("kind"), F.expr("ts - INTERVAL 2 HOURS").alias("valid_from"), F.expr("ts + INTERVAL 4 HOURS").alias("valid_until"))
     out = J.interval_join(e.where("event_type = 'purchase'").select("event_id", "ts"), spans, "ts", "valid_from", "valid_until", 6)
     return out.select("event_id", "alarm", "kind")
 
