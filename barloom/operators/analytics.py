@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -82,3 +86,64 @@ def simple_regimes(bars: DataFrame, trend: int = 20, lookback: int = 252) -> Dat
     out = out.withColumn("vol_pct", share).withColumn("distance", F.try_divide(F.col("close") - F.col("mean_close"), F.col("mean_close")))
     return out.withColumn("regime", F.when(F.col("rn") <= 2 * trend, "unknown").when(F.col("vol_pct") > 0.8, "volatile")
                           .when(F.col("distance") > 0.02, "trending_up").when(F.col("distance") < -0.02, "trending_down").otherwise("ranging"))
+
+
+def _wilder(x: np.ndarray, n: int) -> np.ndarray:
+    """Seeded with the mean of the first n values, then (before * (n - 1) + x) / n; a missing seed stays missing."""
+    out = np.full(len(x), np.nan)
+    if len(x) >= n:
+        out[n - 1] = x[:n].mean()
+        for i in range(n, len(x)):
+            out[i] = (out[i - 1] * (n - 1) + x[i]) / n
+    return out
+
+
+def _detect(b: pd.DataFrame, n: int, vol: int, adx_limit: float, vol_limit: float, seeded: bool) -> pd.DataFrame:
+    b = b.sort_values("ts", kind="stable")
+    high, low, close = (b[c].to_numpy(np.float64) for c in ("high", "low", "close"))
+    size = len(b)
+    tr = np.maximum(high[1:] - low[1:], np.maximum(np.abs(high[1:] - close[:-1]), np.abs(low[1:] - close[:-1])))
+    up, down = np.diff(high), -np.diff(low)
+    atr = _wilder(tr, n) + 1e-10
+    plus = 100 * _wilder(np.where((up > down) & (up > 0), up, 0.0), n) / atr
+    minus = 100 * _wilder(np.where((down > up) & (down > 0), down, 0.0), n) / atr
+    dx = 100 * np.abs(plus - minus) / (plus + minus + 1e-10)
+    adx = np.full(size, np.nan)
+    skip = n - 1 if seeded else 0
+    if size > 1 + skip:
+        adx[1 + skip:] = _wilder(dx[skip:], n)
+    ema = pd.Series(close).ewm(span=n, adjust=False).mean().to_numpy()
+    slow = pd.Series(close).ewm(span=2 * n, adjust=False).mean().to_numpy()
+    slope = np.full(size, np.nan)
+    slope[5:] = ema[5:] - ema[:-5]
+    strength = np.minimum(1.0, np.abs(ema - slow) / (pd.Series(close).rolling(n).mean().to_numpy() + 1e-10) * 20)
+    mean_tr = np.concatenate([[np.nan], pd.Series(tr).rolling(vol).mean().to_numpy()]) if size else tr
+    # The exact share of all values so far: each is filed in a sorted list.
+    seen: list[float] = []
+    share_below = np.full(size, 0.5)
+    for i, x in enumerate(mean_tr):
+        if not np.isnan(x):
+            insort(seen, x)
+            if i >= 2 * vol - 1:
+                share_below[i] = bisect_right(seen, x) / len(seen)
+    trending, volatile = adx > adx_limit, share_below > vol_limit
+    regime = np.select([np.arange(size) < 2 * n, volatile & ~trending, trending & (slope > 0), trending & (slope < 0)], ["unknown", "volatile", "trending_up", "trending_down"], "ranging")
+    sure = {"volatile": np.minimum(1.0, share_below), "ranging": np.fmin(1.0, (adx_limit - adx) / adx_limit), "unknown": np.zeros(size)}
+    confidence = np.select([regime == k for k in sure], list(sure.values()), np.minimum(1.0, adx / 50))
+    run = np.arange(size) - np.maximum.accumulate(np.where(np.concatenate([[True], regime[1:] != regime[:-1]]), np.arange(size), 0)) + 1 if size else np.zeros(0, int)
+    return pd.DataFrame({"symbol": b["symbol"], "ts": b["ts"], "close": close, "regime": regime, "adx": adx, "slope": slope, "strength": strength * np.sign(np.nan_to_num(slope)), "vol_pct": share_below, "confidence": confidence, "duration": run})
+
+
+def detect_regimes(bars: DataFrame, trend: int = 20, vol: int = 20, adx_limit: float = 25.0, vol_limit: float = 0.7, seeded: bool = True) -> DataFrame:
+    """(symbol, ts, close, regime, adx, slope, strength, vol_pct, confidence, duration) for every bar, from the bars up to it.
+
+    Trending by the average directional index and the slope of an EMA over five
+    bars; volatile by the share of all mean true ranges so far that are no
+    larger; unknown for the first 2 * ``trend`` bars.  One pass a series: a
+    series is bounded by calendar time.  The second smoothing of the index starts
+    at its first value; with ``seeded`` False it takes in the missing ones before
+    it, stays missing for ever, and nothing is called trending.
+    """
+    kept = {f.name: f.dataType.simpleString() for f in bars.schema if f.name in ("symbol", "ts")}
+    schema = ", ".join(f"{c} {t}" for c, t in kept.items()) + ", close double, regime string, adx double, slope double, strength double, vol_pct double, confidence double, duration long"
+    return bars.select("symbol", "ts", "high", "low", "close").groupBy("symbol").applyInPandas(lambda b: _detect(b, trend, vol, adx_limit, vol_limit, seeded), schema)

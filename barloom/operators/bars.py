@@ -103,3 +103,26 @@ def resample(bars: DataFrame, unit: str) -> DataFrame:
     """Coarser bars: first open, highest high, lowest low, last close, summed volume; empty bins give none."""
     return bars.groupBy("symbol", F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("bin")).agg(
         F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"))
+
+
+def up_to(rows: DataFrame, moment: object, at: str = "ts") -> DataFrame:
+    """What was known at a moment: rows at or before it."""
+    return rows.where(F.col(at) <= F.lit(moment).cast(rows.schema[at].dataType))
+
+
+def alive(rows: DataFrame, now: object, hours: int, at: str = "ts") -> DataFrame:
+    """Rows not older than so many hours."""
+    return rows.where(F.col(at) >= F.lit(now).cast(rows.schema[at].dataType) - F.make_dt_interval(hours=F.lit(hours)))
+
+
+def primary_names(rows: DataFrame, outputs: dict[str, list[str]]) -> DataFrame:
+    """Each indicator's first output under the indicator's name; its other outputs go."""
+    rename = {cols[0]: name for name, cols in outputs.items() if cols and cols[0] in rows.columns}
+    extra = [c for cols in outputs.values() for c in cols[1:] if c in rows.columns]
+    return rows.withColumnsRenamed(rename).drop(*extra)
+
+
+def usable_definitions(definitions: dict[str, bool], bars: DataFrame) -> list[str]:
+    """Indicators that these bars allow: those that need volume only where there is some."""
+    has_volume = "volume" in bars.columns and bars.where("volume > 0").limit(1).count() > 0
+    return [name for name, needs in definitions.items() if has_volume or not needs]

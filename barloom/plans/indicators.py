@@ -135,12 +135,13 @@ ROWS = f"""{DAILY}, r0 AS (SELECT *, row_number() {P}) AS rn, lag(close) {P}) AS
         CASE WHEN rn > 1 AND high - ph > pl - low AND high > ph THEN high - ph ELSE 0 END AS up, CASE WHEN rn > 1 AND pl - low > high - ph AND pl > low THEN pl - low ELSE 0 END AS dn,
         CASE WHEN high = low THEN 0.0 ELSE (2 * close - low - high) / (high - low) END * volume AS mfv FROM r0),
     s AS (SELECT *, sum(mfv) {P}) AS flow, {', '.join(f"avg(tr) {_r(n)} AS tr{n}" for n in (7, 10, 14, 20))},
+        avg(up) {_r(20)} AS up_mean, avg(dn) {_r(20)} AS dn_mean,
         {', '.join(f"lag(close, {n}) {P}) AS c{n}, sum(abs(d)) {_r(n)} AS noise{n}" for n in (10, 20))} FROM r1)"""
 
 States = dict[str, tuple[str, str]]
 
 
-def _fold(states: States, outputs: dict[str, str], inner: str = "SELECT * FROM e") -> str:
+def fold(states: States, outputs: dict[str, str] | str, inner: str = "SELECT * FROM e") -> str:
     """SQL that goes through each symbol's bars in order.  A state has its value at the first bar, and its
     value at a later one from the bar's columns, the old states and, with an n before the name, the new states above it."""
     rows = f"SELECT s.*, {', '.join(f'e.{x}' for x in states)} FROM e JOIN s ON s.symbol = e.symbol AND s.rn = e.rn + 1"
@@ -149,10 +150,10 @@ def _fold(states: States, outputs: dict[str, str], inner: str = "SELECT * FROM e
     begin = ", ".join(f"({first})::DOUBLE AS {x}" for x, (first, _) in states.items())
     each = f"""e AS (SELECT symbol, rn, {begin} FROM s WHERE rn = 1 UNION ALL SELECT symbol, rn, {', '.join(f'n{x}' for x in states)} FROM ({rows})),
         f AS (SELECT * FROM s JOIN e USING (symbol, rn)), g AS ({inner.replace(' FROM e', ' FROM f')})"""
-    return f"WITH RECURSIVE {ROWS}, {each} {_select(outputs, 'g')}"
+    return f"WITH RECURSIVE {ROWS}, {each} {outputs if isinstance(outputs, str) else _select(outputs, 'g')}"
 
 
-def _ema(name: str, x: str, n: int, start: int = 1, alpha: float | None = None, new: bool = False) -> States:
+def smoothed(name: str, x: str, n: int, start: int = 1, alpha: float | None = None, new: bool = False) -> States:
     """Smoothing that starts with the value of ``x`` at bar ``start``; ``x`` may be a new state."""
     a = f"({alpha or f'2.0::DOUBLE / {n + 1}'})"
     first = x if start == 1 and not new else "NULL"
@@ -163,7 +164,7 @@ def _chain(n: int, k: int, x: str = "close") -> States:
     """The mean of the mean and so on, each from the first full value of the one before."""
     out: States = {}
     for i in range(1, k + 1):
-        out |= _ema(f"e{n}_{i}", x if i == 1 else f"ne{n}_{i - 1}", n, (i - 1) * (n - 1) + 1, new=i > 1)
+        out |= smoothed(f"e{n}_{i}", x if i == 1 else f"ne{n}_{i - 1}", n, (i - 1) * (n - 1) + 1, new=i > 1)
     return out
 
 
@@ -185,10 +186,10 @@ def _atr(n: int) -> States:
     return {f"a{n}": ("NULL", f"CASE WHEN rn < {n} THEN NULL WHEN rn = {n} THEN tr{n} ELSE (a{n} * {n - 1} + tr) / {n} END")}
 
 
-_SMOOTH = {n: _ema(f"e{n}_1", "close", n) for n in (50, 100, 200)}
+_SMOOTH = {n: smoothed(f"e{n}_1", "close", n) for n in (50, 100, 200)}
 
 
-@query(_fold({**_chain(5, 6), **_chain(10, 6), **_chain(20, 3), **_SMOOTH[50], **_SMOOTH[100], **_SMOOTH[200], **_kama(10), **_kama(20),
+@query(fold({**_chain(5, 6), **_chain(10, 6), **_chain(20, 3), **_SMOOTH[50], **_SMOOTH[100], **_SMOOTH[200], **_kama(10), **_kama(20),
               **{x: y for n in (9, 21) for x, y in {f"num{n}": ("close", f"close + (1 - 2.0::DOUBLE / {n + 1}) * num{n}"), f"den{n}": ("1", f"1 + (1 - 2.0::DOUBLE / {n + 1}) * den{n}")}.items()}},
              {**{f"EMA_{n}": _from(n, f"e{n}_1") for n in (10, 20, 50, 100, 200)}, **{f"DEMA_{n}": _from(2 * n - 1, f"2 * e{n}_1 - e{n}_2") for n in (10, 20)},
               **{f"TEMA_{n}": _from(3 * n - 2, f"3 * e{n}_1 - 3 * e{n}_2 + e{n}_3") for n in (10, 20)}, **{f"T3_{n}": _t3(n) for n in (5, 10)},
@@ -198,12 +199,12 @@ def indicators_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MACD = ((12, 26, 9), (8, 17, 9), (5, 35, 5))
-_TSI = {**_ema("t1", "d", 25, 2), **_ema("t2", "nt1", 13, 26, new=True), **_ema("u1", "abs(d)", 25, 2), **_ema("u2", "nu1", 13, 26, new=True)}
+_TSI = {**smoothed("t1", "d", 25, 2), **smoothed("t2", "nt1", 13, 26, new=True), **smoothed("u1", "abs(d)", 25, 2), **smoothed("u2", "nu1", 13, 26, new=True)}
 
 
-@query(_fold({**{x: y for n in (7, 14, 21) for x, y in {**_ema(f"up{n}", "greatest(d, 0)", n, alpha=1 / n), **_ema(f"dn{n}", "greatest(-d, 0)", n, alpha=1 / n)}.items()},
-              **{x: y for n in sorted({n for m in _MACD for n in m[:2]}) for x, y in _ema(f"m{n}", "close", n).items()},
-              **{x: y for f, s, g in _MACD for x, y in _ema(f"g{f}", f"(nm{f} - nm{s})", g, s, new=True).items()}, **_TSI},
+@query(fold({**{x: y for n in (7, 14, 21) for x, y in {**smoothed(f"up{n}", "greatest(d, 0)", n, alpha=1 / n), **smoothed(f"dn{n}", "greatest(-d, 0)", n, alpha=1 / n)}.items()},
+              **{x: y for n in sorted({n for m in _MACD for n in m[:2]}) for x, y in smoothed(f"m{n}", "close", n).items()},
+              **{x: y for f, s, g in _MACD for x, y in smoothed(f"g{f}", f"(nm{f} - nm{s})", g, s, new=True).items()}, **_TSI},
              {**{f"RSI_{n}": _from(n, f"100 * up{n} / nullif(up{n} + dn{n}, 0)") for n in (7, 14, 21)},
               **{x: y for f, s, g in _MACD for x, y in {f"MACD_{f}_{s}_{g}": _from(s, f"m{f} - m{s}"), f"MACDh_{f}_{s}_{g}": _from(s + g - 1, f"m{f} - m{s} - g{f}"), f"MACDs_{f}_{s}_{g}": _from(s + g - 1, f"g{f}")}.items()},
               "TSI_13_25": _from(38, "100 * t2 / nullif(u2, 0)")}))
@@ -211,24 +212,24 @@ def indicators_oscillators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recursive(spark, sf_dir, "oscillators")
 
 
-@query(_fold({"e10_1": _chain(10, 1)["e10_1"], **_SMOOTH[50], **_SMOOTH[100], **_SMOOTH[200], "e20_1": _chain(20, 1)["e20_1"]},
+@query(fold({"e10_1": _chain(10, 1)["e10_1"], **_SMOOTH[50], **_SMOOTH[100], **_SMOOTH[200], "e20_1": _chain(20, 1)["e20_1"]},
              {f"EMA_{n}": _from(n, f"e{n}_1") for n in (10, 20, 50, 100, 200)}))
-def indicators_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+def indicatorssmoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recursive(spark, sf_dir, "smoothing", "EMA_10", "EMA_20", "EMA_50", "EMA_100", "EMA_200")
 
 
-@query(_fold({x: y for n in (7, 14, 21) for x, y in {**_ema(f"up{n}", "greatest(d, 0)", n, alpha=1 / n), **_ema(f"dn{n}", "greatest(-d, 0)", n, alpha=1 / n)}.items()},
+@query(fold({x: y for n in (7, 14, 21) for x, y in {**smoothed(f"up{n}", "greatest(d, 0)", n, alpha=1 / n), **smoothed(f"dn{n}", "greatest(-d, 0)", n, alpha=1 / n)}.items()},
              {f"RSI_{n}": _from(n, f"100 * up{n} / nullif(up{n} + dn{n}, 0)") for n in (7, 14, 21)}))
 def indicators_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recursive(spark, sf_dir, "oscillators", "RSI_7", "RSI_14", "RSI_21")
 
 
-@query(_fold(_atr(14), {"ATR_14": "a14", "NATR_14": "100 * a14 / close"}))
+@query(fold(_atr(14), {"ATR_14": "a14", "NATR_14": "100 * a14 / close"}))
 def indicators_atr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recursive(spark, sf_dir, "ranges", "ATR_14", "NATR_14")
 
 
-@query(_fold({**_atr(14), **_atr(20), **_chain(9, 2, "(high - low)")},
+@query(fold({**_atr(14), **_atr(20), **_chain(9, 2, "(high - low)")},
              {**{f"ATR_{n}": f"a{n}" for n in (14, 20)}, **{f"NATR_{n}": f"100 * a{n} / close" for n in (14, 20)},
               **{f'"KC{x}_20_{k:g}"': f"mid20 {sign} {k if sign else 0}::DOUBLE * a20" if sign else "mid20" for k in (2.0, 1.5) for x, sign in (("L", "-"), ("M", ""), ("U", "+"))},
               "MASSI_9_25": f"CASE WHEN count(ratio) {_r(25)} = 25 THEN sum(ratio) {_r(25)} END"},
@@ -240,7 +241,7 @@ def indicators_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _adx(n: int) -> States:
     out: States = {}
     for x, y in (("t", "tr"), ("p", "up"), ("m", "dn")):
-        out |= _ema(f"x{x}{n}", y, n, 2, alpha=1 / n)
+        out |= smoothed(f"x{x}{n}", y, n, 2, alpha=1 / n)
     dx = f"(CASE WHEN rn > {n} THEN 100 * abs(nxp{n} / nullif(nxt{n}, 0) - nxm{n} / nullif(nxt{n}, 0)) / nullif(nxp{n} / nullif(nxt{n}, 0) + nxm{n} / nullif(nxt{n}, 0), 0) END)"
     out |= {f"dx{n}": ("NULL", dx), f"cx{n}": ("0", f"cx{n} + CASE WHEN ndx{n} IS NULL THEN 0 ELSE 1 END"),
             f"ax{n}": ("NULL", f"CASE WHEN ndx{n} IS NULL THEN ax{n} WHEN ax{n} IS NULL THEN ndx{n} ELSE {1 / n}::DOUBLE * ndx{n} + (1 - {1 / n}::DOUBLE) * ax{n} END")}
@@ -258,7 +259,7 @@ _PSAR = {
 }
 
 
-@query(_fold({**_adx(14), **_adx(20), **_atr(7), **_atr(10), **_atr(20), **_PSAR},
+@query(fold({**_adx(14), **_adx(20), **_atr(7), **_atr(10), **_atr(20), **_PSAR},
              {**{x: y for n in (14, 20) for x, y in {f"ADX_{n}": f"CASE WHEN cx{n} >= {n} AND dx{n} IS NOT NULL THEN ax{n} END", f"DMP_{n}": _from(n + 1, f"100 * xp{n} / nullif(xt{n}, 0)"), f"DMN_{n}": _from(n + 1, f"100 * xm{n} / nullif(xt{n}, 0)")}.items()},
               **{x: y for n, k in _SUPER for x, y in {f"SUPERT_{n}_{k:g}": f"CASE WHEN coalesce(last_value(turn{n} IGNORE NULLS) {P}), 1) > 0 THEN low{n} ELSE high{n} END", f"SUPERTd_{n}_{k:g}": f"coalesce(last_value(turn{n} IGNORE NULLS) {P}), 1)::DOUBLE"}.items()},
               "PSARl": "sl", "PSARs": "ss", "PSARlf": f"(sl IS NOT NULL AND lag(sl) {P}) IS NULL)::INT::DOUBLE", "PSARsf": f"(ss IS NOT NULL AND lag(ss) {P}) IS NULL)::INT::DOUBLE"},
@@ -268,7 +269,7 @@ def indicators_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recursive(spark, sf_dir, "direction")
 
 
-@query(_fold({**_ema("f3", "flow", 3), **_ema("f10", "flow", 10), **_ema("i13", "(close - pc) * volume", 13, 2), **_ema("i20", "(close - pc) * volume", 20, 2)},
+@query(fold({**smoothed("f3", "flow", 3), **smoothed("f10", "flow", 10), **smoothed("i13", "(close - pc) * volume", 13, 2), **smoothed("i20", "(close - pc) * volume", 20, 2)},
              {"ADOSC_3_10": _from(10, "f3 - f10"), "EFI_13": _from(14, "i13"), "EFI_20": _from(21, "i20")}))
 def indicators_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recursive(spark, sf_dir, "flows")
