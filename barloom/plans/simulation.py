@@ -17,7 +17,8 @@ from ..sources.tables import daily_bars, table
 from ..streaming import bars as ST
 from .base import DAILY, query
 
-RUNS = [S.Rules("base"), S.Rules("tight", stop=1.0, take_profit=1.5), S.Rules("eager", enter=0.3, leave=0.1), S.Rules("long", long_only=True, take_profit=0.0)]
+RUNS = [S.Rules("base"), S.Rules("tight", stop=1.0, take_profit=1.5), S.Rules("eager", enter=0.3, leave=0.1), S.Rules("long", long_only=True, take_profit=0.0),
+        S.Rules("inflated", accounting="inflated", max_value=50_000.0), S.Rules("weekly", week_limit=0.01)]
 PORTFOLIOS = 8
 
 
@@ -33,7 +34,7 @@ def signal_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def simulated_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades of four runs over all portfolios."""
+    """Trades of six runs over all portfolios."""
     out = S.simulate(signal_bars(spark, sf_dir), S.runs_table(spark, RUNS))
     return out.withColumns({c: F.round(c, 4) for c in ("entry_price", "exit_price", "gross_pnl", "total_costs", "net_pnl")})
 
@@ -47,6 +48,20 @@ def simulated_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("run_id", "total_trades", "winning_trades", *(F.round(c, 4).alias(c) for c in ("net_profit", "win_rate", "profit_factor", "sharpe", "max_drawdown_abs")))
 
 
+_GENOMES = {"g1": {"si": 1.0}, "g2": {"si": -1.0}, "g3": {"si": 0.5, "mom": 1.0}, "g4": {"mom": -1.0}}
+
+
+@query()
+def genome_simulations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitness of four genomes by simulation: their trades' metrics and drawdown, scored."""
+    mom = N.squash(A.pct_change("close", 5, over=B.series()) * 10)
+    rows = signal_bars(spark, sf_dir).withColumn("mom", F.coalesce(mom, F.lit(0.0)))
+    out = S.genome_runs(rows, _GENOMES, S.Rules(max_value=50_000.0)).withColumns({
+        "trade_id": F.concat_ws("-", "run_id", "symbol", "entry_date"), "net_pnl_pct": F.try_divide("net_pnl", F.col("entry_price") * F.col("quantity"))})
+    m = T.fitness(T.metrics(out, "run_id").join(T.max_drawdown(out, "run_id"), "run_id"))
+    return m.select("run_id", "total_trades", *(F.round(c, 4).alias(c) for c in ("net_profit", "win_rate", "max_drawdown", "fitness")))
+
+
 def _factors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     rows = daily_bars(spark, sf_dir)
     r = rows.withColumns({"F_1": A.pct_change("close", 1), "F_5": A.pct_change("close", 5), "V_1": A.pct_change("volume", 1), "H_0": F.try_divide(F.col("high") - F.col("low"), F.col("close")),

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -21,9 +25,33 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which all executors share.
+
+    A temporary one where it is unset, but on one machine only: on a cluster
+    executors would not find each other's files there.
+    """
     sc = spark.sparkContext
-    known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if known is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        known = tempfile.mkdtemp(prefix="spark-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(known)
     return known
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context; ``spark-submit --py-files`` does the same from outside."""
+    sc = spark.sparkContext
+    if getattr(sc, "_barloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    files = sorted(root.rglob("*.py"))
+    digest = hashlib.md5(b"".join(f.read_bytes() for f in files)).hexdigest()[:12]
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"barloom-{digest}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in files:
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(path)
+    sc._barloom_shipped = True
