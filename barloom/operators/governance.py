@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .trades import share
+from .trades import max_drawdown, metrics, share
 
 # Hours that an event stays valid by severity, and what a posture allows.
 VALID_HOURS = {"critical": 24, "high": 8, "medium": 4, "low": 2}
@@ -47,26 +47,70 @@ def changes(rows: DataFrame, state: str, order: str, *keys: str) -> DataFrame:
     return changed.withColumn("audit_id", F.concat_ws("_", *[F.col(k).cast("string") for k in keys], F.lpad(F.row_number().over(w).cast("string"), 6, "0")))
 
 
-def walk_forward_gate(windows: DataFrame, least_win_rate: float = 0.5, most_drawdown: float = 0.2, least_share: float = 0.6) -> DataFrame:
-    """Does a strategy pass in enough windows?  ``windows`` has strategy, window, win_rate, profit, drawdown.
+# Days back, weight in the score and least number of trades of each window.
+WINDOWS = {"recent": (30, 0.4, 10), "medium": (90, 0.35, 25), "long": (180, 0.25, 40)}
 
-    Later windows weigh more: the n-th counts n times.
+
+def window_metrics(trades: DataFrame, end: object, *keys: str) -> DataFrame:
+    """(keys, window, total_trades, net_profit, sharpe, max_drawdown) of the trades that left within each of WINDOWS before ``end``."""
+    windows = F.array(*(F.when(F.col("exit_date") > F.date_sub(F.lit(end).cast("date"), days), F.lit(name)) for name, (days, _, _) in WINDOWS.items()))
+    rows = trades.where(F.col("exit_date") <= F.lit(end).cast("date")).withColumn("window", F.explode(F.array_compact(windows)))
+    return metrics(rows, *keys, "window").join(max_drawdown(rows, *keys, "window"), [*keys, "window"]).select(*keys, "window", "total_trades", "net_profit", "sharpe", "max_drawdown")
+
+
+def walk_forward_gate(baseline: DataFrame, candidate: DataFrame, key: str = "strategy", least_gain: float = 2.0, most_fall: float = 3.0, least_windows: int = 2, all_windows: bool = False) -> DataFrame:
+    """Does a candidate beat its baseline in enough windows?  Both are tables of ``window_metrics``.
+
+    A window passes with enough trades, a profit better by ``least_gain`` percent
+    (from nothing any gain counts as 100), a drawdown deeper by at most
+    ``most_fall`` points and a Sharpe ratio worse by at most 0.5.  The score is
+    the weight of the windows passed among those that both sides have.
+    """
+    rows = baseline.select(key, "window", *(F.col(c).alias(f"b_{c}") for c in ("net_profit", "sharpe", "max_drawdown"))).join(candidate, [key, "window"])
+    gain = F.when(F.col("b_net_profit") == 0, F.when(F.col("net_profit") > 0, 100.0).otherwise(0.0)).otherwise((F.col("net_profit") - F.col("b_net_profit")) / F.abs("b_net_profit") * 100)
+    weight, enough = (lookup(F.col("window"), {k: v[i] for k, v in WINDOWS.items()}) for i in (1, 2))
+    passed = (F.col("total_trades") >= enough) & (gain >= least_gain) & ((F.col("max_drawdown") - F.col("b_max_drawdown")) * 100 <= most_fall) & (F.col("sharpe") - F.col("b_sharpe") >= -0.5)
+    out = rows.withColumns({"passed": passed, "weight": weight}).groupBy(key).agg(
+        F.count("*").alias("n_windows"), F.count_if("passed").alias("n_passed"), share(F.sum(F.when(F.col("passed"), F.col("weight")).otherwise(0.0)), F.sum("weight")).alias("score"))
+    return out.withColumn("accepted", (F.col("n_passed") == F.col("n_windows")) if all_windows else (F.col("n_passed") >= least_windows))
+
+
+def _day_metrics(daily: DataFrame, key: str) -> DataFrame:
+    w = Window.partitionBy(key).orderBy("day")
+    sofar = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = daily.withColumns({"_cum": F.sum("pnl").over(sofar), "_rn": F.row_number().over(w)})
+    rows = rows.withColumns({"_fall": F.max("_cum").over(sofar) - F.col("_cum"), "_good": F.coalesce(F.max(F.when(F.col("pnl") >= 0, F.col("_rn"))).over(sofar), F.lit(0))})
+    return rows.groupBy(key).agg(
+        F.max("n_trades").alias("busiest"), F.avg("n_trades").alias("turnover"), F.max("_fall").alias("_fall"), F.sum(F.abs("pnl")).alias("_size"), F.sum("pnl").alias("_total"),
+        (share(F.count_if(F.col("pnl") > 0), F.count("*")) * 100).alias("good_days"), F.max(F.col("_rn") - F.col("_good")).alias("losses_in_a_row"), F.max("pnl").alias("_best"))
+
+
+def stability_gate(baseline: DataFrame, candidate: DataFrame, key: str = "strategy", most_trades: float = 15, most_change: float = 50.0, most_fall: float = 15.0, least_days: float = 45.0, most_losses: int = 5, most_share: float = 30.0) -> DataFrame:
+    """Four checks of a candidate's days, of which three must hold; both tables have the key, day, n_trades, pnl.
+
+    Turnover: no day with too many trades, and their mean not too far from the
+    baseline's.  Drawdown: the deepest fall in percent of the sum of all daily
+    results' sizes, 100 for those that lose on the whole.  Consistency: enough
+    days with a gain and no long row of losing ones.  Concentration: the best day
+    in percent of the whole, where that is a gain.
     """
-    passed = (F.col("win_rate") >= least_win_rate) & (F.col("profit") > 0) & (F.col("drawdown") <= most_drawdown)
-    rows = windows.withColumn("passed", passed).withColumn("weight", F.row_number().over(Window.partitionBy("strategy").orderBy("window")))
-    out = rows.groupBy("strategy").agg(F.count("*").alias("n_windows"), F.count_if("passed").alias("n_passed"), share(F.sum(F.when(F.col("passed"), F.col("weight")).otherwise(0)), F.sum("weight")).alias("score"))
-    return out.withColumn("accepted", F.col("score") >= least_share)
-
-
-def stability_gate(daily: DataFrame, most_turnover: float = 40.0, most_drawdown: float = 50_000.0, least_share: float = 0.45, most_concentration: float = 0.3) -> DataFrame:
-    """Four checks over a strategy's days, of which three must hold.  ``daily`` has strategy, day, n_trades, pnl."""
-    w = Window.partitionBy("strategy").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    rows = daily.withColumn("equity", F.sum("pnl").over(w)).withColumn("fall", F.max("equity").over(w) - F.col("equity"))
-    m = rows.groupBy("strategy").agg(
-        F.avg("n_trades").alias("turnover"), F.max("fall").alias("drawdown"), share(F.count_if(F.col("pnl") > 0), F.count("*")).alias("consistency"),
-        share(F.max(F.abs("pnl")), F.sum(F.abs("pnl"))).alias("concentration"))
-    checks = [F.col("turnover") <= most_turnover, F.col("drawdown") <= most_drawdown, F.col("consistency") >= least_share, F.col("concentration") <= most_concentration]
-    return m.withColumn("n_held", sum((c.cast("int") for c in checks), F.lit(0))).withColumn("stable", F.col("n_held") >= 3)
+    base = baseline.groupBy(key).agg(F.avg("n_trades").alias("_before"))
+    m = _day_metrics(candidate, key).join(base, key, "left").withColumns({
+        "change": F.coalesce(F.when(F.col("_before") > 0, F.abs(F.col("turnover") - F.col("_before")) / F.col("_before") * 100), F.lit(0.0)),
+        "fall": F.when(F.col("_total") > 0, share(F.col("_fall"), F.col("_size")) * 100).otherwise(100.0),
+        "concentration": F.when(F.col("_total") > 0, F.col("_best") / F.col("_total") * 100).otherwise(0.0)})
+    checks = {"turnover_ok": (F.col("busiest") <= most_trades) & (F.col("change") <= most_change), "drawdown_ok": F.col("fall") <= most_fall,
+              "consistency_ok": (F.col("good_days") >= least_days) & (F.col("losses_in_a_row") <= most_losses), "concentration_ok": F.col("concentration") <= most_share}
+    out = m.withColumns(checks).withColumn("n_held", sum((F.col(c).cast("int") for c in checks), F.lit(0)))
+    return out.select(key, "turnover", "change", "fall", "good_days", "losses_in_a_row", "concentration", *checks, "n_held", (F.col("n_held") >= 3).alias("stable"))
+
+
+def validation(forward: DataFrame, stability: DataFrame, key: str = "strategy") -> DataFrame:
+    """PASS where every gate that could be held was passed, CONDITIONAL where one was, else FAIL; the score is the share passed."""
+    both = forward.select(key, "accepted").join(stability.select(key, "stable"), key, "full")
+    held = F.col("accepted").isNotNull().cast("int") + F.col("stable").isNotNull().cast("int")
+    passed = F.coalesce(F.col("accepted"), F.lit(False)).cast("int") + F.coalesce(F.col("stable"), F.lit(False)).cast("int")
+    return both.select(key, (passed / held).alias("score"), F.when(passed == held, "PASS").when(passed > 0, "CONDITIONAL").otherwise("FAIL").alias("verdict"))
 
 
 def canary(sessions: DataFrame, most_loss: float, streak: int = 4) -> DataFrame:

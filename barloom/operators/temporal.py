@@ -30,13 +30,24 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], at: str, value:
 def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, hours: int = 24) -> DataFrame:
     """Pairs of a point and each span with start <= at <= end.
 
-    Spans are filed under every bucket of ``hours`` hours that they touch, so this is
-    an equi-join on buckets whose size follows the data and not the square of it.
+    Spans are filed under every bucket that they touch, so this is an equi-join
+    on buckets whose size follows the data and not the square of it.  Buckets
+    come in sizes of ``hours`` times powers of eight, and a span takes the
+    smallest size of which it touches at most nine: a long span is not copied
+    into thousands.  A point is looked up once in each size that spans have.
     """
-    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (hours * 3_600_000_000)).cast("long")
-    filed = spans.where(F.col(start) <= F.col(end)).withColumn("_b", F.explode(F.sequence(bucket(start), bucket(end))))
-    found = points.withColumn("_b", bucket(at)).join(filed, "_b")
-    return found.where(F.col(at).between(F.col(start), F.col(end))).drop("_b")
+    unit, base = hours * 3_600_000_000, 8
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    levels = 12  # eight to the twelfth hours exceed the range of timestamps
+    width = lambda level: F.lit(unit) * F.pow(F.lit(base), level).cast("long")
+    length = (micros(end) - micros(start)) / unit
+    level = F.greatest(F.lit(0), F.ceil(F.log(float(base), F.greatest(length / base, F.lit(1.0)))).cast("int"))
+    filed = spans.where(F.col(start) <= F.col(end)).withColumn("_l", F.least(level, F.lit(levels)))
+    filed = filed.withColumn("_b", F.explode(F.sequence(F.floor(micros(start) / width(F.col("_l"))).cast("long"), F.floor(micros(end) / width(F.col("_l"))).cast("long"))))
+    used = [r[0] for r in filed.select("_l").distinct().collect()]  # at most levels + 1 numbers
+    looked = points.withColumn("_l", F.explode(F.array(*map(F.lit, used)) if used else F.array().cast("array<int>")))
+    found = looked.withColumn("_b", F.floor(micros(at) / width(F.col("_l"))).cast("long")).join(filed, ["_l", "_b"])
+    return found.where(F.col(at).between(F.col(start), F.col(end))).drop("_l", "_b")
 
 
 def before_after(marks: DataFrame, rows: DataFrame, on: list[str], mark: str, at: str, value: str) -> DataFrame:

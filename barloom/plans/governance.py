@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import governance as G
 from ..operators import temporal as J
-from ..operators import trades as T
 from ..sources.tables import daily_bars, table, trades
-from .base import DAILY, TRADES, query
+from .base import DAILY, TRADES, query, shown, shown_sql
 
 _SEVERITY = "CASE WHEN value > 99.9 THEN 'critical' WHEN value > 99 THEN 'high' WHEN value > 95 THEN 'medium' ELSE 'low' END"
 
@@ -53,27 +52,53 @@ def posture_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.changes(_posted(spark, sf_dir).select("user_id", "ts", "posture"), "posture", "ts", "user_id").select("user_id", "ts", "before", "posture", "audit_id")
 
 
-_WINDOWS = f"""{TRADES}, w AS (SELECT symbol AS strategy, year(exit_date) AS win, count(*) FILTER (net_pnl > 0) / count(*)::DOUBLE AS wr, sum(net_pnl) AS profit FROM trades GROUP BY 1, 2),
-    g AS (SELECT *, wr >= 0.35 AND profit > -2000 AS passed, row_number() OVER (PARTITION BY strategy ORDER BY win) AS weight FROM w)"""
+_END = "1998-06-30"
+_GATE = f"""{TRADES}, sides AS (SELECT symbol AS strategy, direction, exit_date, net_pnl, net_pnl_pct FROM trades WHERE exit_date <= DATE '{_END}'),
+    win(win, days, weight, enough) AS (VALUES {', '.join(f"('{k}', {d}, {w}::DOUBLE, {n})" for k, (d, w, n) in G.WINDOWS.items())}),
+    x AS (SELECT * FROM sides JOIN win ON exit_date > DATE '{_END}' - days), d AS (SELECT strategy, direction, win, exit_date, sum(net_pnl) AS pnl FROM x GROUP BY ALL),
+    e AS (SELECT *, 100000 + sum(pnl) OVER (PARTITION BY strategy, direction, win ORDER BY exit_date) AS eq FROM d), f AS (SELECT *, greatest(100000, max(eq) OVER (PARTITION BY strategy, direction, win ORDER BY exit_date)) AS peak FROM e),
+    dd AS (SELECT strategy, direction, win, max((peak - eq) / peak) AS dd FROM f GROUP BY ALL),
+    m AS (SELECT strategy, direction, win, any_value(weight) AS weight, any_value(enough) AS enough, count(*) AS n, sum(net_pnl) AS profit, coalesce(avg(net_pnl_pct) / nullif(stddev_pop(net_pnl_pct), 0) * sqrt(252), 0) AS sharpe FROM x GROUP BY ALL),
+    k AS (SELECT * FROM m JOIN dd USING (strategy, direction, win)),
+    p AS (SELECT c.strategy, c.weight, c.n >= c.enough AND CASE WHEN b.profit = 0 THEN CASE WHEN c.profit > 0 THEN 100 ELSE 0 END ELSE (c.profit - b.profit) / abs(b.profit) * 100 END >= 2 AND (c.dd - b.dd) * 100 <= 3 AND c.sharpe - b.sharpe >= -0.5 AS passed
+        FROM k c JOIN k b ON c.strategy = b.strategy AND c.win = b.win AND c.direction = 'LONG' AND b.direction = 'SHORT'),
+    forward AS (SELECT strategy, count(*) AS n_windows, count(*) FILTER (passed) AS n_passed, sum(CASE WHEN passed THEN weight ELSE 0 END) / sum(weight) AS score, count(*) FILTER (passed) >= 2 AS accepted FROM p GROUP BY 1)"""
+_STABLE = """d2 AS (SELECT symbol AS strategy, direction, exit_date AS day, count(*) AS n, sum(net_pnl) AS pnl FROM trades GROUP BY ALL), w2 AS (SELECT *, sum(pnl) OVER o AS cum, row_number() OVER o AS rn FROM d2 WHERE direction = 'LONG' WINDOW o AS (PARTITION BY strategy ORDER BY day)),
+    v2 AS (SELECT *, max(cum) OVER o - cum AS fall, coalesce(max(CASE WHEN pnl >= 0 THEN rn END) OVER o, 0) AS good FROM w2 WINDOW o AS (PARTITION BY strategy ORDER BY day)),
+    a2 AS (SELECT strategy, max(n) AS busiest, avg(n) AS turnover, CASE WHEN sum(pnl) > 0 THEN max(fall) / sum(abs(pnl)) * 100 ELSE 100 END AS fall, count(*) FILTER (pnl > 0) / count(*)::DOUBLE * 100 AS good_days, max(rn - good) AS losses_in_a_row,
+        CASE WHEN sum(pnl) > 0 THEN max(pnl) / sum(pnl) * 100 ELSE 0 END AS concentration FROM v2 GROUP BY 1),
+    b2 AS (SELECT strategy, avg(n) AS before FROM d2 WHERE direction = 'SHORT' GROUP BY 1), c2 AS (SELECT a2.*, coalesce(abs(turnover - before) / before * 100, 0) AS change FROM a2 LEFT JOIN b2 USING (strategy)),
+    h2 AS (SELECT *, busiest <= 15 AND change <= 50 AS turnover_ok, fall <= 15 AS drawdown_ok, good_days >= 45 AND losses_in_a_row <= 5 AS consistency_ok, concentration <= 30 AS concentration_ok FROM c2),
+    stable AS (SELECT *, turnover_ok::INT + drawdown_ok::INT + consistency_ok::INT + concentration_ok::INT AS n_held, turnover_ok::INT + drawdown_ok::INT + consistency_ok::INT + concentration_ok::INT >= 3 AS stable FROM h2)"""
 
 
-@query(f"""WITH {_WINDOWS}, s AS (SELECT strategy, count(*) AS n_windows, count(*) FILTER (passed) AS n_passed, sum(CASE WHEN passed THEN weight ELSE 0 END)::DOUBLE / sum(weight)::DOUBLE AS score FROM g GROUP BY 1)
-    SELECT strategy, n_windows, n_passed, round(score, 6) AS score, score >= 0.6 AS accepted FROM s""")
+def _forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = trades(spark, sf_dir).withColumnRenamed("symbol", "strategy")
+    base, new = (G.window_metrics(rows.where(F.col("direction") == side), _END, "strategy") for side in ("SHORT", "LONG"))
+    return G.walk_forward_gate(base, new)
+
+
+def _stable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = trades(spark, sf_dir).groupBy(F.col("symbol").alias("strategy"), "direction", F.col("exit_date").alias("day")).agg(F.count("*").alias("n_trades"), F.sum("net_pnl").alias("pnl"))
+    base, new = (daily.where(F.col("direction") == side).drop("direction") for side in ("SHORT", "LONG"))
+    return G.stability_gate(base, new)
+
+
+@query(f"WITH {_GATE} SELECT strategy, n_windows, n_passed, {shown_sql('score')} AS score, accepted FROM forward")
 def gate_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Years as windows; profits are shown from a floor, as the test strategies lose on the whole."""
-    m = trades(spark, sf_dir).groupBy(F.col("symbol").alias("strategy"), F.year("exit_date").alias("window")).agg(
-        T.share(F.count_if(T.wins()), F.count("*")).alias("win_rate"), (F.sum("net_pnl") + 2000).alias("profit"))
-    return G.walk_forward_gate(m.withColumn("drawdown", F.lit(0.0)), 0.35).withColumn("score", F.round("score", 6))
+    """Long trades as candidates against short ones as their baseline, in three windows."""
+    return _forward(spark, sf_dir).withColumn("score", shown(F.col("score")))
 
 
-@query(f"""WITH {TRADES}, d AS (SELECT player AS strategy, exit_date AS day, count(*) AS n, sum(net_pnl) AS pnl FROM trades GROUP BY 1, 2), e AS (SELECT *, sum(pnl) OVER (PARTITION BY strategy ORDER BY day) AS eq FROM d),
-    f AS (SELECT *, max(eq) OVER (PARTITION BY strategy ORDER BY day) - eq AS fall FROM e),
-    m AS (SELECT strategy, avg(n) AS turnover, max(fall) AS drawdown, count(*) FILTER (pnl > 0) / count(*)::DOUBLE AS consistency, max(abs(pnl)) / sum(abs(pnl)) AS concentration FROM f GROUP BY 1),
-    h AS (SELECT *, (turnover <= 40)::INT + (drawdown <= 50000)::INT + (consistency >= 0.45)::INT + (concentration <= 0.3)::INT AS n_held FROM m)
-    SELECT strategy, round(turnover, 6) AS turnover, round(drawdown, 4) AS drawdown, round(consistency, 6) AS consistency, round(concentration, 6) AS concentration, n_held, n_held >= 3 AS stable FROM h""")
+@query(f"WITH {TRADES}, {_STABLE} SELECT strategy, losses_in_a_row, turnover_ok, drawdown_ok, consistency_ok, concentration_ok, n_held, stable, {', '.join(f'{shown_sql(c)} AS {c}' for c in ('turnover', 'change', 'fall', 'good_days', 'concentration'))} FROM stable")
 def gate_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = trades(spark, sf_dir).groupBy(F.col("player").alias("strategy"), F.col("exit_date").alias("day")).agg(F.count("*").alias("n_trades"), F.sum("net_pnl").alias("pnl"))
-    return G.stability_gate(daily).withColumns({c: F.round(c, 6) for c in ("turnover", "consistency", "concentration")}).withColumn("drawdown", F.round("drawdown", 4))
+    return _stable(spark, sf_dir).withColumns({c: shown(F.col(c)) for c in ("turnover", "change", "fall", "good_days", "concentration")})
+
+
+@query(f"""WITH {_GATE}, {_STABLE}, v AS (SELECT strategy, coalesce(accepted, false)::INT + coalesce(stable, false)::INT AS passed, (accepted IS NOT NULL)::INT + (stable IS NOT NULL)::INT AS held FROM forward FULL JOIN stable USING (strategy))
+    SELECT strategy, passed / held::DOUBLE AS score, CASE WHEN passed = held THEN 'PASS' WHEN passed > 0 THEN 'CONDITIONAL' ELSE 'FAIL' END AS verdict FROM v""")
+def validation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.validation(_forward(spark, sf_dir), _stable(spark, sf_dir))
 
 
 @query(f"""WITH {TRADES}, s AS (SELECT symbol AS trial, date_trunc('month', exit_date)::DATE AS session, sum(net_pnl) AS pnl FROM trades GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY session DESC) AS r FROM s),

@@ -169,3 +169,16 @@ def test_regime_detector_needs_its_seed(spark):
     bars = spark.createDataFrame(pd.DataFrame({"symbol": "a", "ts": pd.date_range("2024-01-01", periods=120), "high": close + 1, "low": close - 1, "close": close}))
     found = lambda **o: {r["regime"] for r in A.detect_regimes(bars, **o).collect()}
     assert "trending_up" in found() and "trending_up" not in found(seeded=False)
+
+
+def test_interval_join_with_spans_of_all_lengths(spark):
+    from barloom.operators import temporal as J
+    rng = np.random.default_rng(6)
+    start = pd.Timestamp("2024-01-01")
+    points = pd.DataFrame({"p": range(60), "t": start + pd.to_timedelta(rng.integers(0, 4000 * 3600, 60), unit="s")})
+    spans = pd.DataFrame({"s": range(60), "a": start + pd.to_timedelta(rng.integers(0, 4000 * 3600, 60), unit="s")})
+    spans["b"] = spans["a"] + pd.to_timedelta(10.0 ** rng.uniform(0, 7.2, 60), unit="s").round("s")
+    spans.loc[3, "b"] = spans.loc[3, "a"] - pd.Timedelta("1h")
+    got = sorted((r["p"], r["s"]) for r in J.interval_join(spark.createDataFrame(points), spark.createDataFrame(spans), "t", "a", "b", 6).collect())
+    assert got == sorted((p.p, s.s) for p in points.itertuples() for s in spans.itertuples() if s.a <= p.t <= s.b)
+    assert J.interval_join(spark.createDataFrame(points), spark.createDataFrame(spans).limit(0), "t", "a", "b").count() == 0
