@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .trades import PNL, average_rank, holding_bucket, in_order, share, wins
+from .trades import PNL, holding_bucket, in_order, ranks_and_halves, share, wins
 
 # Half-open ranges of signal strength, hours of the day, patches by mistake and by regime.
 STRENGTHS = {"very_strong": (0.85, 1.0), "strong": (0.7, 0.85), "moderate": (0.5, 0.7), "weak": (0.3, 0.5)}
@@ -214,18 +214,16 @@ def trade_scores(rows: DataFrame, least: int = 5) -> DataFrame:
     both halves where these have one sign.
     """
     v, pnl, long = F.col("value"), F.col(PNL), F.col("direction") == "LONG"
-    order = Window.partitionBy("indicator").orderBy("ts", "value", PNL)
-    n = F.count("*").over(Window.partitionBy("indicator"))
-    ranked = rows.withColumns({"rv": average_rank("value", "indicator"), "rp": average_rank(PNL, "indicator"), "_first": F.row_number().over(order) <= F.floor(n / 2)})
+    ranked = ranks_and_halves(rows, PNL)
     zero = lambda x: F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))
     half = lambda side: zero(F.corr(F.when(side, v), F.when(side, pnl)))
     agrees = F.when(F.col("weight") >= 0, ((v > 0) & (pnl > 0)) | ((v < 0) & (pnl < 0))).otherwise(((v < 0) & (pnl > 0)) | ((v > 0) & (pnl < 0)))
     mean = lambda side: F.when(F.count_if(side) > 3, F.avg(F.when(side, pnl))).otherwise(0.0)
     by_side = lambda side, right: F.when(F.count_if(side) >= least, share(F.count_if(side & right & (pnl > 0)), F.count_if(side))).otherwise(0.0)
     m = ranked.groupBy("indicator").agg(
-        F.count("*").alias("n"), zero(F.corr("value", PNL)).alias("pearson"), zero(F.corr("rv", "rp")).alias("spearman"), share(F.count_if(agrees), F.count("*")).alias("accuracy"),
+        F.count("*").alias("n"), zero(F.corr("value", PNL)).alias("pearson"), zero(F.corr("rv", "rr")).alias("spearman"), share(F.count_if(agrees), F.count("*")).alias("accuracy"),
         mean(v > 0.3).alias("bullish"), mean(v < -0.3).alias("bearish"), by_side(long, v > 0).alias("long_accuracy"), by_side(~long, v < 0).alias("short_accuracy"),
-        half(F.col("_first")).alias("_a"), half(~F.col("_first")).alias("_b"))
+        half(F.col("first_half")).alias("_a"), half(~F.col("first_half")).alias("_b"))
     return m.withColumn("consistency", F.when(F.col("_a") * F.col("_b") > 0, F.least(F.abs("_a"), F.abs("_b"))).otherwise(0.0)).drop("_a", "_b")
 
 

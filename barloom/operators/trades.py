@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 PNL = "net_pnl"
 #: Half-open holding periods in days; the last has no end.
 HOLDING = (0, 2, 5, 10, 30)
@@ -183,10 +185,34 @@ def pair_agreement(rows: DataFrame, least: int = 10, apart: float = 0.15) -> Dat
     return out.withColumn("notable", F.abs(F.col("winner_agreement") - F.col("loser_agreement")) > apart)
 
 
-def average_rank(x: str, *keys: str) -> Column:
-    """The rank of x among the rows of the keys, ties averaged."""
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(*keys, x)) - 1) / 2.0
+def positions(rows: DataFrame, order: list[str], *keys: str, prefix: str = "") -> DataFrame:
+    """Adds ``before`` and ``ties``: how many rows of the keys come earlier in ``order``, and how many are equal to this one.
+
+    Few keys may hold all rows, so no window runs over a key: different values
+    are dealt out by sampled ranges and counted within each range, and the ranges
+    before it, one number each, are added.  The ranges are written to the shared
+    folder, as both uses must see the same ones.  Columns of ``order`` are not null.
+    """
+    shared_folder(rows.sparkSession)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = rows.groupBy(*keys, *order).agg(F.count("*").alias("_n"))
+    placed = counted.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy(*keys, "_part").agg(F.sum("_n").alias("_s")).withColumn("_off", F.coalesce(F.sum("_s").over(earlier), F.lit(0))).drop("_s")
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = placed.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(ranges, [*keys, "_part"])
+    found = found.select(*keys, *order, (F.col("_off") + F.col("_in")).alias(f"{prefix}before"), F.col("_n").alias(f"{prefix}ties"))
+    return rows.join(found, [*keys, *order])
+
+
+def ranks_and_halves(rows: DataFrame, result: str) -> DataFrame:
+    """Adds, within each indicator, average ranks ``rv`` of value and ``rr`` of the result, and whether a row is in the earlier half of time."""
+    out = positions(rows, ["value"], "indicator").withColumn("rv", F.col("before") + (F.col("ties") + 1) / 2.0).drop("before", "ties")
+    out = positions(out, [result], "indicator").withColumn("rr", F.col("before") + (F.col("ties") + 1) / 2.0).drop("before", "ties")
+    n = rows.groupBy("indicator").agg(F.count("*").alias("_all"))
+    out = positions(out, ["ts", "value", result], "indicator").join(n, "indicator")
+    equal = Window.partitionBy("indicator", "ts", "value", result).orderBy("rv")  # rows that differ in nothing
+    return out.withColumn("first_half", F.col("before") + F.row_number().over(equal) <= F.floor(F.col("_all") / 2)).drop("before", "ties", "_all")
 
 
 def rank_indicators(rows: DataFrame, least: int = 5) -> DataFrame:
@@ -196,9 +222,7 @@ def rank_indicators(rows: DataFrame, least: int = 5) -> DataFrame:
     below -0.3, and how alike the correlations of both halves of time are;
     composite 0.25 / 0.25 / 0.2 / 0.15 / 0.15.
     """
-    order = Window.partitionBy("indicator").orderBy("ts", "value", "result")
-    n = F.count("*").over(Window.partitionBy("indicator"))
-    ranked = rows.withColumns({"rv": average_rank("value", "indicator"), "rr": average_rank("result", "indicator"), "first_half": F.row_number().over(order) <= F.floor(n / 2)})
+    ranked = ranks_and_halves(rows, "result")
     half = lambda side: F.corr(F.when(side, F.col("value")), F.when(side, F.col("result")))
     up, down = F.col("value") > 0.3, F.col("value") < -0.3
     zero = lambda x: F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))
