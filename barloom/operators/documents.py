@@ -198,3 +198,17 @@ def weighted_sentiment(rows: DataFrame, *keys: str) -> DataFrame:
     for s in reversed(severity):
         label = F.when(F.col(f"c.{s}") == most, s).otherwise(label)
     return out.select(*keys, F.coalesce("score", F.lit(0.0)).alias("score"), label.alias("impact"), "n")
+
+
+def enhanced(query: Column, volatility: Column, trend: Column, regime: Column) -> Column:
+    """A query with what is known of the market after it."""
+    words_ = [F.when(x != "", F.concat(x, F.lit(f" {name}"))) for x, name in ((volatility, "volatility"), (trend, "trend"), (regime, "market"))]
+    return F.concat_ws(" ", query, *words_)
+
+
+def routed(queries: DataFrame, role: str, categories: dict[str, list[str]]) -> DataFrame:
+    """Adds the categories that a role reads; an unknown role reads all, which null says."""
+    out = F.lit(None).cast("array<string>")
+    for name, known in categories.items():
+        out = F.when(F.lower(role) == name, F.array(*map(F.lit, known))).otherwise(out)
+    return queries.withColumn("categories", out)

@@ -146,3 +146,30 @@ def drift(old: DataFrame, new: DataFrame) -> DataFrame:
     """(drift): the mean relative change of weights that were not zero; a missing weight counts as zero."""
     both = old.select("name", F.col("weight").alias("o")).join(new.select("name", F.col("weight").alias("n")), "name", "full")
     return both.where(F.abs("o") > 0).agg(F.coalesce(F.avg(F.abs(F.coalesce("n", F.lit(0.0)) - F.col("o")) / F.abs("o")), F.lit(0.0)).alias("drift"))
+
+
+def weights_of(genes: DataFrame) -> DataFrame:
+    """(dna_id, weights, vector, genes_json) of each genome, genes by name.
+
+    ``weights`` maps the active genes that are not 0, ``vector`` has all active
+    ones, ``genes_json`` is the map as JSON.  ``genes`` may have ``active``.
+    """
+    active = F.coalesce(F.col("active"), F.lit(True)) if "active" in genes.columns else F.lit(True)
+    rows = genes.withColumn("_active", active).groupBy("dna_id").agg(F.array_sort(F.collect_list(F.when(F.col("_active"), F.struct("name", "weight")))).alias("g"))
+    some = F.map_from_entries(F.filter("g", lambda x: x["weight"] != 0))
+    return rows.select("dna_id", some.alias("weights"), F.transform("g", lambda x: x["weight"]).alias("vector"), F.to_json(some).alias("genes_json"))
+
+
+def from_vector(genes: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Genes with the weights of (dna_id, vector), clipped, in the order of the active genes' names; a shorter vector leaves the rest."""
+    active = F.coalesce(F.col("active"), F.lit(True)) if "active" in genes.columns else F.lit(True)
+    at = F.row_number().over(Window.partitionBy("dna_id", "_active").orderBy("name"))
+    rows = genes.withColumn("_active", active).withColumn("_at", at).join(vectors.select("dna_id", F.col("vector").alias("_v")), "dna_id", "left")
+    given = F.try_element_at("_v", "_at")
+    new = F.when(F.col("_active") & given.isNotNull(), clip(given))
+    return rows.withColumn("weight", F.coalesce(new, F.col("weight"))).drop("_active", "_at", "_v")
+
+
+def from_json(rows: DataFrame, id_col: str = "dna_id", json_col: str = "genes_json") -> DataFrame:
+    """(dna_id, name, weight) of genomes kept as JSON maps, weights clipped; what is no map gives no genes."""
+    return rows.select(F.col(id_col).alias("dna_id"), F.explode(F.from_json(json_col, "map<string,double>")).alias("name", "weight")).withColumn("weight", clip(F.col("weight")))

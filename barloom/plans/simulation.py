@@ -171,3 +171,15 @@ def patched_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     weights = part.select(F.col("p_partkey").alias("name"), ((F.col("p_size") - 25) / 50.0).alias("weight"))
     return E.apply_patch(weights, part.select(F.col("p_partkey").alias("name"), (F.col("p_size") / 20.0).alias("factor")))
+
+
+@query("""WITH g AS (SELECT c_custkey AS dna_id, n AS name, CASE n WHEN 'a' THEN round(c_acctbal / 10000, 4) WHEN 'b' THEN c_nationkey / 25.0::DOUBLE ELSE 0.0::DOUBLE END AS weight, NOT (n = 'b' AND c_nationkey % 2 = 0) AS active
+        FROM customer CROSS JOIN (VALUES ('a'), ('b'), ('c')) t(n))
+    SELECT dna_id, string_agg(name, ',' ORDER BY name) FILTER (active AND weight <> 0) AS names, count(*) FILTER (active) AS size, round(sum(weight) FILTER (active), 6) AS total FROM g GROUP BY 1""")
+def genome_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genomes as maps and vectors of their active genes."""
+    c = table(spark, sf_dir, "customer")
+    genes = c.select(F.col("c_custkey").alias("dna_id"), "c_nationkey", F.explode(F.create_map(F.lit("a"), F.round(F.col("c_acctbal") / 10000, 4), F.lit("b"), F.col("c_nationkey") / 25.0, F.lit("c"), F.lit(0.0))).alias("name", "weight"))
+    w = E.weights_of(genes.withColumn("active", ~((F.col("name") == "b") & (F.col("c_nationkey") % 2 == 0))))
+    names = F.array_join(F.array_sort(F.map_keys("weights")), ",")
+    return w.select("dna_id", F.when(names != "", names).alias("names"), F.size("vector").cast("long").alias("size"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))

@@ -44,6 +44,27 @@ def fresh(manifest: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     return manifest.where(F.col("cached_at") >= now - F.make_dt_interval(hours=F.lit(hours)))
 
 
+def without(manifest: DataFrame, symbol: str | None = None) -> DataFrame:
+    """The manifest after entries of a symbol, or all of them, are declared invalid."""
+    return manifest.where(F.col("symbol") != symbol) if symbol is not None else manifest.limit(0)
+
+
+def expired(manifest: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """Entries that a clean-up would delete: those of an age and more."""
+    return manifest.where(F.col("cached_at") < now - F.make_dt_interval(hours=F.lit(hours)))
+
+
+def read_cached(spark: SparkSession, manifest: DataFrame, symbol: str, start: str, end: str, now: Column, hours: int = 24) -> DataFrame | None:
+    """The bars of a cached request, or nothing where it is absent or too old; one row of the manifest is looked up."""
+    hit = fresh(manifest, now, hours).where(F.col("key") == cache_key(F.lit(symbol), F.lit(start), F.lit(end))).agg(F.max_by("path", "cached_at")).first()[0]
+    return None if hit is None else read_bars(spark, hit)
+
+
+def clamped(start: Column, now: Column, days: int = 55) -> Column:
+    """The start of an intraday request, not further back than the history that is kept."""
+    return F.greatest(start, now - F.make_dt_interval(days=F.lit(days)))
+
+
 def cache_stats(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.count("*").alias("entries"), F.sum("n_rows").alias("n_rows"), F.min("cached_at").alias("oldest"), F.max("cached_at").alias("newest"))
 

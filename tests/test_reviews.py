@@ -182,3 +182,34 @@ def test_interval_join_with_spans_of_all_lengths(spark):
     got = sorted((r["p"], r["s"]) for r in J.interval_join(spark.createDataFrame(points), spark.createDataFrame(spans), "t", "a", "b", 6).collect())
     assert got == sorted((p.p, s.s) for p in points.itertuples() for s in spans.itertuples() if s.a <= p.t <= s.b)
     assert J.interval_join(spark.createDataFrame(points), spark.createDataFrame(spans).limit(0), "t", "a", "b").count() == 0
+
+
+def test_genomes_in_all_forms(spark):
+    from barloom.operators import evolve as E
+    genes = spark.createDataFrame([("g", "b", 0.5, True), ("g", "a", -2.0, True), ("g", "c", 0.0, True), ("g", "d", 0.3, False)], "dna_id string, name string, weight double, active boolean")
+    r = E.weights_of(genes).first()
+    assert (r["weights"], r["vector"], r["genes_json"]) == ({"a": -2.0, "b": 0.5}, [-2.0, 0.5, 0.0], '{"a":-2.0,"b":0.5}')
+    back = {r["name"]: r["weight"] for r in E.from_vector(genes, spark.createDataFrame([("g", [5.0, 0.1])], "dna_id string, vector array<double>")).collect()}
+    assert back == {"a": 1.0, "b": 0.1, "c": 0.0, "d": 0.3}
+    rows = spark.createDataFrame([("g", '{"a": -2, "b": 0.5}'), ("h", "no"), ("i", None)], "dna_id string, genes_json string")
+    assert sorted(map(tuple, E.from_json(rows).collect())) == [("g", "a", -1.0), ("g", "b", 0.5)]
+
+
+def test_roles_and_queries(spark):
+    from barloom.operators import documents as D
+    rows = spark.createDataFrame([("Bold", "buy?", "high", "", None), ("x", "sell?", None, "up", "ranging")], "role string, q string, v string, t string, r string")
+    got = [tuple(r) for r in D.routed(rows, "role", {"bold": ["momentum", "risk"]}).select("categories", D.enhanced(F.col("q"), F.col("v"), F.col("t"), F.col("r"))).collect()]
+    assert got == [(["momentum", "risk"], "buy? high volatility"), (None, "sell? up trend ranging market")]
+
+
+def test_cache_of_bars(spark, tmp_path):
+    from barloom.sources import journal as K
+    spark.createDataFrame([("A", 1.0)], "symbol string, close double").write.parquet(str(tmp_path / "a"))
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    manifest = spark.createDataFrame([("A", "2024-01-01 12:00:00", str(tmp_path / "a"), 1), ("B", "2023-12-01 00:00:00", "gone", 2)], "symbol string, at string, path string, n_rows long").select(
+        "symbol", F.col("at").cast("timestamp").alias("cached_at"), "path", "n_rows", K.cache_key(F.col("symbol"), F.lit("2023"), F.lit("2024")).alias("key"))
+    assert K.read_cached(spark, manifest, "A", "2023", "2024", now).count() == 1
+    assert K.read_cached(spark, manifest, "B", "2023", "2024", now) is None and K.read_cached(spark, manifest, "A", "2022", "2024", now) is None
+    assert [r["symbol"] for r in K.expired(manifest, now).collect()] == ["B"]
+    assert K.without(manifest, "A").count() == 1 and K.without(manifest).count() == 0
+    assert str(spark.range(1).select(K.clamped(F.lit("2020-01-01").cast("timestamp"), now)).first()[0])[:10] == "2023-11-08"
