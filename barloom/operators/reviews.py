@@ -273,3 +273,48 @@ def risk_sections(text: Column, most: int = 50_000) -> Column:
     first = F.regexp_extract(text, r"(?is)item\s*1a\.?\s*(?:[-–—:]\s*)?risk\s+factors(.*?)item\s*(?:1b|2)\b", 1)
     rest = F.regexp_extract(text, r"(?is)risk\s+factors(.*)", 1)
     return F.substring(F.btrim(F.when(first != "", first).otherwise(rest)), 1, most)
+
+
+def monthly_report(trades: DataFrame, *keys: str) -> DataFrame:
+    """One row a month: trades, win rate, result, days with trades, days that gained, the best and the worst day."""
+    month = F.trunc("exit_date", "month").alias("month")
+    days = trades.groupBy(*keys, month, "exit_date").agg(F.count("*").alias("n"), F.count_if(wins()).alias("won"), F.sum(PNL).alias("pnl"))
+    return days.groupBy(*keys, "month").agg(
+        F.sum("n").alias("n_trades"), share(F.sum("won"), F.sum("n")).alias("win_rate"), F.sum("pnl").alias("net_pnl"), F.count("*").alias("n_days"), F.count_if(F.col("pnl") > 0).alias("good_days"),
+        F.max("pnl").alias("best_day"), F.min("pnl").alias("worst_day"))
+
+
+def frequent(rows: DataFrame, column: str, n: int, *keys: str) -> DataFrame:
+    """The n most frequent values of a column for each key, of equals the smaller; counts are few rows a key."""
+    counts = rows.groupBy(*keys, column).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), column))
+    return counts.withColumn("place", place).where(F.col("place") <= n)
+
+
+def context(trades: DataFrame, by: str, *keys: str, n: int = 3, least: int = 3, low: float = 0.2, high: float = 0.7) -> DataFrame:
+    """What to tell about the values of ``by``: the n best and the n worst by result, and those with an alarming or a high win rate.
+
+    A value may have several rows; its ``kind`` says why it is told.
+    """
+    m = trades.groupBy(*keys, by).agg(F.count("*").alias("n_trades"), share(F.count_if(wins()), F.count("*")).alias("win_rate"), F.sum(PNL).alias("total_pnl"))
+    up, down = (F.row_number().over(Window.partitionBy(*keys).orderBy(o, by)) for o in (F.desc("total_pnl"), F.asc("total_pnl")))
+    known = F.col("n_trades") >= least
+    m = m.withColumns({"_up": up, "_down": down})
+    kinds = F.array_compact(F.array(F.when(F.col("_up") <= n, F.lit("best")), F.when(F.col("_down") <= n, F.lit("worst")), F.when(known & (F.col("win_rate") <= low), F.lit("avoid")), F.when(known & (F.col("win_rate") >= high), F.lit("favour"))))
+    return m.select(*keys, by, "n_trades", "win_rate", "total_pnl", F.explode(kinds).alias("kind"))
+
+
+def live_record(results: DataFrame, version: str, n: str, values: list[str], *keys: str) -> DataFrame:
+    """Adds to each version of a strategy the means of its values over all versions so far, weighted by their numbers of trades."""
+    w = Window.partitionBy(*keys).orderBy(version).rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum(n).over(w)
+    return results.withColumns({f"live_{v}": share(F.sum(F.col(v) * F.col(n)).over(w), total) for v in values}).withColumn("live_trades", total)
+
+
+def diagnosis(found: DataFrame, *keys: str, told: dict[str, str] | None = None) -> DataFrame:
+    """(keys, mistake, n, impact, text): mistakes of trades added up, with a text from ``told`` that overrides the plain one."""
+    m = found.groupBy(*keys, "mistake").agg(F.count("*").alias("n"), F.sum(PNL).alias("impact"))
+    text = F.concat_ws(" ", F.replace("mistake", F.lit("_"), F.lit(" ")), F.lit("in"), F.col("n").cast("string"), F.lit("trades"))
+    for name, own in (told or {}).items():
+        text = F.when(F.col("mistake") == name, F.lit(own)).otherwise(text)
+    return m.withColumn("text", text)

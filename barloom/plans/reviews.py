@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import costs as C
 from ..operators import analytics as A
 from ..operators import bars as B
 from ..operators import reviews as R
@@ -350,3 +351,63 @@ def approval_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "events").where("event_type IN ('signup', 'purchase', 'error')")
     state = F.when(F.col("event_type") == "signup", "requested").when(F.col("event_type") == "purchase", "approved").otherwise("rejected")
     return log.groupBy("user_id").agg(F.max_by(state, F.struct("ts", "event_id")).alias("state"), F.count("*").alias("n"))
+
+
+@query(_sql(f"WITH {TRADES}, d AS (SELECT player, date_trunc('month', exit_date)::DATE AS month, exit_date, count(*) AS n, count(*) FILTER (net_pnl > 0) AS won, sum(net_pnl) AS pnl FROM trades GROUP BY ALL)",
+            "SELECT player, month, sum(n)::BIGINT AS n_trades, sum(won) / sum(n)::DOUBLE AS win_rate, sum(pnl) AS net_pnl, count(*) AS n_days, count(*) FILTER (pnl > 0) AS good_days, max(pnl) AS best_day, min(pnl) AS worst_day FROM d GROUP BY 1, 2",
+            "player, month, n_trades, n_days, good_days", "win_rate", "net_pnl", "best_day", "worst_day"))
+def monthly_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(R.monthly_report(trades(spark, sf_dir), "player"), "win_rate", "net_pnl", "best_day", "worst_day")
+
+
+@query(f"""WITH {TRADES}, c AS (SELECT player, regime, count(*) AS n FROM trades WHERE exit_date >= DATE '1998-01-01' GROUP BY 1, 2)
+    SELECT player, regime, n, row_number() OVER (PARTITION BY player ORDER BY n DESC, regime)::INT AS place FROM c QUALIFY row_number() OVER (PARTITION BY player ORDER BY n DESC, regime) <= 3""")
+def recent_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three most frequent regimes of each player's last trades."""
+    return R.frequent(R.select_trades(trades(spark, sf_dir), since="1998-01-01"), "regime", 3, "player")
+
+
+@query(_sql(f"""WITH {TRADES}, m AS (SELECT player, symbol, count(*) AS n_trades, count(*) FILTER (net_pnl > 0) / count(*)::DOUBLE AS win_rate, sum(net_pnl) AS total_pnl FROM trades GROUP BY 1, 2),
+        r AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY total_pnl DESC, symbol) AS u, row_number() OVER (PARTITION BY player ORDER BY total_pnl, symbol) AS d FROM m),
+        k AS (SELECT player, symbol, n_trades, win_rate, total_pnl, unnest(list_filter([CASE WHEN u <= 3 THEN 'best' END, CASE WHEN d <= 3 THEN 'worst' END, CASE WHEN n_trades >= 3 AND win_rate <= 0.2 THEN 'avoid' END,
+            CASE WHEN n_trades >= 3 AND win_rate >= 0.7 THEN 'favour' END], lambda x: x IS NOT NULL)) AS kind FROM r)""", "SELECT * FROM k", "player, symbol, kind, n_trades", "win_rate", "total_pnl"))
+def player_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols worth telling a player about."""
+    return _shown(R.context(trades(spark, sf_dir), "symbol", "player"), "win_rate", "total_pnl")
+
+
+@query(_sql(f"WITH {TRADES}, y AS (SELECT symbol, year(exit_date) AS version, count(*) AS n, count(*) FILTER (net_pnl > 0) / count(*)::DOUBLE AS win_rate, avg(net_pnl) AS avg_pnl FROM trades GROUP BY 1, 2)",
+            "SELECT symbol, version, sum(n) OVER w AS live_trades, sum(win_rate * n) OVER w / sum(n) OVER w::DOUBLE AS live_win_rate, sum(avg_pnl * n) OVER w / sum(n) OVER w::DOUBLE AS live_avg_pnl FROM y WINDOW w AS (PARTITION BY symbol ORDER BY version)",
+            "symbol, version, live_trades::BIGINT AS live_trades", "live_win_rate", "live_avg_pnl"))
+def strategy_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years as versions of a strategy, with its record so far."""
+    m = trades(spark, sf_dir).groupBy("symbol", F.year("exit_date").alias("version")).agg(F.count("*").alias("n"), T.share(F.count_if(T.wins()), F.count("*")).alias("win_rate"), F.avg("net_pnl").alias("avg_pnl"))
+    out = R.live_record(m, "version", "n", ["win_rate", "avg_pnl"], "symbol")
+    return _shown(out.select("symbol", "version", "live_trades", "live_win_rate", "live_avg_pnl"), "live_win_rate", "live_avg_pnl")
+
+
+@query(f"""WITH {TRADES}, x AS (SELECT player, net_pnl, CASE WHEN net_pnl_pct <= -0.05 THEN 'late_exit' WHEN exit_reason = 'stop_loss' THEN 'tight_stop' ELSE 'false_signal' END AS mistake FROM trades WHERE net_pnl < 0)
+    SELECT player, mistake, count(*) AS n, {shown_sql('sum(net_pnl)')} AS impact, CASE WHEN mistake = 'tight_stop' THEN 'stops lie too near' ELSE replace(mistake, '_', ' ') || ' in ' || count(*) || ' trades' END AS text FROM x GROUP BY 1, 2""")
+def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("net_pnl_pct") <= -0.05, "late_exit").when(F.col("exit_reason") == "stop_loss", "tight_stop").otherwise("false_signal")
+    found = trades(spark, sf_dir).where("net_pnl < 0").select("player", "net_pnl", kind.alias("mistake"))
+    return _shown(R.diagnosis(found, "player", told={"tight_stop": "stops lie too near"}), "impact")
+
+
+@query(f"""WITH {TRADES}, f AS (SELECT trade_id, unnest(['entry', 'exit']) AS kind, direction, entry_price, quantity FROM trades), s AS (SELECT trade_id, kind, quantity, entry_price, CASE WHEN (direction = 'LONG') = (kind = 'entry') THEN 'BUY' ELSE 'SELL' END AS side FROM f)
+    SELECT trade_id, kind, side, {shown_sql('p')} AS fill, {shown_sql('v')} AS value FROM (SELECT *, entry_price * CASE WHEN side = 'BUY' THEN 1.0005::DOUBLE ELSE 0.9995::DOUBLE END AS p, entry_price * CASE WHEN side = 'BUY' THEN 1.0005::DOUBLE ELSE 0.9995::DOUBLE END * quantity AS v FROM s)""")
+def market_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market orders that enter and leave each trade, at the entry price with slippage against the order."""
+    rows = trades(spark, sf_dir).select("trade_id", "direction", "entry_price", "quantity", F.explode(F.array(F.lit("entry"), F.lit("exit"))).alias("kind"))
+    rows = rows.withColumn("side", F.when((F.col("direction") == "LONG") == (F.col("kind") == "entry"), "BUY").otherwise("SELL"))
+    fill = C.fill_price(F.col("entry_price"), F.col("side"))
+    return rows.select("trade_id", "kind", "side", shown(fill).alias("fill"), shown(fill * F.col("quantity")).alias("value"))
+
+
+@query(f"""WITH {TRADES}, p AS (SELECT player, quantity * entry_price AS size, entry_price * 0.05::DOUBLE * quantity AS risk FROM trades)
+    SELECT player, CASE WHEN size > 250000 * 0.2::DOUBLE THEN 'too_large' WHEN risk > 250000 * 0.006::DOUBLE * 1.1::DOUBLE THEN 'too_risky' ELSE 'ok' END AS reason, count(*) AS n, {shown_sql('sum(size)')} AS exposure FROM p GROUP BY 1, 2""")
+def rejection_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why proposed trades are turned down, and their exposure."""
+    stop = F.when(F.col("direction") == "LONG", F.col("entry_price") - F.col("entry_price") * 0.05).otherwise(F.col("entry_price") + F.col("entry_price") * 0.05)
+    rows = R.position_check(trades(spark, sf_dir).withColumn("stop", stop), F.lit(250_000.0), 0.2, 0.006)
+    return _shown(rows.groupBy("player", F.col("check").alias("reason")).agg(F.count("*").alias("n"), F.sum(F.col("quantity") * F.col("entry_price")).alias("exposure")), "exposure")
