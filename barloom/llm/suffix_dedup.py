@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, key_runs, run_starts, stash
+from .common import bounded_batches, join_counted, key_runs, run_starts, shuffle_partitions, stash
 
 #: Bytes of a k-gram whose hash picks the anchor of a window.
 GRAM = 32
@@ -237,22 +237,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seg = ["h", "f1", "f2"]
     kinds = stash(held.groupBy(*seg).agg(F.sum("times").alias("m"), F.min(F.struct("id", "t", "s", "n", "keys")).alias("one")))
     multi = kinds.where("m > 1").select(*seg, "m")
-    total = multi.agg(F.sum("m")).first()[0] or 0
-    hot = multi.where(F.col("m") * HOT > total).select(*seg)
-    rest = multi.where(F.col("m") * HOT <= total).select(*seg)
-    copies = held.join(F.broadcast(hot), seg, "left_semi").unionByName(held.join(F.broadcast(hot), seg, "left_anti").join(rest, seg, "left_semi"))
+    copies = join_counted(held.select(*seg, "id", "t", "s", "n"), multi, seg, "m", HOT)
     copied = copies.select("id", "t", "s", (F.col("s") + F.col("n") + length - 1).alias("e"))
     # Different segments of one anchor can share windows, if one of them is not covered yet
     # and they agree in one of the stretches around the anchor.
-    unsure = kinds.groupBy("h").agg(F.count("*").alias("d"), F.min("m").alias("least")).where("d > 1 AND least = 1").select("h")
-    near = stash(kinds.join(unsure, "h").select("h", "f1", "f2", "m", "one"))
+    found = "d > 1 AND least = 1"
+    unsure = stash(kinds.groupBy("h").agg(F.count("*").alias("d"), F.min("m").alias("least")).where(found).select("h", "d"))
+    near = stash(join_counted(kinds, unsure, ["h"], "d", HOT).select("h", "f1", "f2", "m", "one"))
     keyed_near = near.select("h", "f1", "f2", "m", F.explode("one.keys").alias("key"))
-    shared = keyed_near.groupBy("h", "key").agg(F.count("*").alias("d"), F.min("m").alias("least")).where("d > 1 AND least = 1").select("h", "key")
-    close = stash(keyed_near.join(shared, ["h", "key"]).select("h", "f1", "f2").distinct())
+    shared = stash(keyed_near.groupBy("h", "key").agg(F.count("*").alias("d"), F.min("m").alias("least")).where(found).select("h", "key", "d"))
+    close = stash(join_counted(keyed_near, shared, ["h", "key"], "d", HOT).select("h", "f1", "f2").distinct())
     sizes = stash(close.groupBy("h").agg(F.count("*").alias("d")))
     shards = (close.count() * (length + (length - GRAM) // 2)) // SHARD + 1
     subs = F.ceil(F.col("d") / SEGMENTS).cast("long")
-    wanted = near.join(close, seg, "left_semi").join(sizes, "h").select(
+    wanted = join_counted(near.join(close, seg, "left_semi"), sizes, ["h"], "d", HOT).select(
         "h", subs.alias("subs"), "one.id", "one.t", "one.s", "one.n", (F.col("m") > 1).alias("known"),
         F.when(subs > 1, F.xxhash64("h", F.pmod(F.xxhash64("f1", "f2"), subs))).otherwise(F.pmod("h", F.lit(shards))).alias("shard"))
     by_doc = wanted.groupBy("id", "t").agg(F.collect_list(F.struct("h", "subs", "s", "n", "known", "shard")).alias("wanted"))
@@ -295,7 +293,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pd.DataFrame(out, columns=columns)
 
     schema = "id long, t long, s long, e long, h long, bucket long, key binary, ids array<long>, ts array<long>, at array<long>"
-    compared = stash(parts.repartition("split", "shard").sortWithinPartitions("split", "shard").mapInPandas(compare, schema))
+    # About one shard a task: their number follows the text to compare, and each goes where its own number says.
+    tasks = max(shuffle_partitions(docs.sparkSession), shards)
+    dealt = parts.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int"))
+    compared = stash(dealt.sortWithinPartitions("split", "shard").mapInPandas(compare, schema))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in key_runs(batches, ["h", "bucket"]):
@@ -332,12 +333,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Remove each byte covered by a ``length``-byte string that also starts anywhere else.
 
     Every window of ``length`` bytes has an anchor, its k-gram of least hash, so
-    equal windows lie in segments of one anchor.  Equal segments are counted by
-    fingerprint; different segments of one anchor meet in a shard whose suffix
-    array (Larsson-Sadakane refinement) and common prefixes (Kasai) tell the
-    windows that repeat.  The segments of a frequent anchor fill several shards,
-    whose sorted windows are merged by binary search.  Matches never cross texts;
-    the same text counts as anywhere else; strings are judged on the input.
+    equal windows lie in segments of one anchor.  Equal segments are added up
+    before anything is compared: what whole segments tell is decided by counts
+    of their 128-bit fingerprints, which is most of the removal.  Segments that
+    differ but may share a window meet in a shard, whose suffix array
+    (Larsson-Sadakane refinement) and common prefixes (Kasai) tell the windows
+    that repeat.  The segments of a frequent anchor fill several shards; these
+    are merged by binary search over 128-bit hashes of their windows, taken in
+    the order of the suffix array and sorted by hash.  Matches never cross texts;
+    the same text counts as anywhere else; strings are judged on the input.  Very
+    long texts are cut in pieces.  Ids are integers.
 
     Returns the input's columns in a struct ``row``, with n_bytes, n_removed,
     spans (array of struct s, e: maximal removed runs in bytes of UTF-8) and kept
@@ -345,7 +350,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated or null, are texts of their own; an empty table gives an empty result.
     """
     spans = stash(repeated_spans(docs, id_col, text_col, length))
-    per_doc = spans.groupBy("id", "t").agg(F.collect_list(F.struct("s", "e")).alias("spans")).select(F.col("id").alias("i2"), F.col("t").alias("t2"), "spans")
+    per_doc = spans.groupBy("id", "t").agg(F.collect_set(F.struct("s", "e")).alias("spans")).select(F.col("id").alias("i2"), F.col("t").alias("t2"), "spans")
     rows = _keyed(docs, id_col, text_col).join(per_doc, F.expr("t = t2 AND id = i2"), "left")
 
     @F.pandas_udf("n_bytes long, n_removed long, spans array<struct<s:long,e:long>>, kept binary")
@@ -363,6 +368,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def suffix_report(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of documents."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, kept_text) of documents.
+
+    kept_text has the replacement sign where a cut left part of a character.
+    """
     return suffix_dedup(docs.select("doc_id", "text"), length=length).select(
-        "row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+        "row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
