@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from barloom.llm import embedding_dedup as module
@@ -68,5 +69,33 @@ def test_whole_table(spark, sf_dir):
     assert rows(embedding_dedup(data), *COLUMNS) == brute(vectors)
 
 
+def test_recall_of_pairs_near_the_threshold(spark):
+    """20 000 vectors with 2 000 pairs planted at cosines of 0.95 to 0.97 and one large tight group."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(rng.standard_normal((17_000, 64)))
+    a = base[:2000]
+    other = rng.standard_normal((2000, 64))
+    other = unit(other - (other * a).sum(axis=1, keepdims=True) * a)
+    cos = rng.uniform(0.9501, 0.97, (2000, 1))
+    group = unit(base[2500] + 0.01 * rng.standard_normal((1000, 64)))
+    x = np.float32(np.concatenate([base, cos * a + np.sqrt(1 - cos * cos) * other, group]))
+    got = embedding_dedup(spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))).toPandas()
+    n = got.set_index("vec_id").sort_index()["n_links"].to_numpy()
+    y = unit(x.astype(np.float64))
+    want = np.concatenate([(y[i:i + 1000] @ y.T >= 0.95).sum(axis=1) - 1 for i in range(0, len(y), 1000)])
+    assert (n <= want).all()
+    pairs = np.r_[0:2000, 17_000:19_000]
+    assert n[pairs].sum() >= 0.99 * want[pairs].sum()
+    assert n[19_000:].sum() == want[19_000:].sum()
+
+
+def test_tables_keep_the_chance_at_any_size():
+    for n in (10, 10 ** 5, 10 ** 9, 10 ** 12, 10 ** 15):
+        k, tables = module.tables_for(n, 0.95, 0.995)
+        assert tables <= module.MAX_TABLES
+        assert 1 - (1 - module.collision((2 - 2 * 0.95) ** 0.5) ** k) ** tables >= 0.995
+
+
 def test_empty_table(spark):
     assert embedding_dedup(frame(spark, [])).count() == 0
