@@ -24,7 +24,20 @@ def chunks_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "chunk_index", "total_chunks", F.md5("text").alias("text_md5"))
 
 
-@query()
+_SPLIT = r"""list_filter(list_transform(regexp_split_to_array(replace(coalesce(text, ''), chr(10), chr(10) || chr(10)), '\n\s*\n'), lambda p: trim(p)), lambda p: p <> '')"""
+_SENTENCES = r"""list_filter(string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"""
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT doc_id, {_SPLIT} AS ps FROM documents),
+    u AS (SELECT doc_id, flatten(list_transform(ps, lambda p: CASE WHEN floor(len({_WORDS.format('p')}) * 1.3::DOUBLE) > 500 THEN {_SENTENCES} ELSE [p] END)) AS units FROM p),
+    n AS (SELECT doc_id, units, list_transform(units, lambda p: {_WORDS.format('p')}) AS ws, list_transform(units, lambda p: len({_WORDS.format('p')})) AS n FROM u WHERE len(units) > 0),
+    r AS (SELECT doc_id, 1::BIGINT AS i, n[1]::BIGINT AS now, 0 AS chunk, 0::BIGINT AS word FROM n
+        UNION ALL SELECT r.doc_id, i + 1, CASE WHEN floor(now * 1.3::DOUBLE) + floor(n[i + 1] * 1.3::DOUBLE) > 500 THEN least(now, 50) ELSE now END + n[i + 1],
+            chunk + (floor(now * 1.3::DOUBLE) + floor(n[i + 1] * 1.3::DOUBLE) > 500)::INT, word + n[i] FROM r JOIN n ON n.doc_id = r.doc_id WHERE i < len(n)),
+    c AS (SELECT doc_id, chunk, min(i) AS a, max(i) AS b, min(word) AS word FROM r GROUP BY 1, 2), t AS (SELECT doc_id, count(*) AS total FROM c GROUP BY 1),
+    x AS (SELECT c.doc_id, chunk, total, array_to_string(units[a:b], chr(10) || chr(10)) AS own, list_sum(n[a:b]) AS own_words, (flatten(ws))[greatest(c.word - 50, 0) + 1:c.word] AS before FROM c JOIN n ON n.doc_id = c.doc_id JOIN t ON t.doc_id = c.doc_id)
+    SELECT doc_id, chunk AS chunk_index, total::INT AS total_chunks, floor((own_words + CASE WHEN chunk > 0 THEN len(before) ELSE 0 END) * 1.3::DOUBLE)::INT AS tokens,
+        md5(CASE WHEN chunk > 0 THEN array_to_string(before, ' ') || chr(10) || chr(10) ELSE '' END || own) AS text_md5 FROM x""")
 def chunks_by_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines stand for paragraphs here, as these documents have no empty lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
