@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, cut_lineage, stash
+from .common import bounded_batches, cut_lineage, give_back, run_starts, stash
 
 ORDER = 5
 #: N-gram scores that are broadcast (12 bytes each); a larger model is joined by a shuffle.
@@ -21,7 +21,7 @@ MAX_TRUSTED = 2_000_000
 #: Languages whose thresholds are broadcast.
 MAX_LANGUAGES = 20_000
 #: Characters whose n-grams are counted or scored at a time.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 #: Distinct n-grams that a task holds before it hands its counts on.
 HELD = 1 << 19
 #: Rows that leave a task together.
@@ -78,10 +78,11 @@ def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _merge(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = np.concatenate([p[0] for p in parts])
-    u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    n = np.zeros((len(u), parts[0][1].shape[1]), np.int64)
-    np.add.at(n, inverse, np.concatenate([p[1] for p in parts]))
-    return u, n, np.concatenate([p[2] for p in parts])[first]
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    first = run_starts(h)
+    n = np.add.reduceat(np.concatenate([p[1] for p in parts])[order], first)
+    return h[first], n, np.concatenate([p[2] for p in parts])[order[first]]
 
 
 def ngram_counts(docs: DataFrame, text_col: str, trusted: Column) -> DataFrame:
@@ -98,13 +99,13 @@ def ngram_counts(docs: DataFrame, text_col: str, trusted: Column) -> DataFrame:
             grams = np.ascontiguousarray(x[2]).view(f"<U{ORDER}").ravel()
             for i in range(0, len(grams), ROWS):
                 part = slice(i, i + ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(grams[part]), pa.array(x[0][part].view(np.int64)), pa.array(x[1][part, 0])], ["gram", "h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(grams[part]), pa.array(x[0][part].view(np.int64)), pa.array(x[1][part])], ["gram", "h", "n"])
 
         for batch in batches:
             bodies, good = batch.column("body").to_pylist(), batch.column("trusted").to_pylist()
             for flag in (True, False):
                 for h, n, codes in _grams([t or "" for t, g in zip(bodies, good) if bool(g) == flag]):
-                    held.append((h, (n * flag)[:, None], codes))
+                    held.append((h, n * flag, codes))
                     size += len(h)
                     if size > 2 * HELD:
                         held = [_merge(held)]
@@ -114,6 +115,8 @@ def ngram_counts(docs: DataFrame, text_col: str, trusted: Column) -> DataFrame:
                             held, size = [], 0
         if held:
             yield from out(_merge(held))
+        held.clear()
+        give_back()
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("body"), trusted.alias("trusted"))
@@ -227,6 +230,8 @@ class LanguageModel:
             scores = _Scores(*held.value)
             for texts in batches:
                 yield pd.Series(_perplexities(list(texts), scores))
+            del scores
+            give_back()
 
         return rows.select("row", score("body").alias("perplexity"))
 
@@ -306,8 +311,9 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
 
 
 def trusted_labels(labels: DataFrame) -> DataFrame:
-    """Ids that the labels call good: quality 1."""
-    return labels.where("quality = 1").select("doc_id")
+    """Ids that the labels call good: quality 1, and not toxic where the labels say so."""
+    good = labels.where("quality = 1")
+    return (good.where("coalesce(toxic, 0) <> 1") if "toxic" in labels.columns else good).select("doc_id")
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
