@@ -13,14 +13,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, stash
+from .common import WHITE, bounded_batches, cut_lineage, give_back, join_counted, stash
 
-#: Shorter lines pair no documents and are deleted only inside a block with a longer one.
-MIN_CHARS = 20
 #: Lines in more than 1/HOT of all occurrences are joined by broadcast: there are at most HOT.
 HOT = 1000
-#: A line in at most so many documents pairs all of them; lines in more are looked up with their runs.
-PAIRED = 32
 
 
 def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -72,9 +68,14 @@ def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_lines(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Places in ``b`` of the aligned blocks that hold a line long enough (odd hashes)."""
+def common_lines(a: np.ndarray, b: np.ndarray, a2: np.ndarray | None = None, b2: np.ndarray | None = None) -> list[int]:
+    """Places in ``b`` of the aligned blocks that hold a line long enough (odd hashes).
+
+    Lines whose second hashes ``a2``, ``b2`` differ are not equal, whatever the first ones say.
+    """
     pairs = align(a, b)
+    if a2 is not None:
+        pairs = [(i, j) for i, j in pairs if a2[i] == b2[j]]
     out: list[int] = []
     block: list[int] = []
     before = (-2, -2)
@@ -92,80 +93,86 @@ def _key(id_col: str, text: Column) -> Column:
     return F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("t"))
 
 
-def _line_hashes(text: Column) -> Column:
-    """A hash for each line; odd if the line has MIN_CHARS characters besides white space at its ends."""
-    return F.transform(F.split(text, "\n"), lambda x: F.xxhash64(F.trim(x)).bitwiseAND(F.lit(-2)) + F.when(F.length(F.trim(x)) >= MIN_CHARS, 1).otherwise(0))
+def _line_hashes(lines: Column, min_chars: int) -> list[Column]:
+    """Two 64-bit hashes for each line; the first is odd if the line has ``min_chars`` characters besides white space at its ends."""
+    bare = F.transform(lines, lambda x: F.btrim(x, F.lit(WHITE)))
+    return [F.transform(bare, lambda x: F.xxhash64(x).bitwiseAND(F.lit(-2)) + F.when(F.length(x) >= min_chars, 1).otherwise(0)).alias("lines"),
+            F.transform(bare, lambda x: F.xxhash64(F.lit("line"), x)).alias("seconds")]
 
 
-def runs(lines: np.ndarray, frequent: set[int]) -> Iterator[tuple[int, int, int]]:
-    """(start, end, hash) of each frequent line and of its runs over the short lines after and before it.
+def runs(lines: np.ndarray, seconds: np.ndarray, frequent: set[int]) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, two hashes) of each frequent line and of its runs over the short lines after and before it.
 
     A run that goes on to the next long line needs no row: that line is
     frequent, with runs of its own, or pairs the documents.
     """
-    x = lines.tolist()
+    x, y = lines.tolist(), seconds.tolist()
     for at, h in enumerate(x):
         if h not in frequent:
             continue
-        yield at, at, h
+        yield at, at, h, y[at]
         for step in (1, -1):
-            mixed, j = h, at + step
+            mixed, j = (h, y[at]), at + step
             while 0 <= j < len(x) and not x[j] & 1:
-                mixed = xxhash.xxh64_intdigest(struct.pack("<qqb", mixed, x[j], step))
-                mixed -= (mixed >> 63) << 64
-                yield min(at, j), max(at, j), mixed
+                digest = xxhash.xxh3_128_digest(struct.pack("<qqqqb", *mixed, x[j], y[j], step))
+                mixed = struct.unpack("<qq", digest)
+                yield min(at, j), max(at, j), *mixed
                 j += step
 
 
-def _earlier(held: DataFrame, by: str) -> DataFrame:
+def _counted(held: DataFrame, by: list[str]) -> DataFrame:
     """``held`` with ``first`` and ``n``, the smallest key and the number of rows of its ``by``, where n > 1."""
-    firsts = stash(held.groupBy(by).agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1"))
-    shared = firsts.agg(F.sum("n")).first()[0] or 0
-    hot, rest = firsts.where(F.col("n") * HOT > shared), firsts.where(F.col("n") * HOT <= shared)
-    return held.join(F.broadcast(hot), by).unionByName(held.join(F.broadcast(hot.select(by)), by, "left_anti").join(rest, by))
+    firsts = stash(held.groupBy(*by).agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    return join_counted(held, firsts, by, "n", HOT)
 
 
-def line_deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, paired: int = 32) -> DataFrame:
     """(key, gone): for each document that loses lines, their places.  See ``line_dedup``."""
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = stash(docs.select(_key(id_col, text).alias("key"), _line_hashes(text).alias("lines")).dropDuplicates(["key"]))
+    split = docs.select(_key(id_col, text).alias("key"), F.split(text, "\n").alias("split"))
+    lines = stash(split.select("key", *_line_hashes(F.col("split"), min_chars)).dropDuplicates(["key"]))
     held = lines.select("key", F.explode(F.array_distinct(F.filter("lines", lambda h: h.bitwiseAND(F.lit(1)) == 1))).alias("h"))
-    held = stash(_earlier(held, "h").select("key", "h", "n"))
-    holders = held.where(F.col("n") <= PAIRED).groupBy("h").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    held = stash(_counted(held, ["h"]).select("key", "h", "n"))
+    holders = held.where(F.col("n") <= paired).groupBy("h").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     pairs = holders.select("keys", F.posexplode("keys").alias("at", "key")).where("at > 0").select(
         "key", F.explode(F.slice("keys", F.lit(1), F.col("at"))).alias("first"))
     pairs = stash(pairs.distinct())
-    both = pairs.join(lines.select(F.col("key").alias("first"), F.col("lines").alias("a")), "first").join(lines.select("key", F.col("lines").alias("b")), "key")
+    both = pairs.join(lines.select(F.col("key").alias("first"), F.col("lines").alias("a"), F.col("seconds").alias("a2")), "first").join(
+        lines.select("key", F.col("lines").alias("b"), F.col("seconds").alias("b2")), "key")
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            gone = [common_lines(a, b) for a, b in zip(batch["a"], batch["b"])]
+            gone = [common_lines(*x) for x in zip(batch["a"], batch["b"], batch["a2"], batch["b2"])]
             yield pd.DataFrame({"id": batch["id"], "t": batch["t"], "gone": gone})
+        give_back()
 
-    found = both.select("key.id", "key.t", "a", "b").mapInPandas(aligned, "id long, t long, gone array<int>").where(F.size("gone") > 0)
-    frequent = held.where(F.col("n") > PAIRED).groupBy("key").agg(F.collect_list("h").alias("frequent")).join(lines, "key")
+    found = both.select("key.id", "key.t", "a", "b", "a2", "b2").mapInPandas(aligned, "id long, t long, gone array<int>").where(F.size("gone") > 0)
+    frequent = held.where(F.col("n") > paired).groupBy("key").agg(F.collect_list("h").alias("frequent")).join(lines, "key")
 
     def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(i, t, *r) for i, t, f, x in zip(batch["id"], batch["t"], batch["frequent"], batch["lines"]) for r in runs(x, set(f.tolist()))]
-            yield pd.DataFrame(out, columns=["id", "t", "start", "end", "run"])
+            out = [(i, t, *r) for i, t, f, x, y in zip(batch["id"], batch["t"], batch["frequent"], batch["lines"], batch["seconds"]) for r in runs(x, y, set(f.tolist()))]
+            yield pd.DataFrame(out, columns=["id", "t", "start", "end", "run", "run2"])
+        give_back()
 
-    known = frequent.select("key.id", "key.t", "frequent", "lines").mapInPandas(looked_up, "id long, t long, start int, end int, run long")
-    known = stash(known.select(F.struct("id", "t").alias("key"), "start", "end", "run"))
-    repeats = _earlier(known, "run").where("first < key").select("key", F.sequence("start", "end").alias("gone"))
+    known = frequent.select("key.id", "key.t", "frequent", "lines", "seconds").mapInPandas(looked_up, "id long, t long, start int, end int, run long, run2 long")
+    known = stash(known.select(F.struct("id", "t").alias("key"), "start", "end", "run", "run2"))
+    repeats = _counted(known, ["run", "run2"]).where("first < key").select("key", F.sequence("start", "end").alias("gone"))
     gone = found.select(F.struct("id", "t").alias("key"), "gone").unionByName(repeats).select("key", F.explode("gone").alias("at"))
     return gone.groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("gone"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, paired: int = 32) -> DataFrame:
     """Delete from each document the blocks of lines that it shares with earlier ones.
 
     Each document is paired with every earlier one (smaller id) that shares a
-    line of at least MIN_CHARS characters which at most PAIRED documents hold.
-    Each pair is aligned by patience diff over line hashes, lines compared
-    without the white space at their ends, and the aligned blocks of the later
-    document are deleted, a block being a run of neighbouring lines in both that
-    holds one of MIN_CHARS characters.  A line that more documents hold would
+    line of at least ``min_chars`` characters which at most ``paired`` documents
+    hold.  Each pair is aligned by patience diff over line hashes, lines compared
+    without the white space at their ends (any that Unicode knows) and by 128
+    bits, and the aligned blocks of the later document are deleted, a block being
+    a run of neighbouring lines in both that holds one of ``min_chars``
+    characters; shorter lines alone pair nothing.  A line that more documents hold would
     pair them by the square of their number.  Such a line goes from all but the
     first document, in whatever order it stands there, together with the short
     lines around it as far as some earlier document has the same ones: that is a
@@ -175,10 +182,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Returns the input's columns in a struct ``row``, with n_lines, n_removed and
     kept_text.  Null text counts as empty (one empty line); rows of one id and
     text are one document and are treated alike; of one id with several texts
-    the order is by a hash.  An empty table gives an empty result.
+    the order is by a hash.  Very long texts are aligned whole.  Ids are integers.
+    An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    gone = cut_lineage(line_deletions(docs, id_col, text_col))
+    gone = cut_lineage(line_deletions(docs, id_col, text_col, min_chars, paired))
     rows = docs.select(F.struct("*").alias("row"), text.alias("body"), _key(id_col, text).alias("key"))
     kept = F.filter("lines", lambda x, i: ~F.array_contains("gone", i))
     return rows.join(gone, "key", "left").select("row", "body", "gone", F.split("body", "\n").alias("lines")).select(
@@ -186,7 +194,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.when(F.col("gone").isNull(), F.col("body")).otherwise(F.array_join(kept, "\n")).alias("kept_text"))
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, **options: int) -> DataFrame:
     """(doc_id, n_lines, n_removed, n_chars_kept, kept_sha256) of documents."""
-    return line_dedup(docs.select("doc_id", "text")).select(
+    return line_dedup(docs.select("doc_id", "text"), **options).select(
         "row.doc_id", "n_lines", "n_removed", F.length("kept_text").alias("n_chars_kept"), F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import hashlib
 import random
 
 import numpy as np
@@ -8,45 +7,14 @@ import pytest
 
 from barloom.llm import line_dedup as module
 from barloom.llm.common import table
-from barloom.llm.line_dedup import align, line_dedup, line_report
+from barloom.llm.line_dedup import align, common_lines, line_dedup, line_report
 
 from .fixtures import AWKWARD, documents, rows
+from .test_line_dedup_all_pairs import brute
 
 COLUMNS = ("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
-def brute(texts):
-    """Each document against the first document of every long line it holds, one pair at a time."""
-    docs = sorted({(i, t or "") for i, t in texts}, key=lambda d: d[0])
-    key = [[x.strip(" ") for x in t.split("\n")] for _, t in docs]
-    number = {}
-    code = [np.array([number.setdefault(x, len(number)) for x in lines]) for lines in key]
-    first = {}
-    gone = [set() for _ in docs]
-    for d, lines in enumerate(key):
-        for e in {first[x] for x in lines if len(x) >= module.MIN_CHARS and x in first}:
-            found = align(code[e], code[d])
-            blocks, last = [], None
-            for i, j in found:
-                if last != (i - 1, j - 1):
-                    blocks.append([])
-                blocks[-1].append(j)
-                last = (i, j)
-            for block in blocks:
-                if any(len(lines[j]) >= module.MIN_CHARS for j in block):
-                    gone[d] |= set(block)
-        for x in lines:
-            first.setdefault(x, d)
-    left = {d: g for d, g in zip(docs, gone)}
-    out = []
-    for i, t in texts:
-        lines = (t or "").split("\n")
-        g = left[i, t or ""]
-        kept = "\n".join(x for j, x in enumerate(lines) if j not in g)
-        out.append((i, len(lines), len(g), hashlib.sha256(kept.encode()).hexdigest()))
-    return sorted(out, key=repr)
-
-
 def test_align():
     a = np.array([1, 2, 3, 4, 5, 6, 7])
     assert align(a, a) == [(i, i) for i in range(7)]
@@ -89,3 +57,27 @@ def test_whole_table(spark, sf_dir):
 
 def test_empty_table(spark):
     assert line_report(documents(spark, [])).count() == 0
+
+
+def test_copies_of_a_document_in_another_order_go(spark):
+    a, b = "a line that is long enough", "another line of that kind"
+    got = {r["row"]["doc_id"]: r["kept_text"] for r in line_dedup(documents(spark, [(1, f"{a}\n{b}"), (2, f"{b}\n{a}"), (3, f"{b}\n{a}")])).collect()}
+    assert got[3] == ""
+
+
+def test_white_space_at_the_ends_of_lines(spark):
+    lines = ["a line that is long enough", "another line of that kind", "a third one, longer than both"]
+    texts = [(1, "\n".join(lines)), (2, "\r\n".join(lines)), (3, "\n".join(f"\t\u3000{x}\x0b\u00a0" for x in lines))]
+    assert {r["row"]["doc_id"]: r["n_removed"] for r in line_dedup(documents(spark, texts)).collect()} == {1: 0, 2: 3, 3: 3}
+
+
+def test_shorter_lines_by_a_parameter(spark):
+    texts = [(1, "one\ntwo"), (2, "zero\none\ntwo")]
+    assert {r["doc_id"]: r["n_removed"] for r in line_report(documents(spark, texts)).collect()} == {1: 0, 2: 0}
+    assert {r["doc_id"]: r["n_removed"] for r in line_report(documents(spark, texts), min_chars=3).collect()} == {1: 0, 2: 2}
+
+
+def test_second_hashes_tell_lines_apart():
+    a = np.array([3, 5, 7])
+    assert common_lines(a, a) == [0, 1, 2]
+    assert common_lines(a, a, np.array([1, 2, 3]), np.array([1, 9, 3])) == [0, 2]

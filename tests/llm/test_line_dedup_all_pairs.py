@@ -15,17 +15,17 @@ from .fixtures import documents, rows
 COLUMNS = ("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
-def brute(texts):
+def gone_lines(texts, min_chars=20, paired=32):
     """Each document against all earlier ones: aligned where a paired line is shared, blocks around frequent lines wherever they stand."""
     docs = sorted({(i, t or "") for i, t in texts}, key=lambda d: d[0])
-    lines = [[x.strip(" ") for x in t.split("\n")] for _, t in docs]
+    lines = [[x.strip() for x in t.split("\n")] for _, t in docs]
     number, holders = {}, {}
     for d, ls in enumerate(lines):
         for x in ls:
-            number.setdefault(x, 2 * len(number) + (len(x) >= module.MIN_CHARS))
-            if len(x) >= module.MIN_CHARS:
+            number.setdefault(x, 2 * len(number) + (len(x) >= min_chars))
+            if len(x) >= min_chars:
                 holders.setdefault(x, set()).add(d)
-    frequent = {number[x] for x, ds in holders.items() if len(ds) > module.PAIRED}
+    frequent = {number[x] for x, ds in holders.items() if len(ds) > paired}
     code = [[number[x] for x in ls] for ls in lines]
     out = {}
     for d, b in enumerate(code):
@@ -43,7 +43,11 @@ def brute(texts):
                             gone.add(j + k)
                             k += step
         out[docs[d]] = gone
-    result = []
+    return out
+
+
+def brute(texts, min_chars=20, paired=32):
+    out, result = gone_lines(texts, min_chars, paired), []
     for i, t in texts:
         ls = (t or "").split("\n")
         g = out[i, t or ""]
@@ -54,16 +58,15 @@ def brute(texts):
 @pytest.mark.parametrize("seed,hot,paired", [(1, 1000, 32), (2, 3, 4), (3, 1, 1), (4, 1000, 100)])
 def test_all_earlier_documents(spark, monkeypatch, seed, hot, paired):
     monkeypatch.setattr(module, "HOT", hot)
-    monkeypatch.setattr(module, "PAIRED", paired)
     rng = random.Random(seed)
     line = [f"line number {i} " + "w" * rng.randint(8, 20) for i in range(30)] + ["", "ab", "short"]
     texts = []
     for i in range(60):
         parts = [line[s:s + rng.randint(1, 5)] for s in (rng.randrange(len(line)) for _ in range(rng.randint(1, 5)))]
         texts.append((i, "\n".join("\n".join(p) for p in parts) + rng.choice(["", "\n", " "])))
-    expected = brute(texts)
+    expected = brute(texts, paired=paired)
     assert any(r[2] for r in expected)
-    assert rows(line_report(documents(spark, texts)), *COLUMNS) == expected
+    assert rows(line_report(documents(spark, texts), paired=paired), *COLUMNS) == expected
 
 
 def test_a_later_holder_aligns_where_the_first_does_not(spark):
