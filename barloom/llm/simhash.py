@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut_lineage, key_runs, run_starts, spanning_forest
+from .common import connected_components, cut_lineage, join_counted, key_runs, run_starts, spanning_forest, stash
 
 SEED = 42
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -19,6 +19,8 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BLOCK = 2048
 #: Shingles whose bits are counted at a time; bounds memory for very long texts.
 CHUNK = 1 << 16
+#: Segment values of more than 1/HOT of all rows are joined by broadcast: there are at most HOT.
+HOT = 1000
 
 
 def fingerprint(text: str, width: int) -> int:
@@ -76,18 +78,16 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     if distance > 3:
         raise ValueError("two segments with balls of radius one cover up to 3 differing bits")
     table = fps.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("t")).select(
-        "t", F.when(F.col("t") == 0, _segment(F.col("fp"), 0)).otherwise(_segment(F.col("fp"), 1)).alias("v"), F.lit(True).alias("own"), "fp")
-    bits = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).where(F.getbit("fp", "bit") == 0)
-    flipped = F.col("fp").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")))
-    probes = bits.select(
-        F.when(F.col("bit") < 32, 0).otherwise(1).alias("t"),
-        F.when(F.col("bit") < 32, _segment(flipped, 0)).otherwise(_segment(flipped, 1)).alias("v"), F.lit(False).alias("own"), "fp")
-    held = table.groupBy("t", "v").agg(F.count("*").alias("n"))
-    # Only buckets that hold a fingerprint can match; most looked-up ones hold none.
-    near = probes.join(held.select("t", "v"), ["t", "v"])
-    members = table.unionByName(near)
-    sizes = members.groupBy("t", "v").agg(F.count("*").alias("n")).where("n > 1")
-    members = members.join(sizes, ["t", "v"])
+        "t", F.when(F.col("t") == 0, _segment(F.col("fp"), 0)).otherwise(_segment(F.col("fp"), 1)).alias("v"), "fp")
+    # Balls are enumerated around segment values, however many fingerprints have one, and met with the values that some fingerprint has.
+    held = stash(table.groupBy("t", "v").agg(F.count("*").alias("n")))
+    ball = held.select("t", F.col("v").alias("near"), "n", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit")).where(F.getbit("near", "bit") == 0)
+    ball = ball.select("t", "near", "n", F.col("near").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("v"))
+    matched = stash(ball.join(held.select("t", "v"), ["t", "v"]).groupBy("t", "near", "n").agg(F.collect_list("v").alias("vs")))
+    looked = join_counted(table.withColumnRenamed("v", "near"), matched, ["t", "near"], "n", HOT)
+    members = stash(table.select("t", "v", F.lit(True).alias("own"), "fp").unionByName(looked.select("t", F.explode("vs").alias("v"), F.lit(False).alias("own"), "fp")))
+    sizes = stash(members.groupBy("t", "v").agg(F.count("*").alias("n")).where("n > 1"))
+    members = join_counted(members, sizes, ["t", "v"], "n", HOT)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     dealt = members.select("t", "v", "own", "fp", block.alias("k"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
