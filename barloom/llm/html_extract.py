@@ -17,6 +17,9 @@ _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_WORD = re.compile(r"[^\W\d_]+")
+#: Up to so many words a block may be known by words that menus, adverts, notices and forms often say.
+SHORT = 12
 _SENTENCE = re.compile(r"[.!?…。][\"'”»)]*$")
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -132,6 +135,8 @@ def features(block: Block) -> list[str]:
     out.append("sentence" if _SENTENCE.search(block.text) else "no-sentence")
     if any(x in block.text for x in "©|»·"):
         out.append("sign")
+    if words <= SHORT:
+        out += [f"says:{x}" for x in set(_WORD.findall(block.text.lower())) & _SAID]
     return out
 
 
@@ -145,9 +150,22 @@ _BAD_NAMES = {
     "ad": "ad ads advert advertisement adsense sponsor sponsored promo promotion outbrain",
     "notice": "cookie cookies consent notice alert gdpr popup modal overlay newsletter subscribe paywall warning",
     "form": "form search login signup register contact",
-    "comments": "comment comments discussion replies reply disqus respond feedback comment-list",
+    "comments": "comment comments discussion replies reply disqus respond feedback comment-list reviews review ratings opinions guestbook thread users responses",
     "share": "share sharing social follow tools meta byline",
 }
+# Words that each kind of block often says; the model learns what they tell.
+_SAYINGS = {
+    "nav": "home blog news about us contact menu archive products services back next previous top skip to content site map",
+    "header": "welcome to the official site of menu search",
+    "footer": "all rights reserved copyright privacy policy terms of use imprint powered by contact us",
+    "aside": "related articles most read popular recent posts recommended for you tags archives you may also like",
+    "ad": "advertisement buy now sale discount save offer free shipping click here sponsored shop today only order limited deal",
+    "notice": "we use cookies accept consent this site by continuing you agree to our policy subscribe newsletter sign up close",
+    "form": "search log in sign up register email password name submit send your message subscribe forgot",
+    "comments": "comments replies leave a reply reviews said wrote says likes report post a comment responses thanks for sharing",
+    "share": "share tweet like follow us print email this on save posted by tags",
+}
+_SAID = frozenset(w for s in _SAYINGS.values() for w in s.split() if len(w) > 2 and w not in ("the", "for", "you", "this", "our", "most", "all", "may", "use"))
 
 
 def labelled_pages(n: int, seed: int) -> list[str]:
@@ -171,8 +189,16 @@ def labelled_pages(n: int, seed: int) -> list[str]:
     def paragraphs(low: int, high: int) -> str:
         return "".join(f"<p>{prose()}{rng.choice(['</p>', ''])}" for _ in range(rng.randint(low, high)))
 
-    def rest(kind: str) -> str:
-        inner = {
+    def said(kind: str) -> str:
+        """A short phrase of the words that such a block often says."""
+        known = _SAYINGS[kind].split()
+        at = rng.randrange(len(known))
+        return " ".join(known[at: at + rng.randint(1, 5)]).capitalize()
+
+    def content(kind: str) -> str:
+        if rng.random() < 0.3:
+            return rng.choice([said(kind), f"<p>{said(kind)}{rng.choice(['.', '!', ''])}</p>", f"{said(kind)} {prose(1, 12)}", f'<a href="/z">{said(kind)}</a>'])
+        return {
             "nav": lambda: links(rng.randint(2, 7)), "header": lambda: rng.choice([f"<h1>{words(1, 4)}</h1>", f"<div>{words(1, 5)}</div><p>{prose(1, 8)}</p>"]),
             "footer": lambda: rng.choice([f"&copy; {words(1, 4)} &middot; {prose(1, 12)}", f"<p>{prose(1, 20)}</p>", links(3)]),
             "aside": lambda: rng.choice([f"<h3>{words(1, 4)}</h3>{links(3)}", paragraphs(1, 2), prose(1, 20)]),
@@ -182,12 +208,15 @@ def labelled_pages(n: int, seed: int) -> list[str]:
             "comments": lambda: f"<h3>{words(1, 3)}</h3>" + rng.choice([paragraphs(1, 4), "<ol>" + "".join(f"<li><p>{prose()}</p></li>" for _ in range(rng.randint(1, 3))) + "</ol>"]),
             "share": lambda: rng.choice([words(2, 6), links(3)]),
         }[kind]()
+
+    def rest(kind: str) -> str:
+        inner = content(kind)
         own = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "comments": "section"}.get(kind, "div")
         tag = own if rng.random() < 0.6 else "div"
         name = named(kind) if tag in ("div", "section") or rng.random() < 0.5 else ""
         return f'<{tag}{name} data-label="0">{inner}</{tag}>'
 
-    def article() -> str:
+    def article(bare: bool = False) -> str:
         body = f"<h1>{words(2, 10)}</h1>" if rng.random() < 0.8 else ""
         for _ in range(rng.randint(1, 8)):
             body += rng.choices([
@@ -201,6 +230,8 @@ def labelled_pages(n: int, seed: int) -> list[str]:
                 body += rest(rng.choice(["ad", "share", "aside", "notice", "form", "nav", "comments"]))
         if rng.random() < 0.35:
             body += rest("comments")
+        if bare:
+            return body
         style = rng.random()
         name = named("") if rng.random() < 0.5 else ""
         if style < 0.5:
@@ -210,10 +241,29 @@ def labelled_pages(n: int, seed: int) -> list[str]:
         inner = f'<div{named("")} data-label="1">{body}</div>'
         return f"<article>{inner}</article>" if style < 0.8 else inner
 
+    def in_table() -> str:
+        """A page laid out by a table whose cells have no names."""
+        def cell(kind: str) -> str:
+            row = rng.choice([" ", "<br>", " | "]).join(f'<a href="/t">{rng.choice([said("nav"), words(1, 2)])}</a>' for _ in range(rng.randint(2, 8)))
+            return f'<td data-label="0">{row if kind == "nav" else content(kind)}</td>'
+
+        body = article(rng.random() < 0.7)
+        sides = [cell("nav") if rng.random() < 0.8 else "", f'<td data-label="1">{body}</td>', cell(rng.choice(["ad", "aside", "nav"])) if rng.random() < 0.6 else ""]
+        top = f'<tr>{cell(rng.choice(["header", "nav", "ad"]))}</tr>' if rng.random() < 0.7 else ""
+        end = f'<tr>{cell("footer")}</tr>' if rng.random() < 0.7 else ""
+        return f"<table>{top}<tr>{''.join(sides)}</tr>{end}</table>"
+
     pages = []
     for _ in range(n):
+        layout = rng.random()
+        if layout < 0.25:
+            pages.append(f'<html><head><title data-label="0">{words(2, 9)}</title></head><body>{in_table()}</body></html>')
+            continue
         before = "".join(rest(k) for k in rng.sample(["nav", "header", "ad", "notice", "form", "share"], rng.randint(0, 4)))
         after = "".join(rest(k) for k in rng.sample(["footer", "aside", "comments", "ad", "notice", "nav", "form", "share"], rng.randint(0, 4)))
+        if layout < 0.35:
+            pages.append(f'<html><head><title data-label="0">{words(2, 9)}</title></head><body data-label="1">{before}{article(True)}{after}</body></html>')
+            continue
         pages.append(f'<html><head><title data-label="0">{words(2, 9)}</title></head><body>{before}{article()}{after}</body></html>')
     return pages
 
@@ -319,7 +369,8 @@ def extract(pages: DataFrame, html_col: str = "html", crf: Crf | None = None) ->
 
     The model has a fixed size, whatever the input, and travels with the function.
     Null and empty pages and pages without main text give an empty text; equal
-    pages give equal texts.
+    pages give equal texts, and rows of one id are rows of their own.  Very long
+    pages are read whole, in one pass.  An empty table gives an empty result.
     """
     model = crf or default_model()
 

@@ -47,7 +47,8 @@ def test_broken_markup():
 def test_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "r", "t"), (1, "u", PAGE, "r", "t"), (None, None, None, None, None), (3, "v", "", "r", "t")], "page_id long, url string, html string, row string, text string")
     got = [tuple(r) for r in page_report(pages).orderBy("page_id").collect()]
-    assert [(r[0], r[3]) for r in got] == [(None, 0), (1, 135), (1, 135), (3, 0)] or len({r[2] for r in got}) == 2
+    text = main_text(PAGE, default_model())
+    assert got == [(None, None, "", 0), (1, "u", text, len(text)), (1, "u", text, len(text)), (3, "v", "", 0)]
     assert extract(pages).where("row.row = 'r'").count() == 3
     assert page_report(pages.limit(0)).count() == 0
 
@@ -58,3 +59,46 @@ def test_whole_table(spark, sf_dir):
     assert len(got) == pages.count()
     assert sum(r["n_chars"] > 0 for r in got) >= 0.95 * len(got)
     assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+#: Pages written by hand, of layouts of all ages, with the blocks of their main text.
+BY_HAND = [
+    ("""<html><head><title>Garden</title></head><body><table width="100%"><tr><td><a href="/">Home</a> <a href="/b">Blog</a></td><td><h1>Growing tomatoes</h1>
+     <p>Tomatoes need sun and warm soil to grow well.</p><p>Water them every morning in summer.</p></td><td>Buy cheap seeds now!</td></tr></table></body></html>""",
+     ["Growing tomatoes", "Tomatoes need sun and warm soil to grow well.", "Water them every morning in summer."]),
+    ("""<body><header class="masthead"><a href="/">The Daily</a></header><main><h1>A walk by the river</h1><p>We walked along the river for hours.</p><p>It rained in the end.</p>
+     <div class="user-reviews"><h4>Reviews</h4><p>Nice walk, I did it too.</p></div></main><footer>&copy; 2020 The Daily</footer></body>""",
+     ["A walk by the river", "We walked along the river for hours.", "It rained in the end."]),
+    ("""<body><div class="cookie-banner">We use cookies to make this site better. <button>Accept</button></div><div id="content"><h2>Bread</h2><p>Mix flour and water, then wait for an hour.</p>
+     <ul><li>500 g flour</li><li>300 g water</li></ul></div><div id="sidebar"><h3>Popular</h3><ul><li><a href="/1">Ten cakes</a></li></ul></div></body>""",
+     ["Bread", "Mix flour and water, then wait for an hour.", "500 g flour", "300 g water"]),
+    ("<html><body><h1>Plain page</h1><p>This page has no containers at all, just text.</p><p>And a second paragraph.</p></body></html>",
+     ["Plain page", "This page has no containers at all, just text.", "And a second paragraph."]),
+    ("""<body><div id="wrap"><div id="top-nav"><ul><li><a href="/">Start</a><li><a href="/x">Archive</a></ul></div><div class="entry-content"><h1>On old maps</h1>
+     <p>Old maps show what people knew, and what they guessed.</p><blockquote><p>Here be dragons.</p></blockquote><p>Few maps ever said so.</p></div>
+     <div id="comments"><ol class="comment-list"><li><p>Great post about maps!</p></li><li><p>I have one at home.</p></li></ol><form><label>Name</label><p>Leave a reply</p></form></div></div></body>""",
+     ["On old maps", "Old maps show what people knew, and what they guessed.", "Here be dragons.", "Few maps ever said so."]),
+    ("""<body><article><header><h1>Night trains</h1></header><p>Night trains are coming back to many lines.</p><aside class="related"><a href="/r">Ten best lines</a></aside>
+     <p>Tickets cost less than a hotel.</p><div class="newsletter-signup"><p>Sign up for our newsletter</p></div></article><nav class="pagination"><a href="/2">Next page</a></nav></body>""",
+     ["Night trains", "Night trains are coming back to many lines.", "Tickets cost less than a hotel."]),
+    ("""<body><div class="alert notice">This shop is closed on Sundays.</div><div class="post"><h1>Repairing a bicycle</h1><p>Take off the wheel before you start. Keep the nuts in a cup.</p>
+     <pre>wheel, tube, tyre</pre><table><tr><td>Tube</td><td>5 euros</td></tr></table><div class="share-buttons"><a href="/f">Share</a> <a href="/t">Tweet</a></div></div>
+     <div class="footer">All rights reserved.</div></body>""",
+     ["Repairing a bicycle", "Take off the wheel before you start. Keep the nuts in a cup.", "wheel, tube, tyre", "Tube", "5 euros"]),
+    ("""<body><section id="main"><div class="story"><h2>Der Zug</h2><p>Der Zug f&auml;hrt um acht Uhr ab.</p><p>Er kommt am Abend an.</p></div><section class="discussion"><h3>Kommentare</h3><p>Sch&ouml;n.</p></section></section>
+     <div class="sponsored"><p>G&uuml;nstig reisen mit uns!</p></div></body>""",
+     ["Der Zug", "Der Zug fährt um acht Uhr ab.", "Er kommt am Abend an."]),
+]
+
+
+def test_pages_written_by_hand():
+    crf = default_model()
+    hit = found = wanted = exact = 0
+    for html, expected in BY_HAND:
+        got = main_text(html, crf).split("\n\n")
+        hit += len(set(got) & set(expected))
+        found += len(got)
+        wanted += len(expected)
+        exact += got == expected
+    assert 2 * hit / (found + wanted) >= 0.95
+    assert exact >= len(BY_HAND) - 2
