@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hash buckets of the model; with MAX_LANGUAGES this bounds what is broadcast (64 MB).
+from .common import run_starts, stash
+
+#: Hash buckets of the model.
 BUCKETS = 1 << 15
-MAX_LANGUAGES = 512
+#: Languages of one block of the model, which bounds what is broadcast and gathered at a time
+#: (16 MB broadcast); further languages take further blocks.
+LANGUAGES = 128
 ORDERS = (2, 3)
 SMOOTHING = 0.5
-#: Numbers gathered at a time while scoring.
-CHUNK = 1 << 22
+#: Numbers gathered, and n-grams sorted, at a time while scoring.
+CHUNK = 1 << 21
 UNKNOWN = "und"
 
 
@@ -55,65 +60,121 @@ def features(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities (BUCKETS x languages, float32).
+Block = tuple[list[str], np.ndarray]
+
+
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[Block]:
+    """The model in blocks of languages, in name order: names and log-probabilities (BUCKETS x languages, float32).
 
     Counts n-grams over the whole text of every row with a language.  Each task
-    adds up its own counts; at most BUCKETS numbers per language leave it.  Of
-    more than MAX_LANGUAGES languages, those with the most rows are learned.
+    adds up its own counts; at most BUCKETS numbers per language leave it.  Every
+    language is learned; the driver holds one block's counts at a time.
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("body"))
-    names = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
-    if not names:
-        return [], np.zeros((BUCKETS, 0), np.float32)
-    known = known.where(F.col("lang").isin(names))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS, np.int64))
+
+        def out() -> Iterator[pd.DataFrame]:
+            for lang, n in held.items():
+                at = np.flatnonzero(n)
+                yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": n[at]})
+            held.clear()
+
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["body"]):
                 held[lang] += np.bincount(features(text), minlength=BUCKETS)
-        for lang, n in held.items():
-            at = np.flatnonzero(n)
-            yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": n[at]})
-
-    counts = known.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    n = np.zeros((BUCKETS, len(names)))
-    n[counts["bucket"], counts["lang"].map({x: i for i, x in enumerate(names)})] = counts["n"]
-    n += SMOOTHING
-    return names, np.log(n / n.sum(axis=0)).astype(np.float32)
-
-
-def predict(text: str | None, names: list[str], logp: np.ndarray) -> tuple[str, float]:
-    """The likeliest language (the first in name order of equals) and its posterior."""
-    f = features(text) if text and names else np.zeros(0, np.uint32)
-    if not len(f):
-        return UNKNOWN, 0.0
-    total = np.zeros(len(names))
-    step = max(1, CHUNK // len(names))
-    for i in range(0, len(f), step):
-        total += logp.take(f[i: i + step], axis=0).sum(axis=0, dtype=np.float64)
-    total -= total.max()
-    best = int(np.argmax(total))
-    return names[best], float(1 / np.exp(total).sum())
-
-
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
-    """The input's columns in a struct ``row``, with lang_pred and score.
-
-    The model is broadcast: at most BUCKETS x MAX_LANGUAGES floats whatever the
-    input.  Null text and text without letters are ``und`` with score 0, as is
-    all text where nothing could be learned.
+                if len(held) > LANGUAGES:
+                    yield from out()
+        yield from out()
+
+    counts = stash(known.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    # A language whose texts have no letters is learned too: all its n-grams are equally likely.
+    names = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    blocks = []
+    for i in range(0, len(names), LANGUAGES):
+        part = names[i: i + LANGUAGES]
+        of_block = counts.where((F.col("lang") >= part[0]) & (F.col("lang") <= part[-1])).toArrow().to_pandas()
+        n = np.zeros((BUCKETS, len(part)))
+        n[of_block["bucket"], of_block["lang"].map({x: j for j, x in enumerate(part)})] = of_block["n"]
+        n += SMOOTHING
+        blocks.append((part, np.log(n / n.sum(axis=0)).astype(np.float32)))
+    return blocks
+
+
+def _counted(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The sparse matrix of n-gram counts of a batch, in pieces: text, bucket, count, ordered by text.
+
+    A text with more than CHUNK n-grams comes in several pieces.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("lang_pred string, score double")
-    def scored(texts: pd.Series) -> pd.DataFrame:
+    held, size = [], 0
+
+    def piece() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cells, n = np.unique(np.concatenate(held), return_counts=True)
+        return cells // BUCKETS, cells % BUCKETS, n
+
+    for i, text in enumerate(texts):
+        f = features(text) if text else np.zeros(0, np.uint32)
+        for j in range(0, len(f), CHUNK):
+            held.append(f[j: j + CHUNK].astype(np.int64) + i * BUCKETS)
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield piece()
+                held, size = [], 0
+    if held:
+        yield piece()
+
+
+def totals(texts: list[str | None], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts x languages): the log-likelihoods of a batch, its sparse counts times the model; and which texts have an n-gram."""
+    out, known = np.zeros((len(texts), logp.shape[1])), np.zeros(len(texts), bool)
+    step = max(1, CHUNK // max(1, logp.shape[1]))
+    for row, bucket, n in _counted(texts):
+        for i in range(0, len(row), step):
+            r = row[i: i + step]
+            first = run_starts(r)
+            out[r[first]] += np.add.reduceat(logp[bucket[i: i + step]] * n[i: i + step, None].astype(np.float64), first, axis=0)
+            known[r] = True
+    return out, known
+
+
+def _scorer(held: Broadcast) -> Callable[..., Column]:
+    """Of the languages before and those of this block: the best, its log-likelihood, and all likelihoods as a multiple of it."""
+    @F.pandas_udf("lang string, best double, total double")
+    def scored(texts: pd.Series, lang: pd.Series, best: pd.Series, total: pd.Series) -> pd.DataFrame:
         names, logp = held.value
-        return pd.DataFrame([predict(t, names, logp) for t in texts], columns=["lang_pred", "score"])
+        ll, known = totals(list(texts), logp)
+        top = ll.argmax(axis=1)
+        here = ll[np.arange(len(ll)), top]
+        before = best.to_numpy(np.float64, na_value=-np.inf)
+        high = np.maximum(before, here)
+        every = np.exp(ll - high[:, None]).sum(axis=1) + total.to_numpy(np.float64, na_value=0.0) * np.exp(before - high)
+        name = np.where(here > before, np.array(names, object)[top], lang.to_numpy(object))
+        return pd.DataFrame({"lang": np.where(known, name, None), "best": np.where(known, high, np.nan), "total": np.where(known, every, np.nan)})
+
+    return scored
+
 
-    return docs.select(F.struct("*").alias("row"), scored(F.col(text_col)).alias("p")).select("row", "p.lang_pred", "p.score")
+def identify(docs: DataFrame, model: list[Block], text_col: str = "text") -> DataFrame:
+    """The input's columns in a struct ``row``, with lang_pred and score.
+
+    lang_pred is the likeliest language (the first in name order of equals),
+    score its posterior.  Each block of the model is broadcast: BUCKETS x
+    LANGUAGES floats whatever the input; with several blocks the texts are read
+    once for each, and the best and the sum of all are carried on.  Null text and
+    text without letters are ``und`` with score 0, as is all text where nothing
+    could be learned; repeated rows are rows of their own; very long texts are
+    scored whole, in pieces.
+    """
+    out = docs.select(F.struct("*").alias("row"), F.lit(None).cast("struct<lang:string,best:double,total:double>").alias("p"))
+    for i, block in enumerate(model):
+        held = docs.sparkSession.sparkContext.broadcast(block)
+
+        out = out.select("row", _scorer(held)(F.col("row").getField(text_col), "p.lang", "p.best", "p.total").alias("p"))
+        if i < len(model) - 1:
+            out = stash(out)
+    return out.select("row", F.coalesce("p.lang", F.lit(UNKNOWN)).alias("lang_pred"), F.when(F.col("p.lang").isNotNull(), 1 / F.col("p.total")).otherwise(F.lit(0.0)).alias("score"))
 
 
 def held_out(id_col: str) -> Column:

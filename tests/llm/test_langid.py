@@ -2,12 +2,17 @@ from __future__ import annotations
 
 import binascii
 
+from collections import Counter
+from math import exp, log
+
 import numpy as np
+import pytest
 
+from barloom.llm import langid as module
 from barloom.llm.common import table
 from barloom.llm.langid import features, identify, language_report, train
 
-from .fixtures import AWKWARD, documents
+from .fixtures import AWKWARD, LONG, documents
 
 
 def test_held_out_accuracy(spark):
@@ -29,7 +34,7 @@ def test_held_out_accuracy(spark):
 
 def test_counts_equal_plain_counts(spark):
     texts = [(0, "aba ab", "x"), (1, "Ab!", "x"), (3, "cdc", "y"), (4, "zzz", None), (5, None, "y")]
-    names, logp = train(documents(spark, texts))
+    (names, logp), = train(documents(spark, texts))
     assert names == ["x", "y"]
     n = np.full((logp.shape[0], 2), 0.5)
     for _, text, lang in texts[:3]:
@@ -58,3 +63,34 @@ def test_nothing_to_learn_and_empty_table(spark):
 def test_keeps_columns(spark):
     model = train(documents(spark, [(0, "abc", "x")]))
     assert identify(documents(spark, [(0, "abc", "x")]), model).first()["row"]["key"] == "k"
+
+
+def brute(learned, texts):
+    """Multinomial naive Bayes over dictionaries, with the buckets of ``features``."""
+    counts = {}
+    for lang, text in learned:
+        counts.setdefault(lang, Counter()).update(features(text).tolist())
+    for text in texts:
+        f = features(text).tolist() if text else []
+        if not f or not counts:
+            yield "und", 0.0
+            continue
+        ll = {}
+        for lang in sorted(counts):
+            all_ = sum(counts[lang].values()) + 0.5 * module.BUCKETS
+            ll[lang] = sum(log((counts[lang][b] + 0.5) / all_) for b in f)
+        best = max(ll, key=lambda x: (ll[x], [-ord(c) for c in x]))
+        yield best, 1 / sum(exp(x - ll[best]) for x in ll.values())
+
+
+@pytest.mark.parametrize("languages,chunk", [(128, 1 << 21), (2, 1 << 21), (1, 64), (128, 50)])
+def test_predictions_equal_plain_ones(spark, monkeypatch, languages, chunk):
+    monkeypatch.setattr(module, "LANGUAGES", languages)
+    monkeypatch.setattr(module, "CHUNK", chunk)
+    learned = [("en", "the cat sat"), ("de", "der hund sass"), ("fr", "le chat est la"), ("nl", "de hond zat"), ("en", "on the mat"), ("zz", "12 34")]
+    model = train(documents(spark, [(i, t, l) for i, (l, t) in enumerate(learned)]))
+    texts = ["the dog", "der kater", "la", "hond", None, "", "?!", "the der le de", "q", LONG[:5000] + "der hund", "the dog"]
+    got = identify(documents(spark, list(enumerate(texts))), model).collect()
+    got = sorted((r["row"]["doc_id"], r["lang_pred"], r["score"]) for r in got)
+    for (i, lang, score), (want, p) in zip(got, brute(learned, texts)):
+        assert lang == want and score == pytest.approx(p, abs=1e-3), i
