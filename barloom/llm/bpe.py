@@ -239,13 +239,15 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """The input's columns in a struct ``row``, with ids (array of int).
 
     The ids equal those of the public tokenizers library for the file at
-    ``path`` without added special tokens.  Null and empty texts have no ids.
+    ``path`` without added special tokens.  Null and empty texts have no ids,
+    equal texts equal ids, repeated rows are rows of their own; a very long text
+    is encoded whole.  An empty table gives an empty result.
     """
     return _map_texts(docs, path, text_col, "ids array<int>", lambda bpe, ids: (ids,))
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """The input's columns in a struct ``row``, with the decoded ``text``; null for null ids."""
+    """The input's columns in a struct ``row``, with the decoded ``text``; null for null ids, empty for none."""
     held = rows.sparkSession.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
 
     @F.pandas_udf("string")
@@ -263,7 +265,10 @@ def _digest(bpe: Bpe, ids: list[int]) -> tuple[int, str, str]:
 
 
 def round_trip_digest(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): documents encoded, and decoded from their ids."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): documents encoded, and decoded from their ids.
+
+    One row for each row of documents, whatever its id; null counts as empty.
+    """
     return _map_texts(docs.select("doc_id", "text"), path, "text",
                       "n_tokens long, ids_sha256 string, decoded_sha256 string", _digest).select(
         "row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
