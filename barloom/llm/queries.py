@@ -14,6 +14,7 @@ from .html_extract import page_report
 from .langid import language_report
 from .line_dedup import line_report
 from .mixing import mixed_digest
+from .periodic_runs import run_report
 from .quality import quality_report
 from .simhash import simhash_dedup
 from .suffix_dedup import suffix_report
@@ -66,10 +67,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_language_id, op3_embedding_dedup, op4_quality_perplexity, op5_html_extract, op6_bpe_round_trip,
-        op7_suffix_dedup, op8_line_dedup, op9_simhash_dedup, op10_exact_dedup)
+        op7_suffix_dedup, op8_line_dedup, op9_simhash_dedup, op10_exact_dedup,
+        op12_periodic_runs)
 }
 
 ORACLE_SQL: dict[str, str] = {
