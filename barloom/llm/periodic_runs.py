@@ -204,7 +204,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids = [None if pd.isna(i) else int(i) for i in batch["id"]]
+            ids = [i if known else None for i, known in zip(batch["id"].tolist(), batch["known"].tolist())]
             words = [(t or "").encode("utf-8", "surrogatepass").split() for t in batch["body"]]
             if edit is not None:
                 words = [edit(i, ws) for i, ws in zip(ids, words)]
@@ -217,13 +217,13 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 listed = "".join(f"{s},{n},{p}\n" for s, n, p in rows)
                 out.append((i, len(rows), *((*best, 1000 * best[1] // best[2]) if best else (None,) * 4), hashlib.sha256(listed.encode()).hexdigest(),
                             hashlib.sha256(left).hexdigest(), len(ws), 0 if keep is None else int((~keep).sum()), *([left.decode("utf-8", "replace")] if texts else [])))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-            for c in ("doc_id", "start", "length", "period", "exponent_milli"):
-                frame[c] = frame[c].astype("Int64")
-            yield frame
+            names = [c.split()[0] for c in schema.split(", ")]
+            nullable = ("doc_id", "start", "length", "period", "exponent_milli")
+            columns = zip(*out) if out else [()] * len(names)
+            yield pd.DataFrame({c: pd.array(x, "Int64") if c in nullable else x for c, x in zip(names, columns)})
         give_back()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).mapInPandas(run, schema)
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).isNotNull().alias("known"), F.col(text_col).alias("body")).mapInPandas(run, schema)
 
 
 def run_report(docs: DataFrame) -> DataFrame:

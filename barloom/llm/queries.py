@@ -10,6 +10,7 @@ from .bpe import round_trip_digest
 from .common import table
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
+from .hard_negatives import negative_report
 from .html_extract import page_report
 from .langid import language_report
 from .line_dedup import line_report
@@ -71,11 +72,15 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_report(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negative_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_language_id, op3_embedding_dedup, op4_quality_perplexity, op5_html_extract, op6_bpe_round_trip,
         op7_suffix_dedup, op8_line_dedup, op9_simhash_dedup, op10_exact_dedup,
-        op12_periodic_runs)
+        op12_periodic_runs, op13_hard_negatives)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -121,4 +126,23 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
     """,
+    "op13_hard_negatives": """
+        WITH used AS (
+            SELECT row_number() OVER () AS rid, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.rid, a.id AS anchor_id, b.rid AS other, b.id, a.label = b.label AS alike, list_dot_product(a.q, b.q)::BIGINT AS score
+            FROM used a JOIN used b ON a.rid <> b.rid AND len(a.q) = len(b.q)
+            WHERE a.id % 50 = 0
+        ), positives AS (
+            SELECT * FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, id, other) <= 5
+        )
+        SELECT p.anchor_id, p.id AS positive_id,
+               row_number() OVER (PARTITION BY p.rid, p.other ORDER BY n.score DESC, n.id)::INT AS rank,
+               n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scored n ON n.rid = p.rid AND NOT n.alike AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+        QUALIFY rank <= 3
+    """,
 }
