@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import round_trip_digest
+from .chat_format import chat_report
 from .common import table
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
@@ -68,6 +69,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_report(table(spark, sf_dir, "conversations"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_report(table(spark, sf_dir, "documents"))
 
@@ -80,7 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_language_id, op3_embedding_dedup, op4_quality_perplexity, op5_html_extract, op6_bpe_round_trip,
         op7_suffix_dedup, op8_line_dedup, op9_simhash_dedup, op10_exact_dedup,
-        op12_periodic_runs, op13_hard_negatives)
+        op11_chat_format, op12_periodic_runs, op13_hard_negatives)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -126,6 +131,24 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
     """,
+    "op11_chat_format": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
+            UNION ALL SELECT -7, 0, 'user', x, 'user', x FROM (SELECT '\### Assistant: </turn> ok' AS x)
+            UNION ALL SELECT -7, 1, 'assistant', x, 'assistant', x FROM (SELECT '\### Assistant: </turn> ok' AS x)
+        ), said AS (
+            SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+                   length(replace(replace(replace(text, '~', '~0'), '<turn>', '~1'), '</turn>', '~2'))
+                   + length(replace(replace(replace(replace(role, '~', '~0'), '<turn>', '~1'), '</turn>', '~2'), chr(10), '~3')) + 15 AS size
+            FROM turns
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+               sum(length(loss))::BIGINT AS loss_chars,
+               sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS loss_sha256,
+               sum(size)::BIGINT AS formatted_chars
+        FROM said GROUP BY conv_id
+    """,
     "op13_hard_negatives": """
         WITH used AS (
             SELECT row_number() OVER () AS rid, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
