@@ -91,7 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": """
         WITH RECURSIVE docs AS (
-            SELECT doc_id, source, coalesce(text, '') AS text, coalesce('s' || source, 'n') AS key FROM documents
+            SELECT doc_id, source, coalesce(text, '') AS text, coalesce('s' || source, 'n') AS key,
+                   coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) AS own FROM documents
         ), sizes AS (
             SELECT key, sum(length(text)) AS size FROM docs GROUP BY key HAVING sum(length(text)) > 0
         ), rates AS (
@@ -108,18 +109,18 @@ ORACLE_SQL: dict[str, str] = {
         ), tables AS (
             SELECT key, any_value(draws) AS draws, list(c ORDER BY j) AS cdf FROM cdf GROUP BY key
         ), drawn AS (
-            SELECT doc_id, source, text, cdf, unnest(range(1, draws + 1)) AS i FROM docs JOIN tables USING (key)
+            SELECT doc_id, own, source, text, cdf, unnest(range(1, draws + 1)) AS i FROM docs JOIN tables USING (key)
         ), hashed AS (
-            SELECT *, ('0x' || substr(md5('17:' || i || ':' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM drawn
+            SELECT *, ('0x' || substr(md5('17:' || i || ':' || own), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM drawn
         ), counted AS (
-            SELECT doc_id, any_value(source) AS source, any_value(text) AS text,
+            SELECT own, any_value(doc_id) AS doc_id, any_value(source) AS source, any_value(text) AS text,
                    sum(len(list_filter(cdf, lambda c: c < u)))::BIGINT AS n_copies
-            FROM hashed GROUP BY doc_id
+            FROM hashed GROUP BY own
         ), copies AS (
             SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM counted
         )
         SELECT doc_id, copy, n_copies, source,
-               ('0x' || substr(md5('17:mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy), 1, 15))::BIGINT AS mix_key,
+               ('0x' || substr(md5('17:mix:' || own || ':' || copy), 1, 15))::BIGINT AS mix_key,
                sha256(text) AS text_sha256
         FROM copies
     """,

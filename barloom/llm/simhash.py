@@ -54,9 +54,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.array([fingerprint(t or "", width) for t in batch["body"]], np.uint64)
-            yield pd.DataFrame({"id": batch["id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"id": batch["id"], "known": batch["known"], "fp": fp.view(np.int64)})
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInPandas(run, "id long, fp long")
+    # A column of longs with nulls would pass through doubles.
+    held = docs.select(F.coalesce(F.col(id_col), F.lit(0)).alias("id"), F.col(id_col).isNotNull().alias("known"), F.col(text_col).alias("body"))
+    return held.mapInPandas(run, "id long, known boolean, fp long").select(F.when(F.col("known"), F.col("id")).alias("id"), "fp")
 
 
 def _segment(fp: Column, table: int) -> Column:
@@ -139,11 +141,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty table gives an empty result; other columns are ignored.
     """
     each = cut_lineage(fingerprints(docs, id_col, text_col, width))
-    classes = cut_lineage(each.groupBy("fp").agg(F.min("id").alias("rep")))
+    classes = cut_lineage(each.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     edges = links(classes.select("fp"), distance)
     parts = connected_components(edges, "a", "b")
-    named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_fp = cut_lineage(named.join(smallest, "component").select("fp", "component_id"))
-    return each.join(by_fp, "fp").select(
+    by_fp = cut_lineage(named.join(smallest, "component").select("fp", "n", "component_id"))
+    return join_counted(each, by_fp, ["fp"], "n", HOT).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -39,6 +39,19 @@ def test_hot_group_over_many_salts(spark, monkeypatch):
     assert rows(exact_dedup(documents(spark, texts)), *COLUMNS) == brute(texts)
 
 
+def test_neighbours_decide(spark, sf_dir, monkeypatch):
+    """Each text that is not hot is one run of the content sort; of a hot one only the runs of its salts are merged."""
+    docs = table(spark, sf_dir, "documents")
+    distinct = docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+    runs = module.sorted_runs(docs).collect()
+    assert len(runs) == distinct < docs.count() and not any(r["salted"] for r in runs)
+    monkeypatch.setattr(module, "ROWS_PER_SALT", 20)
+    texts = [(i, "the same text" if i % 3 else f"text {i // 9}") for i in range(900)]
+    runs = module.sorted_runs(documents(spark, texts)).collect()
+    assert [len(r["ids"]) for r in runs if not r["salted"]] == [3] * 100
+    assert len([r for r in runs if r["salted"]]) > 20 and sum(r["n"] for r in runs) == 900
+
+
 def test_smallest_stays_and_normalisation(spark):
     texts = [(1, "A b"), (2, "a  B"), (3, "c")]
     got = exact_dedup(documents(spark, texts), normalise=F.lower(F.regexp_replace("text", r"\s+", " ")), keep="smallest")

@@ -5,6 +5,7 @@ from collections import Counter
 from math import exp
 
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import mixing as module
 from barloom.llm.mixing import mix_sources, mixed_digest
@@ -34,11 +35,12 @@ def expected(docs, temperature=0.5, epochs=1.0, seed=17):
     size = {s: n for s, n in size.items() if n}
     weight = {s: n ** temperature for s, n in size.items()}
     out = {}
-    for i, _, _, source in docs:
+    for i, text, _, source in docs:
+        i = "null:" + hashlib.md5((text or "").encode()).hexdigest() if i is None else i
         if source in size:
             rate = weight[source] / sum(weight.values()) * epochs * sum(size.values()) / size[source]
             draws = max(1, -int(-rate // 32))
-            out[i] = sum(poisson(uniform(seed, d, "null" if i is None else i), rate / draws) for d in range(1, draws + 1))
+            out[i] = sum(poisson(uniform(seed, d, i), rate / draws) for d in range(1, draws + 1))
     return out
 
 
@@ -52,6 +54,25 @@ def test_copies_follow_the_inverted_distribution(spark, monkeypatch, epochs, mos
     assert got == Counter({i: n for i, n in expected(DOCS, epochs=epochs).items() if n})
 
 
+@pytest.mark.parametrize("block", [1, 7])
+def test_many_draws_are_dealt_out_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(module, "BLOCK_DRAWS", block)
+    docs = DOCS[::9] + [(901, "word", "en", "tiny"), (None, "without an id", "en", "tiny"), (None, "another", "en", "web")] * 2
+    out = mix_sources(documents(spark, docs), epochs=200.0).selectExpr("coalesce(string(row.doc_id), row.text) AS id", "copy", "n_copies").collect()
+    want = {{"null:" + hashlib.md5(t.encode()).hexdigest(): t for t in ("without an id", "another")}.get(i, str(i)): n for i, n in expected(docs, epochs=200.0).items() if n}
+    assert max(want.values()) > 32 * block
+    twice = {"901", "without an id", "another"}
+    assert Counter(r["id"] for r in out) == Counter({i: n * (2 if i in twice else 1) for i, n in want.items()})
+    assert Counter((r["id"], r["copy"]) for r in out) == Counter({(i, c): 2 if i in twice else 1 for i, n in want.items() for c in range(1, n + 1)})
+    assert all(r["n_copies"] == want[r["id"]] for r in out)
+
+
+def test_rows_without_an_id_fill_all_partitions(spark):
+    docs = documents(spark, [(None, "the same text", "en", "web")] * 2000).repartition(40)
+    sizes = [r["n"] for r in mix_sources(docs, epochs=5.0).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+
+
 def test_shares_reach_the_targets(spark):
     target = {"web": 0.2, "book": 0.5, "code": 0.3, "absent": 4.0}
     out = mix_sources(documents(spark, DOCS), weights=target, epochs=20.0)
