@@ -105,8 +105,8 @@ def reply_branches(messages: DataFrame, branches: int = 1) -> DataFrame:
     best = Window.partitionBy("none", "conv").orderBy(F.desc("score"), F.desc("depth"), F.asc_nulls_last("id"), "hash", "node")
     chosen = stash(leaves.withColumn("score", F.col("total") / F.col("depth")).withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches).select(
         "none", "conv", "branch", "score", "depth", "node", F.col("depth").alias("place")))
-    for k, jump in enumerate(jumps):
-        # Whoever is on a path so far brings the message 2 ** k above: a path's messages are found once each.
+    for k, jump in reversed(list(enumerate(jumps))):
+        # The longest jumps come first: a path has one message in 2 ** (k + 1) so far, and each brings the one 2 ** k above.
         step = F.array(F.struct("node", "place"), F.struct(F.col("up").alias("node"), (F.col("place") - (1 << k)).alias("place")))
         chosen = chosen.join(jump, "node", "left").select("none", "conv", "branch", "score", "depth", F.explode(F.filter(step, lambda x: x["node"].isNotNull())).alias("x")).select(
             "none", "conv", "branch", "score", "depth", "x.node", "x.place")
