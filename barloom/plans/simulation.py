@@ -15,6 +15,7 @@ from ..operators import trades as T
 from ..session import shared_folder
 from ..sources.tables import daily_bars, table
 from ..streaming import bars as ST
+from ..streaming import count_bars as CB
 from .base import DAILY, query
 
 RUNS = [S.Rules("base"), S.Rules("tight", stop=1.0, take_profit=1.5), S.Rules("eager", enter=0.3, leave=0.1), S.Rules("long", long_only=True, take_profit=0.0),
@@ -103,6 +104,23 @@ def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), *(F.round(c, 6).alias(c) for c in B.OHLC), F.round("volume", 4).alias("volume"), "num_trades")
 
 
+@query("""WITH t AS (SELECT event_type AS symbol, ts, event_id, value FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL AND epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL)),
+    g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 45 MINUTE THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g),
+    n AS (SELECT *, row_number() OVER (PARTITION BY symbol, k ORDER BY ts, event_id) AS rn FROM s),
+    b AS (SELECT symbol, k, (rn - 1) // 7 AS j, min(ts) AS first_ts, max(ts) AS last_ts, arg_min(value, rn) AS open, max(value) AS high, min(value) AS low, arg_max(value, rn) AS close, sum(value) AS volume,
+        sum(value * value) / nullif(sum(value), 0) AS vwap, count(*) AS num_trades, count(*) = 7 AS complete FROM n GROUP BY 1, 2, 3),
+    m AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY k, j) - 1 AS bar, k = max(k) OVER (PARTITION BY symbol) AS newest FROM b)
+    SELECT symbol, bar, first_ts, last_ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 4) AS volume, round(CASE WHEN volume > 0 THEN vwap ELSE close END, 4) AS vwap, num_trades, complete
+    FROM m WHERE complete OR NOT newest OR last_ts + INTERVAL 45 MINUTE < (SELECT date_trunc('millisecond', max(ts)) FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL)""")
+def stream_tick_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of seven events each from the stream; one is closed with fewer after 45 silent minutes."""
+    events = ST.event_stream(spark, f"{sf_dir}/events.parquet*")
+    out = ST.drain(CB.count_bars(events, 7, "45 minutes", "0 seconds"), shared_folder(spark), "append", conf=CB.ROCKSDB)
+    return out.select("symbol", "bar", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_ts", "last_ts")), *(F.round(c, 6).alias(c) for c in B.OHLC),
+                      F.round("volume", 4).alias("volume"), F.round("vwap", 4).alias("vwap"), "num_trades", "complete")
+
+
 @query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
     s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
     r AS (SELECT user_id, k, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY 1, 2)

@@ -84,21 +84,31 @@ def alerts(events: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFra
     return out.withColumn("priority", F.when(F.col("excess") > (high - low), "high").otherwise("normal"))
 
 
-def drain(stream: DataFrame, folder: str, mode: str, handle: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+def drain(stream: DataFrame, folder: str, mode: str, handle: Callable[[DataFrame, int], None] | None = None,
+          run: str | None = None, conf: dict[str, str] | None = None) -> DataFrame:
     """Run a stream over what is there now and read its output back.
 
     Each batch goes to Parquet under its number, so a batch that is run again
     replaces its own files; in update mode the reader keeps each row's newest.
+    With ``run``, a folder, a later call goes on where that one stopped.  ``conf``
+    holds while the stream starts, which is when it is read.
     """
     spark = stream.sparkSession
-    run = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    run = run or f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{run}/out/batch={number}")
         if handle:
             handle(batch, number)
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{run}/state").foreachBatch(write).trigger(availableNow=True).start()
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{run}/state").foreachBatch(write).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
     return spark.read.schema(f"{stream.schema.toDDL()}, batch long").parquet(f"{run}/out")
 
