@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics as A
 from ..operators import bars as B
+from ..operators import order_statistics as O
 from ..sources.tables import daily_bars, event_bars, table
 from .base import DAILY, HOURLY, query
 
@@ -154,6 +155,26 @@ def volume_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.round(A.percentile_of(F.col("prior"), F.col("volume")), 6).alias("prior_pct"))
 
 
+@query(f"""WITH {DAILY}, h AS (SELECT symbol, ts, volume, row_number() {W}) - 1 AS n, list(volume) {W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM bars),
+    c AS (SELECT symbol, ts, n, coalesce(len(list_filter(prior, lambda y: y < volume)), 0) AS below, coalesce(len(list_filter(prior, lambda y: y = volume)), 0) AS equal FROM h)
+    SELECT symbol, ts, n AS n_before, below, equal, CASE WHEN n >= 19 THEN round((2 * below + equal + CASE WHEN equal > 0 THEN 1 ELSE 0 END) / (2.0::DOUBLE * n) * 2 - 1, 6) END AS normalised FROM c""")
+def expanding_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The percentile of each day's volume among all earlier days of its symbol, from the twentieth on, scaled to [-1, 1]."""
+    rows = O.earlier_counts(daily_bars(spark, sf_dir).select("symbol", "ts", "volume"), "volume", ["symbol"], ["ts"])
+    share = O.percentile_of_earlier(F.col("n_before"), F.col("below"), F.col("equal"))
+    return rows.select("symbol", "ts", "n_before", "below", "equal", F.round(share * 2 - 1, 6).alias("normalised"))
+
+
+@query("""WITH e AS (SELECT event_id, event_type, value, ts FROM events WHERE value IS NOT NULL),
+    d AS (SELECT event_id, event_type, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, value) - 1 AS n FROM e),
+    c AS (SELECT a.event_id, a.n, count(b.n) FILTER (b.value < a.value) AS below, count(b.n) FILTER (b.value = a.value) AS equal FROM d a LEFT JOIN d b ON a.event_type = b.event_type AND b.n < a.n GROUP BY 1, 2)
+    SELECT event_id, n AS n_before, below, equal FROM c""")
+def expanding_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many earlier events of its type have a smaller value, and an equal one, for each event."""
+    events = table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", "event_type", "ts", "value")
+    return O.earlier_counts(events, "value", ["event_type"], ["ts"]).select("event_id", "n_before", "below", "equal")
+
+
 @query(f"""WITH {DAILY}, p AS (SELECT symbol, ts, close, max(close) {W}) AS peak FROM bars), d AS (SELECT *, (close - peak) / peak AS dd FROM p),
     c AS (SELECT *, dd < 0 AS below, CASE WHEN (dd < 0) = lag(dd < 0) {W}) THEN 0 ELSE 1 END AS ch FROM d), r AS (SELECT *, sum(ch) {W}) AS run FROM c),
     l AS (SELECT symbol, run, below, count(*) AS n FROM r GROUP BY ALL), m AS (SELECT symbol, coalesce(max(n) FILTER (below), 0) AS longest, count(*) FILTER (below) AS n_runs FROM l GROUP BY 1)
