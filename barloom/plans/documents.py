@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import documents as D
+from ..operators.vector_index import VectorStore
 from ..sources.tables import table
 from .base import query
 
@@ -122,6 +123,59 @@ def search_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.mmr(D.nearest(queries, vectors, 15).join(texts, "vec_id", "left"), 5).select("query", "vec_id", "rank", "score", "mmr_rank")
 
 
+STORE = """s AS (SELECT vec_id, label, embedding FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+    held AS (SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN label + 100 ELSE label END AS label, embedding FROM s WHERE vec_id % 7 <> 0)"""
+
+
+def _store(spark: SparkSession, sf_dir: str) -> VectorStore:
+    """A store of most vectors to which the others come, some labels change, and of which some are deleted."""
+    vectors = _whole(table(spark, sf_dir, "embeddings")).select("vec_id", "label", "embedding")
+    store = VectorStore.create(vectors.where("vec_id % 5 <> 0"))
+    store.add(vectors.where("vec_id % 5 = 0"))
+    store.add(vectors.where("vec_id % 11 = 0").withColumn("label", F.col("label") + 100))
+    store.delete(vectors.where("vec_id % 7 = 0").select("vec_id"))
+    return store
+
+
+@query(f"WITH {STORE} SELECT vec_id, label, list_sum(embedding::DOUBLE[]) IS NOT NULL AS whole FROM held")
+def vector_store_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store of vectors holds after additions, replacements and deletions."""
+    return _store(spark, sf_dir).rows().select("vec_id", "label", (F.size("embedding") == 64).alias("whole"))
+
+
+@query(f"WITH {STORE} SELECT label, count(*) AS n FROM held GROUP BY 1")
+def vector_store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir).compact().count_by("label")
+
+
+HELD = f"""{STORE}, q AS (SELECT vec_id AS query, embedding AS q FROM s WHERE vec_id % 20 = 0), v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM held),
+    d AS (SELECT query, vec_id, label, list_sum(list_transform(range(1, 65), lambda i: (v[i] - q[i]::DOUBLE) * (v[i] - q[i]::DOUBLE))) AS distance FROM q CROSS JOIN v)"""
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole(table(spark, sf_dir, "embeddings")).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
+
+
+@query(f"""WITH {HELD}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 9), vec_id)::INT AS rank FROM d)
+    SELECT query, vec_id, rank, round(1 / (1 + distance), 4) AS score FROM r WHERE rank <= 5""")
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of each query in the changed store, exactly, from the lists that can hold them."""
+    return _store(spark, sf_dir).search(_asked(spark, sf_dir), 5).select("query", "vec_id", "rank", "score")
+
+
+@query(f"""WITH {HELD}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 9), vec_id)::INT AS rank FROM d WHERE label > 100)
+    SELECT query, vec_id, rank, round(1 / (1 + distance), 4) AS score FROM r WHERE rank <= 5""")
+def search_indexed_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same among vectors of some labels."""
+    return _store(spark, sf_dir).search(_asked(spark, sf_dir), 5, where=F.col("label") > 100).select("query", "vec_id", "rank", "score")
+
+
+@query()
+def search_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of each query in the lists that are probed first; recall is measured by a test."""
+    return _store(spark, sf_dir).search(_asked(spark, sf_dir), 5, exact=False).select("query", "vec_id", "rank", "score")
+
+
 @query("""WITH r AS (SELECT source, doc_id, text, sum(floor(length(text) * 0.25::DOUBLE)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents WHERE text IS NOT NULL)
     SELECT source, doc_id, used::BIGINT AS used FROM r WHERE used <= 4000""")
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
