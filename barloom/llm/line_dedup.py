@@ -69,24 +69,30 @@ def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 
 def common_lines(a: np.ndarray, b: np.ndarray, a2: np.ndarray | None = None, b2: np.ndarray | None = None) -> list[int]:
-    """Places in ``b`` of the aligned blocks that hold a line long enough (odd hashes).
+    """Places in ``b`` of the blocks it has in common with ``a`` that hold a line long enough (odd hashes).
 
+    Blocks come from the alignment.  Lines that it leaves out, as they stand in
+    another order or more often in one text, are matched with the short lines
+    around them, so that every long line of ``b`` that ``a`` holds is found.
     Lines whose second hashes ``a2``, ``b2`` differ are not equal, whatever the first ones say.
     """
-    pairs = align(a, b)
-    if a2 is not None:
-        pairs = [(i, j) for i, j in pairs if a2[i] == b2[j]]
-    out: list[int] = []
+    a2, b2 = (a, b) if a2 is None else (a2, b2)
+    out: set[int] = set()
     block: list[int] = []
     before = (-2, -2)
-    for i, j in [*pairs, (-9, -9)]:
+    for i, j in [*((i, j) for i, j in align(a, b) if a2[i] == b2[j]), (-9, -9)]:
         if (i, j) != (before[0] + 1, before[1] + 1):
             if any(b[k] & 1 for k in block):
-                out += block
+                out.update(block)
             block = []
         block.append(j)
         before = (i, j)
-    return out
+    shared = {h for h in set(a.tolist()) & set(b.tolist()) if h & 1}
+    known = {r[2:] for r in runs(a, a2, shared)}
+    for start, end, *run in runs(b, b2, shared):
+        if tuple(run) in known:
+            out.update(range(start, end + 1))
+    return sorted(out)
 
 
 def _key(id_col: str, text: Column) -> Column:
@@ -100,15 +106,14 @@ def _line_hashes(lines: Column, min_chars: int) -> list[Column]:
             F.transform(bare, lambda x: F.xxhash64(F.lit("line"), x)).alias("seconds")]
 
 
-def runs(lines: np.ndarray, seconds: np.ndarray, frequent: set[int]) -> Iterator[tuple[int, int, int, int]]:
-    """(start, end, two hashes) of each frequent line and of its runs over the short lines after and before it.
+def runs(lines: np.ndarray, seconds: np.ndarray, of: set[int]) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, two hashes) of each line in ``of`` and of its runs over the short lines after and before it.
 
-    A run that goes on to the next long line needs no row: that line is
-    frequent, with runs of its own, or pairs the documents.
+    A run that goes on to the next long line needs no row: that line has runs of its own.
     """
     x, y = lines.tolist(), seconds.tolist()
     for at, h in enumerate(x):
-        if h not in frequent:
+        if h not in of:
             continue
         yield at, at, h, y[at]
         for step in (1, -1):
@@ -166,18 +171,20 @@ def line_deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, paired: int = 32) -> DataFrame:
     """Delete from each document the blocks of lines that it shares with earlier ones.
 
-    Each document is paired with every earlier one (smaller id) that shares a
-    line of at least ``min_chars`` characters which at most ``paired`` documents
-    hold.  Each pair is aligned by patience diff over line hashes, lines compared
-    without the white space at their ends (any that Unicode knows) and by 128
-    bits, and the aligned blocks of the later document are deleted, a block being
-    a run of neighbouring lines in both that holds one of ``min_chars``
-    characters; shorter lines alone pair nothing.  A line that more documents hold would
-    pair them by the square of their number.  Such a line goes from all but the
-    first document, in whatever order it stands there, together with the short
-    lines around it as far as some earlier document has the same ones: that is a
-    join of run hashes with their first document, a row for each line of a run.
-    Alignments use the texts as given, so the result does not depend on order.
+    A line of at least ``min_chars`` characters goes if an earlier document (smaller id)
+    holds it, with the shorter lines next to it as far as they stand next to it
+    there too: the same rule for every line, rare or frequent.  Shorter lines
+    alone are kept.  Lines are compared without the white space at their ends
+    (any that Unicode knows) and by 128 bits.
+
+    Each document is paired with every earlier one that shares a rare line, one
+    which at most ``paired`` documents hold.  A pair is aligned by patience diff;
+    the aligned blocks of the later document go, and then what the alignment
+    left out because it stands in another order.  A frequent line would pair its holders by
+    the square of their number: its runs over the short lines around it are joined by hash with the first
+    document that has them, a row for each line of a run, which finds the same lines.  So
+    ``paired`` divides the work and does not change the result.
+    Lines are matched in the texts as given, so the result does not depend on order.
 
     Returns the input's columns in a struct ``row``, with n_lines, n_removed and
     kept_text.  Null text counts as empty (one empty line); rows of one id and

@@ -3,51 +3,42 @@ from __future__ import annotations
 import hashlib
 import random
 
-import numpy as np
 import pytest
 
 from barloom.llm import line_dedup as module
 from barloom.llm.common import table
-from barloom.llm.line_dedup import common_lines, line_dedup, line_report
+from barloom.llm.line_dedup import line_dedup, line_report
 
 from .fixtures import documents, rows
 
 COLUMNS = ("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
-def gone_lines(texts, min_chars=20, paired=32):
-    """Each document against all earlier ones: aligned where a paired line is shared, blocks around frequent lines wherever they stand."""
+def gone_lines(texts, min_chars=20):
+    """Each document against all earlier ones: equal long lines with the equal short lines next to them, wherever they stand."""
     docs = sorted({(i, t or "") for i, t in texts}, key=lambda d: d[0])
     lines = [[x.strip() for x in t.split("\n")] for _, t in docs]
-    number, holders = {}, {}
-    for d, ls in enumerate(lines):
-        for x in ls:
-            number.setdefault(x, 2 * len(number) + (len(x) >= min_chars))
-            if len(x) >= min_chars:
-                holders.setdefault(x, set()).add(d)
-    frequent = {number[x] for x, ds in holders.items() if len(ds) > paired}
-    code = [[number[x] for x in ls] for ls in lines]
     out = {}
-    for d, b in enumerate(code):
+    for d, b in enumerate(lines):
         gone = set()
-        for e, a in enumerate(code[:d]):
-            shared = {x for x in set(a) & set(b) if x & 1}
-            if shared - frequent:
-                gone |= set(common_lines(np.array(a), np.array(b)))
-            for j in (j for j, x in enumerate(b) if x in frequent):
-                for i in (i for i, x in enumerate(a) if x == b[j]):
+        for a in lines[:d]:
+            places = {}
+            for i, x in enumerate(a):
+                places.setdefault(x, []).append(i)
+            for j, x in enumerate(b):
+                for i in places.get(x, []) if len(x) >= min_chars else []:
+                    gone.add(j)
                     for step in (1, -1):
-                        gone.add(j)
                         k = step
-                        while 0 <= i + k < len(a) and 0 <= j + k < len(b) and a[i + k] == b[j + k] and not b[j + k] & 1:
+                        while 0 <= i + k < len(a) and 0 <= j + k < len(b) and a[i + k] == b[j + k] and len(b[j + k]) < min_chars:
                             gone.add(j + k)
                             k += step
         out[docs[d]] = gone
     return out
 
 
-def brute(texts, min_chars=20, paired=32):
-    out, result = gone_lines(texts, min_chars, paired), []
+def brute(texts, min_chars=20):
+    out, result = gone_lines(texts, min_chars), []
     for i, t in texts:
         ls = (t or "").split("\n")
         g = out[i, t or ""]
@@ -64,7 +55,7 @@ def test_all_earlier_documents(spark, monkeypatch, seed, hot, paired):
     for i in range(60):
         parts = [line[s:s + rng.randint(1, 5)] for s in (rng.randrange(len(line)) for _ in range(rng.randint(1, 5)))]
         texts.append((i, "\n".join("\n".join(p) for p in parts) + rng.choice(["", "\n", " "])))
-    expected = brute(texts, paired=paired)
+    expected = brute(texts)
     assert any(r[2] for r in expected)
     assert rows(line_report(documents(spark, texts), paired=paired), *COLUMNS) == expected
 
