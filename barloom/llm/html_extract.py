@@ -24,9 +24,11 @@ _SENTENCE = re.compile(r"[.!?…。][\"'”»)]*$")
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary "
-    "table tbody td tfoot th thead title tr ul".split())
-_SKIPPED = frozenset("script style noscript template svg math iframe object canvas textarea audio video".split())
+    "noscript table tbody td tfoot th thead title tr ul".split())
+_SKIPPED = frozenset("script style template svg iframe textarea audio video".split())
 _SECTIONS = frozenset("article aside body footer form header main nav section".split())
+#: Elements that hold blocks together: a step between two blocks depends on whether they share the closest one.
+_BOXES = _SECTIONS | {"div", "noscript", "td", "th"}
 #: What the start of an element ends, and what such an end does not reach across.
 _ENDS = {
     **dict.fromkeys(_BLOCK - {"label", "button", "option", "optgroup"}, (frozenset({"p"}), frozenset("button td th caption table".split()))),
@@ -46,6 +48,7 @@ class Block:
     names: frozenset[str]
     near: frozenset[str]  # names of the closest ancestor that has any
     linked: int
+    box: int  # number of the closest element in _BOXES
     label: int | None = None
 
 
@@ -55,6 +58,8 @@ def leaf_blocks(html: str) -> list[Block]:
     tags: list[str] = []
     names: list[frozenset[str]] = []
     labels: list[int | None] = []
+    boxes: list[int] = []
+    n_boxes = 0
     pieces: list[str] = []
     linked = in_link = 0
 
@@ -65,7 +70,7 @@ def leaf_blocks(html: str) -> list[Block]:
             if text:
                 label = next((x for x in reversed(labels) if x is not None), None)
                 near = next((x for x in reversed(names) if x), frozenset())
-                out.append(Block(text, tuple(tags), frozenset().union(*names), near, linked, label))
+                out.append(Block(text, tuple(tags), frozenset().union(*names), near, linked, boxes[-1] if boxes else 0, label))
             pieces.clear()
         linked = 0
 
@@ -96,12 +101,12 @@ def leaf_blocks(html: str) -> list[Block]:
             if closing:
                 if tag in tags:
                     keep = len(tags) - 1 - tags[::-1].index(tag)
-                    del tags[keep:], names[keep:], labels[keep:]
+                    del tags[keep:], names[keep:], labels[keep:], boxes[keep:]
                 continue
             ends, walls = _ENDS.get(tag, (frozenset(), frozenset()))
             for i in range(len(tags) - 1, -1, -1):
                 if tags[i] in ends:
-                    del tags[i:], names[i:], labels[i:]
+                    del tags[i:], names[i:], labels[i:], boxes[i:]
                     break
                 if tags[i] in walls or tags[i] not in ("p", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "title", "head"):
                     break
@@ -118,10 +123,22 @@ def leaf_blocks(html: str) -> list[Block]:
             tags.append(tag)
             names.append(frozenset(found))
             labels.append(label)
+            n_boxes += tag in _BOXES
+            boxes.append(n_boxes if tag in _BOXES else boxes[-1] if boxes else 0)
     flush()
     return out
 
 
+def steps(blocks: list[Block]) -> list[int]:
+    """How each block but the first follows the one before: in the same box (0), in a new one (1), or back in one that had blocks before (2)."""
+    seen = {blocks[0].box} if blocks else set()
+    out = []
+    for a, b in zip(blocks, blocks[1:]):
+        out.append(0 if a.box == b.box else 2 if b.box in seen else 1)
+        seen.add(b.box)
+    return out
+
+
 def features(block: Block) -> list[str]:
     """Ancestor-tag and text features."""
     words = block.text.count(" ") + 1
@@ -212,7 +229,7 @@ def labelled_pages(n: int, seed: int) -> list[str]:
     def rest(kind: str) -> str:
         inner = content(kind)
         own = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "comments": "section"}.get(kind, "div")
-        tag = own if rng.random() < 0.6 else "div"
+        tag = "noscript" if kind == "notice" and rng.random() < 0.2 else own if rng.random() < 0.6 else "div"
         name = named(kind) if tag in ("div", "section") or rng.random() < 0.5 else ""
         return f'<{tag}{name} data-label="0">{inner}</{tag}>'
 
@@ -223,11 +240,14 @@ def labelled_pages(n: int, seed: int) -> list[str]:
                 lambda: paragraphs(1, 3), lambda: f"<h2>{words(1, 8)}</h2>", lambda: "<ul>" + "".join(f"<li>{prose(1, 20)}</li>" for _ in range(rng.randint(2, 4))) + "</ul>",
                 lambda: f"<blockquote><p>{prose()}</p></blockquote>", lambda: f"<pre>{words(1, 30)}</pre>", lambda: f"<p><b>{prose()}<br>",
                 lambda: f"<table><tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr></table>", lambda: f"<p>{words(1, 10)} <a href='/y'>{words(1, 5)}</a> {prose()}</p>",
-                lambda: f"<figure><figcaption>{prose(1, 12)}</figcaption></figure>", lambda: f"<div>{prose()}</div>",
+                lambda: f"<figure><figcaption>{prose(1, 12)}</figcaption></figure>", lambda: f"<div>{prose()}</div>", lambda: f"<p>{words(1, 5)} <math><mi>{words(1, 1)}</mi></math> {prose()}</p>",
                 lambda: f"<p>{rng.choice([' | ', ' · ', ' » ', ' © ']).join(words(1, 3) for _ in range(rng.randint(1, 8)))}{rng.choice(['', ' |', '.'])}</p>"],
-                [8, 2, 2, 1, 1, 2, 1, 3, 1, 2, 2])[0]()
-            if rng.random() < 0.15:
-                body += rest(rng.choice(["ad", "share", "aside", "notice", "form", "nav", "comments"]))
+                [8, 2, 2, 1, 1, 2, 1, 3, 1, 2, 1, 2])[0]()
+            if rng.random() < 0.3:
+                for _ in range(rng.choice([1, 1, 1, 2, 3])):
+                    body += rest(rng.choice(["ad", "share", "aside", "notice", "form", "nav", "comments"]))
+                if rng.random() < 0.8:
+                    body += paragraphs(1, 3)
         if rng.random() < 0.35:
             body += rest("comments")
         if bare:
@@ -270,23 +290,23 @@ def labelled_pages(n: int, seed: int) -> list[str]:
 
 @dataclass
 class Crf:
-    """Two labels: the weight of label 1 by feature, and scores of neighbouring labels."""
+    """Two labels: the weight of label 1 by feature, and scores of neighbouring labels by kind of step."""
 
     weight: dict[str, float]
-    step: list[list[float]]
+    step: list[list[list[float]]]
 
     def scores(self, rows: list[list[str]]) -> list[float]:
         get = self.weight.get
         return [sum([get(f, 0.0) for f in row]) for row in rows]
 
-    def decode(self, rows: list[list[str]]) -> list[int]:
+    def decode(self, rows: list[list[str]], kinds: list[int]) -> list[int]:
         """The likeliest labels, by Viterbi."""
         if not rows:
             return []
-        (t00, t01), (t10, t11) = self.step
         s = self.scores(rows)
         a, b, back = 0.0, s[0], []
-        for x in s[1:]:
+        for x, kind in zip(s[1:], kinds):
+            (t00, t01), (t10, t11) = self.step[kind]
             from0, from1 = a + t00 < b + t10, a + t01 < b + t11
             back.append((int(from0), int(from1)))
             a, b = max(a + t00, b + t10), max(a + t01, b + t11) + x
@@ -310,8 +330,8 @@ def train(pages: list[str], epochs: int = 12, rate: float = 0.3, l2: float = 1e-
     for page in pages:
         blocks = leaf_blocks(page)
         if blocks:
-            data.append(([features(b) for b in blocks], [b.label or 0 for b in blocks]))
-    crf = Crf({}, [[0.0, 0.0], [0.0, 0.0]])
+            data.append(([features(b) for b in blocks], steps(blocks), [b.label or 0 for b in blocks]))
+    crf = Crf({}, [[[0.0, 0.0], [0.0, 0.0]] for _ in range(3)])
     past: dict[object, float] = {}
     rng = random.Random(seed)
 
@@ -322,13 +342,14 @@ def train(pages: list[str], epochs: int = 12, rate: float = 0.3, l2: float = 1e-
 
     for _ in range(epochs):
         rng.shuffle(data)
-        for rows, y in data:
-            s, t, n = crf.scores(rows), crf.step, len(rows)
+        for rows, kinds, y in data:
+            s, n = crf.scores(rows), len(rows)
+            ts = [crf.step[k] for k in kinds]
             fore, back = [(0.0, s[0])], [(0.0, 0.0)]
-            for x in s[1:]:
+            for x, t in zip(s[1:], ts):
                 a, b = fore[-1]
                 fore.append((_add(a + t[0][0], b + t[1][0]), _add(a + t[0][1], b + t[1][1]) + x))
-            for x in s[:0:-1]:
+            for x, t in zip(s[:0:-1], reversed(ts)):
                 a, b = back[-1]
                 back.append((_add(t[0][0] + a, t[0][1] + x + b), _add(t[1][0] + a, t[1][1] + x + b)))
             back.reverse()
@@ -339,13 +360,16 @@ def train(pages: list[str], epochs: int = 12, rate: float = 0.3, l2: float = 1e-
                 if abs(d) > 1e-4:
                     for f in rows[i]:
                         gradient[f] = gradient.get(f, 0.0) + d
-            for u in (0, 1):
-                for v in (0, 1):
-                    d = sum((y[i - 1] == u and y[i] == v) - exp(fore[i - 1][u] + t[u][v] + s[i] * v + back[i][v] - z) for i in range(1, n))
-                    gradient[u, v] = d
+            for i in range(1, n):
+                t = ts[i - 1]
+                for u in (0, 1):
+                    for v in (0, 1):
+                        d = (y[i - 1] == u and y[i] == v) - exp(fore[i - 1][u] + t[u][v] + s[i] * v + back[i][v] - z)
+                        gradient[kinds[i - 1], u, v] = gradient.get((kinds[i - 1], u, v), 0.0) + d
             for f, d in gradient.items():
                 if isinstance(f, tuple):
-                    t[f[0]][f[1]] = move(f, t[f[0]][f[1]], d)
+                    k, u, v = f
+                    crf.step[k][u][v] = move(f, crf.step[k][u][v], d)
                 else:
                     crf.weight[f] = move(f, crf.weight.get(f, 0.0), d)
     return crf
@@ -360,7 +384,7 @@ def default_model(pages: int = 500, seed: int = 5) -> Crf:
 def main_text(html: str | None, crf: Crf) -> str:
     """The blocks labelled as main text, joined by an empty line."""
     blocks = leaf_blocks(html) if html else []
-    labels = crf.decode([features(b) for b in blocks])
+    labels = crf.decode([features(b) for b in blocks], steps(blocks))
     return "\n\n".join([b.text for b, y in zip(blocks, labels) if y])
 
 

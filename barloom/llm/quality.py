@@ -293,7 +293,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     size = F.length(F.coalesce("row.body", F.lit("")))
 
     def limits_of(rows: Column) -> tuple[DataFrame, float | None]:
-        good = model.score(flagged.where(rows).select("body", "language"), "body").select(
+        good = model.score(flagged.where(rows).select("body", "language", F.col("row").getField(id_col).alias("id")), "body").select(
             "row.language", (F.col("perplexity") / _allowance(size, short)).alias("perplexity"))
         good = cut_lineage(good)
         limit = F.percentile_approx("perplexity", quantile, 10_000) * slack
