@@ -68,6 +68,7 @@ class VectorStore:
     vector_col: str
     centres: np.ndarray
     probes: int
+    schema: T.StructType
     version: int = 0
 
     @classmethod
@@ -77,10 +78,10 @@ class VectorStore:
         n = vectors.count()
         share = F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.5 * SAMPLE / max(n, 1)))
         rows = vectors.where(share).orderBy(F.xxhash64(F.lit("sample"), id_col), id_col).select(vector_col).limit(SAMPLE).collect()
-        sample = np.array([r[0] for r in rows], np.float64).reshape(len(rows), -1)
+        sample = np.array([r[0] for r in rows], np.float64).reshape(len(rows), len(rows[0][0]) if rows else 0)
         lists = min(MAX_LISTS, len(sample), lists or max(1, round(n ** 0.5 / 2)))
         centres = fit(sample, lists) if len(sample) else np.zeros((0, 0))
-        store = cls(spark, f"{shared_folder(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}", id_col, vector_col, centres, probes_for(sample, centres, k, recall) if len(sample) else 0)
+        store = cls(spark, f"{shared_folder(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}", id_col, vector_col, centres, probes_for(sample, centres, k, recall) if len(sample) else 0, vectors.schema)
         store._write(vectors)
         return store
 
@@ -120,11 +121,13 @@ class VectorStore:
 
     def rows(self, lists: list[int] | None = None) -> DataFrame:
         """What counts now, with list and away; ``lists`` prunes the folders that are read."""
-        held = self.spark.read.parquet(f"{self.path}/rows")
+        schema = T.StructType([*self.schema.fields, T.StructField("list", T.IntegerType()), T.StructField("away", T.DoubleType()), T.StructField("version", T.IntegerType())])
+        held = self.spark.read.schema(schema).parquet(f"{self.path}/rows")
         if lists is not None:
             held = held.where(F.col("list").isin(lists))
         if self.version:
-            newest = self.spark.read.parquet(f"{self.path}/changes").groupBy("id").agg(F.max("version").alias("_newest"))
+            ids = T.StructType([T.StructField("id", self.schema[self.id_col].dataType), T.StructField("version", T.IntegerType())])
+            newest = self.spark.read.schema(ids).parquet(f"{self.path}/changes").groupBy("id").agg(F.max("version").alias("_newest"))
             held = held.join(newest, held[self.id_col] == newest["id"], "left").where(F.coalesce(F.col("version") >= F.col("_newest"), F.lit(True))).drop("id", "_newest")
         return held.drop("version")
 
@@ -136,7 +139,7 @@ class VectorStore:
 
     def compact(self) -> VectorStore:
         """The same rows as a store of one version, with the same centroids."""
-        new = VectorStore(self.spark, f"{shared_folder(self.spark).rstrip('/')}/vectors-{uuid.uuid4().hex}", self.id_col, self.vector_col, self.centres, self.probes)
+        new = VectorStore(self.spark, f"{shared_folder(self.spark).rstrip('/')}/vectors-{uuid.uuid4().hex}", self.id_col, self.vector_col, self.centres, self.probes, self.schema)
         new._write(self.rows().drop("list", "away"))
         return new
 
@@ -192,11 +195,11 @@ class VectorStore:
         """The k nearest of each query among the vectors of its lists: blocks of a list's queries meet blocks of its vectors."""
         id_col, vector_col = self.id_col, self.vector_col
         pairs = self._held(pairs)
-        asked = pairs.groupBy("list").agg(F.count("*").alias("m")).collect()  # at most MAX_LISTS rows
-        rows = self.rows([r["list"] for r in asked])
+        rows = self.rows([r["list"] for r in pairs.select("list").distinct().collect()])  # at most MAX_LISTS
         rows = rows if where is None else rows.where(where)
-        sizes = rows.groupBy("list").agg(F.ceil(F.count("*") / VECTORS).cast("int").alias("parts"))
-        blocks = self.spark.createDataFrame([(r["list"], -(-r["m"] // QUERIES)) for r in asked], "list int, blocks int").join(sizes, "list")
+        sizes = rows.groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / VECTORS)).cast("int").alias("parts"))
+        wanted = pairs.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+        blocks = wanted.join(sizes, "list")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         blocks = F.broadcast(self._held(blocks))
         q = pairs.join(blocks, "list").select("list", F.col(query_col).alias("q"), "v", F.pmod(F.xxhash64(query_col), "blocks").cast("int").alias("block"), every("parts").alias("part"))
