@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import documents as D
+from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorStore
 from ..sources.tables import table
 from .base import query
@@ -176,6 +177,19 @@ def search_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _store(spark, sf_dir).search(_asked(spark, sf_dir), 5, exact=False).select("query", "vec_id", "rank", "score")
 
 
+@query(r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0b\f\r]+'), lambda w: w <> '')) AS w FROM documents),
+    t AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 262144 AS dim, count(*) AS tf FROM w GROUP BY 1, 2),
+    i AS (SELECT dim, ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM t GROUP BY 1),
+    v AS (SELECT doc_id, dim, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS w FROM t JOIN i USING (dim)),
+    s AS (SELECT q.doc_id AS query, d.doc_id, floor(sum(q.w * d.w) * 1e6::DOUBLE + 0.4142::DOUBLE) / 1e6::DOUBLE AS score FROM v q JOIN v d USING (dim) WHERE q.doc_id % 20 = 0 AND q.doc_id <> d.doc_id GROUP BY 1, 2)
+    SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id)::INT AS rank FROM s QUALIFY rank <= 5""")
+def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five documents closest to each query text by hashed terms; queries are the documents whose id is divisible by 20."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    queries = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query"), "text")
+    return TextIndex.create(docs).search(queries, 5).select("query", F.col("key").alias("doc_id"), "score", "rank")
+
+
 @query("""WITH r AS (SELECT source, doc_id, text, sum(floor(length(text) * 0.25::DOUBLE)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents WHERE text IS NOT NULL)
     SELECT source, doc_id, used::BIGINT AS used FROM r WHERE used <= 4000""")
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
