@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
 from ..operators import bars as B
 from ..operators import order_statistics as O
+from ..session import shared_folder
+from ..sources import bar_cache as BC
 from ..sources.tables import daily_bars, event_bars, table
+from ..streaming import bars as ST
 from .base import DAILY, HOURLY, query
 
 W = "OVER (PARTITION BY symbol ORDER BY ts"
@@ -175,6 +180,32 @@ def expanding_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.earlier_counts(events, "value", ["event_type"], ["ts"]).select("event_id", "n_before", "below", "equal")
 
 
+@query(f"""WITH {HOURLY} SELECT symbol, ts, round(close, 6) AS close, round(volume, 4) AS volume FROM bars
+    WHERE symbol IN ('click', 'view', 'absent') AND ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00' AND close > 1""")
+def cached_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two symbols and two weeks of a cache of hourly bars: symbols and times reach the source, the price does not."""
+    path = f"{shared_folder(spark).rstrip('/')}/cache-{uuid.uuid4().hex}"
+    BC.write_cache(event_bars(spark, sf_dir), path, "2024-02-01 00:00:00")
+    BC.register(spark)
+    rows = spark.read.format("bar_cache").option("path", path).option("maxAgeHours", 24).option("now", "2024-02-01 23:00:00").load()
+    t = lambda x: F.lit(x).cast("timestamp_ntz")
+    rows = rows.where(F.col("symbol").isin("click", "view", "absent") & (F.col("ts") >= t("2024-01-05 06:00:00")) & (F.col("ts") < t("2024-01-20 00:00:00")) & (F.col("close") > 1))
+    return rows.select("symbol", "ts", F.round("close", 6).alias("close"), F.round("volume", 4).alias("volume"))
+
+
+@query(f"""WITH {HOURLY} SELECT symbol, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(close), 4) AS total FROM bars GROUP BY 1, 2""")
+def cached_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream polls the cache while it is written in three pieces of time."""
+    path = f"{shared_folder(spark).rstrip('/')}/cache-{uuid.uuid4().hex}"
+    rows, days = event_bars(spark, sf_dir), (F.dayofmonth("ts") - 1) / 10
+    BC.register(spark)
+    run, out = f"{path}-run", None
+    for i in range(3):
+        BC.write_cache(rows.where(F.least(F.floor(days), F.lit(2)) == i), path, "2024-02-01 00:00:00", i)
+        out = ST.drain(spark.readStream.format("bar_cache").option("path", path).load(), "", "append", run=run)
+    return out.groupBy("symbol", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("close"), 4).alias("total"))
+
+
 @query(f"""WITH {DAILY}, p AS (SELECT symbol, ts, close, max(close) {W}) AS peak FROM bars), d AS (SELECT *, (close - peak) / peak AS dd FROM p),
     c AS (SELECT *, dd < 0 AS below, CASE WHEN (dd < 0) = lag(dd < 0) {W}) THEN 0 ELSE 1 END AS ch FROM d), r AS (SELECT *, sum(ch) {W}) AS run FROM c),
     l AS (SELECT symbol, run, below, count(*) AS n FROM r GROUP BY ALL), m AS (SELECT symbol, coalesce(max(n) FILTER (below), 0) AS longest, count(*) FILTER (below) AS n_runs FROM l GROUP BY 1)

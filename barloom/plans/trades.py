@@ -9,8 +9,9 @@ from ..functions import costs as C
 from ..operators import analytics as A
 from ..operators import temporal as J
 from ..operators import trades as T
+from ..sources.keyed_store import TRADE_ALIASES, KeyedStore
 from ..sources.tables import daily_bars, event_bars, table, trades
-from .base import DAILY, HOURLY, TRADES, query
+from .base import DAILY, HOURLY, TRADES, query, shown, shown_sql
 
 ORDER = "ORDER BY exit_date, entry_date, trade_id"
 
@@ -288,6 +289,25 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.latest(log, ["user_id"], "ts").select("user_id", "ts", "event_id", F.round("value", 6).alias("value"))
 
 
+@query(f"""WITH {TRADES}, v AS (SELECT player, trade_id, direction, entry_price, net_pnl, 1 AS version, false AS gone FROM trades
+        UNION ALL SELECT player, trade_id, direction, entry_price, net_pnl * 2, 2, false FROM trades WHERE l_linenumber = 1
+        UNION ALL SELECT player, trade_id, NULL, NULL, NULL, 3, true FROM trades WHERE l_linenumber = 2 AND player < 3
+        UNION ALL SELECT player, trade_id, 'FLAT', 0, 0, 0, false FROM trades WHERE l_linenumber = 3),
+    n AS (SELECT player, trade_id, arg_max(struct_pack(d := direction, e := entry_price, p := net_pnl, g := gone), version) AS x FROM v GROUP BY 1, 2),
+    s AS (SELECT player, x.d AS direction, count(*) AS n, sum(x.e) AS e, sum(x.p) AS p FROM n WHERE NOT x.g GROUP BY 1, 2)
+    SELECT player, direction, n, {shown_sql('e')} AS entry_price, {shown_sql('p')} AS net_pnl FROM s""")
+def keyed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades upserted under other field names, replaced, deleted and sent again too late, by player and direction."""
+    t = trades(spark, sf_dir).select("player", "trade_id", "direction", "entry_price", "net_pnl", "l_linenumber")
+    other = t.withColumnsRenamed({"direction": "side", "entry_price": "price", "net_pnl": "pnl"})
+    store = KeyedStore(spark, "trade_id string, direction string, entry_price double, net_pnl double, player long", "player", ["trade_id"])
+    store.upsert(other, 1, TRADE_ALIASES)
+    store.upsert(t.where("l_linenumber = 1").withColumn("net_pnl", F.col("net_pnl") * 2), 2, TRADE_ALIASES)
+    store.delete(t.where("l_linenumber = 2 AND player < 3").select("player", "trade_id"), 3)
+    store.upsert(t.where("l_linenumber = 3").withColumns({"side": F.lit("FLAT"), "price": F.lit(0.0), "pnl": F.lit(0.0)}), 0, TRADE_ALIASES)
+    return store.read().groupBy("player", "direction").agg(F.count("*").alias("n"), shown(F.sum("entry_price")).alias("entry_price"), shown(F.sum("net_pnl")).alias("net_pnl"))
+
+
 @query(f"""WITH {HOURLY}, r AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars)
     SELECT symbol, ts, round(close, 6) AS close FROM r WHERE i % greatest(1, floor(n / 50)::BIGINT) = 0""")
 def equity_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
