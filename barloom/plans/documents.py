@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import documents as D
 from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorStore
+from ..session import shared_folder
 from ..sources.tables import table
+from ..streaming.ingest import CHANGES as CHANGES_OF_STREAM
+from ..streaming.ingest import Ingest, changes_stream, word_windows
 from .base import query
 
 RULES = {"alpha": ["tion", "ción"], "beta": ["ung"], "gamma": ["eau"]}
@@ -124,6 +129,41 @@ def search_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.mmr(D.nearest(queries, vectors, 15).join(texts, "vec_id", "left"), 5).select("query", "vec_id", "rank", "score", "mmr_rank")
 
 
+INGEST = f"""{CHANGES}, held AS (SELECT n.doc_id, d.source, n.text FROM now n JOIN documents d USING (doc_id) WHERE len({_WORDS.format("coalesce(n.text, '')")}) > 0
+        UNION ALL SELECT o.doc_id, d.source, d.text FROM documents d JOIN old o USING (doc_id) WHERE d.doc_id % 7 <> 0 AND d.doc_id NOT IN (SELECT doc_id FROM now))"""
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> Ingest:
+    """First most documents, then the changed and new ones with all that did not change, then deletions; the second batch is taken twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    old, now = _versions(spark, sf_dir)
+    sources = docs.select("doc_id", "source")
+    changes = lambda d, gone: d.join(sources, "doc_id").select("doc_id", "source", "text", F.lit(gone).alias("deleted"))
+    ingest = Ingest(spark, f"{shared_folder(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}", word_windows(200, 150))
+    folder = f"{ingest.path}-in"
+    for i, part in enumerate((changes(old, False), changes(now, False), changes(docs.where("doc_id % 7 = 0").select("doc_id", "text"), True))):
+        part.write.parquet(f"{folder}/{i}")
+        ingest.run(changes_stream(spark, f"{folder}/*"))
+        if i == 1:
+            ingest.apply(spark.read.schema(CHANGES_OF_STREAM).parquet(f"{folder}/{i}"), i)
+    return ingest
+
+
+@query(f"WITH {INGEST} SELECT doc_id, md5(text) AS hash FROM held")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream of changes leaves: the texts that are there, by their MD5."""
+    return _ingested(spark, sf_dir).documents().select("doc_id", "hash")
+
+
+@query(f"""WITH {INGEST}, c AS (SELECT source, doc_id, len(range(0, len({_WORDS.format("text")}), 150)) AS n FROM held),
+    t AS (SELECT source, count(*) AS n_docs, sum(n) AS n_chunks FROM c GROUP BY 1),
+    e AS (SELECT source, count(*) AS n_errors FROM (SELECT doc_id, text FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, text FROM now) x JOIN documents d USING (doc_id) WHERE len({_WORDS.format("coalesce(x.text, '')")}) = 0 GROUP BY 1)
+    SELECT coalesce(t.source, e.source) AS source, coalesce(n_docs, 0) AS n_docs, coalesce(n_chunks, 0)::BIGINT AS n_chunks, coalesce(n_errors, 0) AS n_errors FROM t FULL JOIN e ON t.source IS NOT DISTINCT FROM e.source""")
+def ingest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, chunks and errors by source after the stream."""
+    return _ingested(spark, sf_dir).totals()
+
+
 STORE = """s AS (SELECT vec_id, label, embedding FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
     held AS (SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN label + 100 ELSE label END AS label, embedding FROM s WHERE vec_id % 7 <> 0)"""
 
