@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import registry as G
 from ..functions.indicators import window_indicators
 from ..functions.recursive import recursive_indicators
 from ..sources.tables import daily_bars
@@ -273,3 +274,35 @@ def indicators_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
              {"ADOSC_3_10": _from(10, "f3 - f10"), "EFI_13": _from(14, "i13"), "EFI_20": _from(21, "i20")}))
 def indicators_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recursive(spark, sf_dir, "flows")
+
+
+_BACK = "OVER (PARTITION BY symbol ORDER BY ts ROWS {} PRECEDING)"
+_FULL = "count(*) OVER (PARTITION BY symbol ORDER BY ts ROWS {} PRECEDING) = {}"
+_REGISTERED = f"""r AS (SELECT symbol, ts, CASE WHEN {_FULL.format(4, 5)} THEN avg(close) {_BACK.format(4)} END AS sma_5, CASE WHEN {_FULL.format(19, 20)} THEN avg(close) {_BACK.format(19)} END AS sma_20,
+        CASE WHEN {_FULL.format(19, 20)} THEN sum(close * volume) {_BACK.format(19)} / sum(volume) {_BACK.format(19)} END AS vwma_20,
+        close - lag(close, 5) OVER (PARTITION BY symbol ORDER BY ts) AS mom_5, close - lag(close, 20) OVER (PARTITION BY symbol ORDER BY ts) AS mom_20, (high + low) / 2 AS middle FROM bars)"""
+
+
+def _registry() -> G.Registry:
+    registry = G.standard()
+    registry.register("middle", "own", lambda s: (s["high"] + s["low"]) / 2, ["high", "low"])
+    return registry
+
+
+@query(f"WITH {DAILY}, {_REGISTERED} SELECT symbol, ts, {', '.join(f'{shown_sql(c)} AS {c}' for c in ('sma_5', 'sma_20', 'vwma_20', 'mom_5', 'mom_20', 'middle'))} FROM r")
+def indicators_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered definitions of three categories, one of them a user's, by a table function over daily bars."""
+    rows = _registry().apply(daily_bars(spark, sf_dir), "overlap", "momentum", "own")
+    return rows.select("symbol", "ts", *(shown(F.col(c)).alias(c) for c in ("sma_5", "sma_20", "vwma_20", "mom_5", "mom_20", "middle")))
+
+
+@query(f"""WITH {DAILY}, n AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM bars), d(category, lacks) AS (VALUES ('overlap', 4), ('overlap', 19), ('overlap', 19), ('momentum', 5), ('momentum', 20), ('own', 0),
+        ('volatility', 4), ('volatility', 19), ('volatility', 19), ('volatility', 19), ('volume', 19))
+    SELECT category, count(*) AS n_definitions, sum(v) AS n_values FROM (SELECT category, lacks, row_number() OVER (PARTITION BY category ORDER BY lacks) AS k, (SELECT count(*) FROM n WHERE i > lacks) AS v FROM d) GROUP BY 1""")
+def registered_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many registered definitions each category has, and how many values they give over daily bars."""
+    registry = _registry()
+    rows = registry.apply(daily_bars(spark, sf_dir))
+    counts = rows.agg(*(F.count(n).alias(n) for n in registry.names()))
+    listed = F.array(*(F.struct(F.lit(d.category).alias("category"), F.col(d.name).alias("n")) for d in registry.definitions.values()))
+    return counts.select(F.explode(listed).alias("x")).groupBy("x.category").agg(F.count("*").alias("n_definitions"), F.sum("x.n").alias("n_values"))
