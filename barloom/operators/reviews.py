@@ -12,14 +12,38 @@ from .trades import PNL, holding_bucket, in_order, ranks_and_halves, share, wins
 # Half-open ranges of signal strength, hours of the day, patches by mistake and by regime.
 STRENGTHS = {"very_strong": (0.85, 1.0), "strong": (0.7, 0.85), "moderate": (0.5, 0.7), "weak": (0.3, 0.5)}
 HOURS = {"morning_open": (9, 10), "mid_morning": (10, 12), "afternoon": (12, 14), "closing_hour": (14, 16)}
-PATCHES = {
-    "early_entry": (("entry_threshold +0.05", 0.7), ("momentum_confirm", 0.6), ("ADX_14 AROON_14", 0.65)),
-    "late_entry": (("entry_threshold -0.05", 0.6), ("RSI_7 STOCH_5_3", 0.55)),
-    "early_exit": (("exit_threshold -0.05", 0.65), ("take_profit_atr_mult +0.5", 0.6)),
-    "late_exit": (("exit_threshold +0.05", 0.7), ("stop_loss_atr_mult -0.3", 0.6)),
-    "false_signal": (("volume_filter", 0.7), ("CMF_20 OBV", 0.65), ("trend_filter", 0.6)),
-}
-REGIME_PATCHES = {"volatile": ("stop_loss_atr_mult +0.5", 0.6), "ranging": ("volatility_filter", 0.65), "trending_down": ("-SUPERTREND_7_3", 0.5)}
+# What may mend a mistake: mistake, option, kind of change, name, change, confidence.
+PATCHES = (
+    ("early_entry", 1, "threshold", "entry_threshold", 0.05, 0.7),
+    ("early_entry", 2, "rule", "momentum_confirm", 1.0, 0.6),
+    ("early_entry", 3, "weight", "ADX_14", 0.10, 0.65),
+    ("early_entry", 3, "weight", "AROON_14", 0.08, 0.65),
+    ("late_entry", 1, "threshold", "entry_threshold", -0.05, 0.6),
+    ("late_entry", 2, "weight", "RSI_7", 0.10, 0.55),
+    ("late_entry", 2, "weight", "STOCH_5_3", 0.08, 0.55),
+    ("early_exit", 1, "threshold", "exit_threshold", -0.05, 0.65),
+    ("early_exit", 2, "threshold", "take_profit_atr_mult", 0.5, 0.6),
+    ("late_exit", 1, "threshold", "exit_threshold", 0.05, 0.7),
+    ("late_exit", 2, "threshold", "stop_loss_atr_mult", -0.3, 0.6),
+    ("false_signal", 1, "rule", "volume_filter", 1.0, 0.7),
+    ("false_signal", 2, "weight", "CMF_20", 0.10, 0.65),
+    ("false_signal", 2, "weight", "OBV", 0.08, 0.65),
+    ("false_signal", 3, "rule", "trend_filter", 1.0, 0.6),
+    ("overtrading", 1, "rule", "time_filter", 1.0, 0.7),
+    ("overtrading", 2, "threshold", "entry_threshold", 0.08, 0.65),
+    ("overtrading", 2, "threshold", "exit_threshold", 0.05, 0.65),
+)
+# The same by the regime that lost most; "off" takes an indicator out.
+REGIME_PATCHES = (
+    ("volatile", 1, "threshold", "stop_loss_atr_mult", 0.5, 0.6),
+    ("volatile", 1, "weight", "ATR_14", 0.10, 0.6),
+    ("volatile", 1, "weight", "NATR_14", 0.08, 0.6),
+    ("ranging", 1, "rule", "volatility_filter", 1.0, 0.65),
+    ("ranging", 1, "weight", "BBANDS_20_2", 0.10, 0.65),
+    ("ranging", 1, "weight", "RSI_14", 0.08, 0.65),
+    ("trending_down", 1, "off", "SUPERTREND_7_3", 0.0, 0.5),
+    ("trending_down", 1, "weight", "ADX_20", 0.10, 0.5),
+)
 
 
 def select_trades(trades: DataFrame, direction: str | None = None, profitable: bool | None = None, since: str | None = None, until: str | None = None, **among: Sequence) -> DataFrame:
@@ -139,28 +163,50 @@ def holdout_check(rows: DataFrame, train: str, holdout: str, best: str, gap: flo
     return rows.withColumn("verdict", F.when(behind > gap, "overfit").when((b > 0) & ((b - h) / b > tolerance), "degraded").otherwise("passed"))
 
 
+def _changes(of: Column, table: tuple) -> Column:
+    """The rows of a table of patches for a mistake or regime, as an array."""
+    out = F.lit(None).cast("array<struct<option:int,kind:string,name:string,change:double,confidence:double>>")
+    for key in dict.fromkeys(r[0] for r in table):
+        rows = [F.struct(*(F.lit(x).alias(n) for x, n in zip(r[1:], ("option", "kind", "name", "change", "confidence")))) for r in table if r[0] == key]
+        out = F.when(of == key, F.array(*rows)).otherwise(out)
+    return out
+
+
 def candidate_patches(mistakes: DataFrame) -> DataFrame:
-    """(mistake, patch, confidence, priority) for mistakes with their number ``n`` and their cost ``impact``, by a fixed table.
+    """Adds option, kind, name, change, confidence and priority: a row for each change of each patch for a mistake, by a fixed table.
 
-    Cost and number raise the priority by up to two each from five; it is scaled by
-    the patch's confidence and lies between 1 and 10.
+    ``mistakes`` has mistake, their number ``n`` and their cost ``impact``.  Cost and number raise the
+    priority by up to two each from five; it is scaled by the patch's
+    confidence and lies between 1 and 10.
     """
-    table = F.lit(None).cast("array<struct<patch:string,confidence:double>>")
-    for kind, rows in PATCHES.items():
-        table = F.when(F.col("mistake") == kind, F.array(*(F.struct(F.lit(p).alias("patch"), F.lit(c).alias("confidence")) for p, c in rows))).otherwise(table)
     size = F.abs("impact")
     base = 5 + F.when(size > 10_000, 2).when(size > 5_000, 1).otherwise(0) + F.when(F.col("n") >= 10, 2).when(F.col("n") >= 5, 1).otherwise(0)
-    out = mistakes.select("mistake", base.alias("_base"), F.explode(table).alias("p"))
-    return out.select("mistake", "p.patch", "p.confidence", F.least(F.lit(10), F.greatest(F.lit(1), F.floor(F.col("_base") * F.col("p.confidence")).cast("int"))).alias("priority"))
+    out = mistakes.withColumn("_base", base).withColumn("p", F.explode(_changes(F.col("mistake"), PATCHES)))
+    priority = F.least(F.lit(10), F.greatest(F.lit(1), F.floor(F.col("_base") * F.col("p.confidence")).cast("int")))
+    return out.select(*mistakes.columns, "p.*", priority.alias("priority"))
 
 
 def worst_regime_patch(performance: DataFrame) -> DataFrame:
-    """(regime, patch, confidence, priority, gain) for the regime that lost most, if one lost and has a patch."""
+    """(regime, option, kind, name, change, confidence, priority, gain), a row a change, for the regime that lost most, if one lost and has a patch."""
     worst = performance.agg(F.min_by(F.struct("regime", "total_pnl"), F.struct("total_pnl", "regime")).alias("w")).select("w.*").where("total_pnl < 0")
-    patch = F.lit(None).cast("struct<patch:string,confidence:double>")
-    for regime, (p, c) in REGIME_PATCHES.items():
-        patch = F.when(F.col("regime") == regime, F.struct(F.lit(p).alias("patch"), F.lit(c).alias("confidence"))).otherwise(patch)
-    return worst.withColumn("p", patch).where("p IS NOT NULL").select("regime", "p.patch", "p.confidence", F.lit(7).alias("priority"), (F.abs("total_pnl") * 0.2).alias("gain"))
+    found = worst.withColumn("p", F.explode(_changes(F.col("regime"), REGIME_PATCHES)))
+    return found.select("regime", "p.*", F.lit(7).alias("priority"), (F.abs("total_pnl") * 0.2).alias("gain"))
+
+
+def apply_changes(strategy: DataFrame, changes: DataFrame, *keys: str) -> DataFrame:
+    """(keys, kind, name, value) of a strategy after a patch.
+
+    Thresholds and weights are added to, weights stay in [-1, 1], rules are 1 when
+    they are on, "off" sets a weight to 0.  What the strategy lacks counts as 0 before; of several
+    changes of one name the sum counts, and "off" above all.
+    """
+    kind = F.when(F.col("kind") == "off", "weight").otherwise(F.col("kind"))
+    by_name = changes.groupBy(*keys, kind.alias("kind"), "name").agg(F.sum("change").alias("_change"), F.max(F.col("kind") == "off").alias("_off"))
+    both = strategy.join(by_name, [*keys, "kind", "name"], "full")
+    moved = F.coalesce("value", F.lit(0.0)) + F.coalesce("_change", F.lit(0.0))
+    new = F.when(F.coalesce("_off", F.lit(False)), 0.0).when(F.col("kind") == "weight", F.least(F.greatest(moved, F.lit(-1.0)), F.lit(1.0))).when(
+        F.col("kind") == "rule", F.when(moved > 0, 1.0).otherwise(0.0)).otherwise(moved)
+    return both.select(*keys, "kind", "name", F.round(new, 9).alias("value"))
 
 
 def position_check(rows: DataFrame, value: Column, most_share: float = 0.2, most_risk: float = 0.02, tolerance: float = 1.1) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import costs as C
@@ -175,28 +175,59 @@ def holdout_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.holdout_check(m.where("train IS NOT NULL AND hold IS NOT NULL"), "train", "hold", "best").select("symbol", "verdict")
 
 
-_PATCHED = "[" + ", ".join(f"{{'m': '{m}', 'p': '{p}', 'c': {c}::DOUBLE}}" for m, ps in R.PATCHES.items() for p, c in ps) + "]"
+def _table(rows: tuple) -> str:
+    return "(VALUES " + ", ".join(f"('{m}', {o}, '{k}', '{n}', {c}::DOUBLE, {p}::DOUBLE)" for m, o, k, n, c, p in rows) + ") t(mistake, option, kind, name, change, confidence)"
 
 
-@query(f"""WITH {TRADES}, x AS (SELECT net_pnl, list_filter([CASE WHEN net_pnl_pct <= -0.05 THEN 'late_exit' END, CASE WHEN exit_date - entry_date <= 2 AND exit_reason = 'signal' THEN 'early_exit' END], lambda z: z IS NOT NULL) AS f
-        FROM trades WHERE net_pnl < 0), m AS (SELECT unnest(CASE WHEN len(f) > 0 THEN f ELSE ['false_signal'] END) AS mistake, net_pnl FROM x), g AS (SELECT mistake, count(*) AS n, sum(net_pnl) AS impact FROM m GROUP BY 1),
-    t AS (SELECT unnest({_PATCHED}) AS t)
-    SELECT mistake, t.p AS patch, t.c AS confidence, least(10, greatest(1, floor((5 + CASE WHEN abs(impact) > 10000 THEN 2 WHEN abs(impact) > 5000 THEN 1 ELSE 0 END + CASE WHEN n >= 10 THEN 2 WHEN n >= 5 THEN 1 ELSE 0 END) * t.c)))::INT AS priority
-    FROM g JOIN t ON t.m = mistake""")
+_MISTAKES = f"""{TRADES}, b AS (SELECT *, count(*) OVER (PARTITION BY player, entry_date) AS busy FROM trades),
+    x AS (SELECT player, net_pnl, list_filter([CASE WHEN net_pnl_pct <= -0.05 THEN 'late_exit' END, CASE WHEN exit_date - entry_date <= 2 AND exit_reason = 'signal' THEN 'early_exit' END,
+        CASE WHEN busy >= 5 THEN 'overtrading' END], lambda z: z IS NOT NULL) AS f FROM b WHERE net_pnl < 0),
+    m AS (SELECT player, unnest(CASE WHEN len(f) > 0 THEN f ELSE ['false_signal'] END) AS mistake, net_pnl FROM x)"""
+_PRIORITY = "least(10, greatest(1, floor((5 + CASE WHEN abs(impact) > 10000 THEN 2 WHEN abs(impact) > 5000 THEN 1 ELSE 0 END + CASE WHEN n >= 10 THEN 2 WHEN n >= 5 THEN 1 ELSE 0 END) * confidence)))::INT"
+
+
+def _mistakes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(player, net_pnl, mistake) of losing trades; five entries of a player on a day are too many."""
+    days = F.datediff("exit_date", "entry_date")
+    all_ = trades(spark, sf_dir).select("player", "entry_date", "exit_date", "exit_reason", "net_pnl", "net_pnl_pct")
+    busy = all_.groupBy("player", "entry_date").agg(F.count("*").alias("busy"))
+    rows = all_.where("net_pnl < 0").join(busy, ["player", "entry_date"], "left")
+    found = F.array_compact(F.array(F.when(F.col("net_pnl_pct") <= -0.05, F.lit("late_exit")), F.when((days <= 2) & (F.col("exit_reason") == "signal"), F.lit("early_exit")), F.when(F.col("busy") >= 5, F.lit("overtrading"))))
+    return rows.select("player", "net_pnl", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("false_signal")))).alias("mistake"))
+
+
+@query(f"""WITH {_MISTAKES}, g AS (SELECT mistake, count(*) AS n, sum(net_pnl) AS impact FROM m GROUP BY 1)
+    SELECT mistake, option, kind, name, change, confidence, {_PRIORITY} AS priority FROM g JOIN {_table(R.PATCHES)} USING (mistake)""")
 def patch_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patches for the mistakes found in losing trades, by priority."""
-    days, losing = F.datediff("exit_date", "entry_date"), trades(spark, sf_dir).where("net_pnl < 0")
-    found = F.array_compact(F.array(F.when(F.col("net_pnl_pct") <= -0.05, F.lit("late_exit")), F.when((days <= 2) & (F.col("exit_reason") == "signal"), F.lit("early_exit"))))
-    rows = losing.select("net_pnl", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("false_signal")))).alias("mistake"))
-    return R.candidate_patches(rows.groupBy("mistake").agg(F.count("*").alias("n"), F.sum("net_pnl").alias("impact")))
+    """The changes of the patches for the mistakes found in losing trades, with their priority."""
+    counts = _mistakes(spark, sf_dir).groupBy("mistake").agg(F.count("*").alias("n"), F.sum("net_pnl").alias("impact"))
+    return R.candidate_patches(counts).select("mistake", "option", "kind", "name", "change", "confidence", "priority")
+
+
+_BASE = (("threshold", "entry_threshold", 0.7), ("threshold", "exit_threshold", 0.3), ("threshold", "stop_loss_atr_mult", 2.0), ("weight", "CMF_20", 0.95), ("weight", "OBV", -0.2), ("weight", "RSI_14", 0.4), ("rule", "trend_filter", 0.0))
+
+
+@query(f"""WITH {_MISTAKES}, g AS (SELECT player, mistake, count(*) AS n, sum(net_pnl) AS impact FROM m GROUP BY 1, 2),
+    c AS (SELECT *, {_PRIORITY} AS priority FROM g JOIN {_table(R.PATCHES)} USING (mistake)), w AS (SELECT player, mistake, option FROM c QUALIFY row_number() OVER (PARTITION BY player ORDER BY priority DESC, mistake, option) = 1),
+    h AS (SELECT player, kind, name, sum(change) AS change FROM c SEMI JOIN w USING (player, mistake, option) GROUP BY ALL),
+    s AS (SELECT DISTINCT player, kind, name, value FROM trades, (VALUES {", ".join(f"('{k}', '{n}', {v}::DOUBLE)" for k, n, v in _BASE)}) b(kind, name, value)),
+    a AS (SELECT player, kind, name, coalesce(value, 0) + coalesce(change, 0) AS v FROM s FULL JOIN h USING (player, kind, name))
+    SELECT player, kind, name, round(CASE kind WHEN 'weight' THEN least(greatest(v, -1), 1) WHEN 'rule' THEN CASE WHEN v > 0 THEN 1 ELSE 0 END ELSE v END, 9)::DOUBLE AS value FROM a""")
+def patched_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each player's strategy after the first patch for its own mistakes."""
+    counts = _mistakes(spark, sf_dir).groupBy("player", "mistake").agg(F.count("*").alias("n"), F.sum("net_pnl").alias("impact"))
+    found = R.candidate_patches(counts)
+    first = found.withColumn("at", F.dense_rank().over(Window.partitionBy("player").orderBy(F.desc("priority"), "mistake", "option"))).where("at = 1")
+    base = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name"), F.lit(v).alias("value")) for k, n, v in _BASE))
+    strategies = trades(spark, sf_dir).select("player").distinct().select("player", F.explode(base).alias("x")).select("player", "x.*")
+    return R.apply_changes(strategies, first, "player")
 
 
 @query(f"""WITH {TRADES}, r AS (SELECT CASE WHEN exit_reason = 'signal' THEN 'ranging' WHEN exit_reason = 'stop_loss' THEN 'volatile' ELSE 'trending_down' END AS regime, sum(net_pnl) AS total FROM trades GROUP BY 1),
     w AS (SELECT * FROM r ORDER BY total, regime LIMIT 1)
-    SELECT regime, CASE regime WHEN 'volatile' THEN 'stop_loss_atr_mult +0.5' WHEN 'ranging' THEN 'volatility_filter' ELSE '-SUPERTREND_7_3' END AS patch, CASE regime WHEN 'volatile' THEN 0.6::DOUBLE WHEN 'ranging' THEN 0.65 ELSE 0.5 END AS confidence, 7 AS priority,
-        round(abs(total) * 0.2::DOUBLE, 4) AS gain FROM w WHERE total < 0""")
+    SELECT regime, option, kind, name, change, confidence, 7 AS priority, round(abs(total) * 0.2::DOUBLE, 4) AS gain FROM w JOIN {_table(R.REGIME_PATCHES)} ON mistake = regime WHERE total < 0""")
 def worst_regime_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The regime that lost most, exit reasons standing for regimes, and its patch."""
+    """The regime that lost most, exit reasons standing for regimes, and the changes of its patch."""
     regime = F.when(F.col("exit_reason") == "signal", "ranging").when(F.col("exit_reason") == "stop_loss", "volatile").otherwise("trending_down")
     m = trades(spark, sf_dir).groupBy(regime.alias("regime")).agg(F.sum("net_pnl").alias("total_pnl"))
     return R.worst_regime_patch(m).withColumn("gain", F.round("gain", 4))

@@ -213,3 +213,15 @@ def test_cache_of_bars(spark, tmp_path):
     assert [r["symbol"] for r in K.expired(manifest, now).collect()] == ["B"]
     assert K.without(manifest, "A").count() == 1 and K.without(manifest).count() == 0
     assert str(spark.range(1).select(K.clamped(F.lit("2020-01-01").cast("timestamp"), now)).first()[0])[:10] == "2023-11-08"
+
+
+def test_changes_of_a_patch(spark):
+    from barloom.operators import reviews as R
+
+    strategy = spark.createDataFrame([("p", "weight", "A", 0.95), ("p", "weight", "B", 0.5), ("p", "rule", "r", 0.0), ("p", "threshold", "t", 0.3), ("q", "weight", "A", 0.1)], "player string, kind string, name string, value double")
+    changes = spark.createDataFrame([("p", "weight", "A", 0.1), ("p", "off", "B", 0.0), ("p", "weight", "B", 0.2), ("p", "rule", "r", 1.0), ("p", "threshold", "t", -0.05), ("p", "weight", "new", 0.08)], "player string, kind string, name string, change double")
+    got = {(r["player"], r["kind"], r["name"]): r["value"] for r in R.apply_changes(strategy, changes, "player").collect()}
+    assert got == {("p", "weight", "A"): 1.0, ("p", "weight", "B"): 0.0, ("p", "rule", "r"): 1.0, ("p", "threshold", "t"): 0.25, ("p", "weight", "new"): 0.08, ("q", "weight", "A"): 0.1}
+    mistakes = spark.createDataFrame([("overtrading", 12, -20000.0), ("unknown", 3, -1.0)], "mistake string, n long, impact double")
+    assert {(r["option"], r["kind"], r["name"], r["change"], r["priority"]) for r in R.candidate_patches(mistakes).collect()} == {
+        (1, "rule", "time_filter", 1.0, 6), (2, "threshold", "entry_threshold", 0.08, 5), (2, "threshold", "exit_threshold", 0.05, 5)}
