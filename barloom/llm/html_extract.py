@@ -48,7 +48,7 @@ class Block:
     names: frozenset[str]
     near: frozenset[str]  # names of the closest ancestor that has any
     linked: int
-    box: int  # number of the closest element in _BOXES
+    step: int  # how it follows the block before, see ``steps``
     label: int | None = None
 
 
@@ -59,18 +59,22 @@ def leaf_blocks(html: str) -> list[Block]:
     names: list[frozenset[str]] = []
     labels: list[int | None] = []
     boxes: list[int] = []
-    n_boxes = 0
+    n_boxes = last_box = last_n = 0
     pieces: list[str] = []
     linked = in_link = 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, last_box, last_n
         if pieces:
             text = " ".join(unescape("".join(pieces)).split())
             if text:
                 label = next((x for x in reversed(labels) if x is not None), None)
                 near = next((x for x in reversed(names) if x), frozenset())
-                out.append(Block(text, tuple(tags), frozenset().union(*names), near, linked, boxes[-1] if boxes else 0, label))
+                box = boxes[-1] if boxes else 0
+                # A box that was open at the block before encloses that block; one that is still open encloses this one.
+                step = 0 if box == last_box else 2 if box <= last_n else 1 if not last_box or last_box in boxes else 3
+                last_box, last_n = box, n_boxes
+                out.append(Block(text, tuple(tags), frozenset().union(*names), near, linked, step, label))
             pieces.clear()
         linked = 0
 
@@ -130,13 +134,8 @@ def leaf_blocks(html: str) -> list[Block]:
 
 
 def steps(blocks: list[Block]) -> list[int]:
-    """How each block but the first follows the one before: in the same box (0), in a new one (1), or back in one that had blocks before (2)."""
-    seen = {blocks[0].box} if blocks else set()
-    out = []
-    for a, b in zip(blocks, blocks[1:]):
-        out.append(0 if a.box == b.box else 2 if b.box in seen else 1)
-        seen.add(b.box)
-    return out
+    """How each block but the first follows the one before: in the same box (0), further in (1), further out (2), or in a box beside (3)."""
+    return [b.step for b in blocks[1:]]
 
 
 def features(block: Block) -> list[str]:
@@ -235,6 +234,8 @@ def labelled_pages(n: int, seed: int) -> list[str]:
 
     def article(bare: bool = False) -> str:
         body = f"<h1>{words(2, 10)}</h1>" if rng.random() < 0.8 else ""
+        if body and rng.random() < 0.3:
+            body = f"<header>{body}{rng.choice(['', '', f'<p>{prose(2, 20)}</p>'])}</header>"
         for _ in range(rng.randint(1, 8)):
             body += rng.choices([
                 lambda: paragraphs(1, 3), lambda: f"<h2>{words(1, 8)}</h2>", lambda: "<ul>" + "".join(f"<li>{prose(1, 20)}</li>" for _ in range(rng.randint(2, 4))) + "</ul>",
@@ -331,7 +332,7 @@ def train(pages: list[str], epochs: int = 12, rate: float = 0.3, l2: float = 1e-
         blocks = leaf_blocks(page)
         if blocks:
             data.append(([features(b) for b in blocks], steps(blocks), [b.label or 0 for b in blocks]))
-    crf = Crf({}, [[[0.0, 0.0], [0.0, 0.0]] for _ in range(3)])
+    crf = Crf({}, [[[0.0, 0.0], [0.0, 0.0]] for _ in range(4)])
     past: dict[object, float] = {}
     rng = random.Random(seed)
 
