@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
+from .selection import running_total
 
 
 def uniform(seed: int, *parts: Column | str) -> Column:
@@ -55,9 +56,9 @@ def crossover(genes: DataFrame, couples: DataFrame, seed: int, kind: str = "unif
 def tournaments(scores: DataFrame, children: DataFrame, seed: int, size: int = 3) -> DataFrame:
     """(child, mother, father): each parent is the best of ``size`` drawn genomes.
 
-    Genomes are numbered by id; draws are hashed numbers, joined back.
+    Genomes are numbered by id, in ranges; draws are hashed numbers, joined back.
     """
-    numbered = scores.select("dna_id", "fitness", (F.row_number().over(Window.orderBy("dna_id")) - 1).alias("i"))
+    numbered = running_total(scores.select("dna_id", "fitness", F.lit(1).alias("one")), "one", "dna_id").select("dna_id", "fitness", F.col("at").alias("i"))
     n = scores.count()
     draws = children.select("child", F.explode(F.sequence(F.lit(0), F.lit(2 * size - 1))).alias("d")).withColumn("i", F.floor(uniform(seed, "child", "d") * n).cast("int"))
     best = draws.join(numbered, "i").groupBy("child", (F.col("d") < size).alias("mother")).agg(F.max_by("dna_id", F.struct("fitness", "dna_id")).alias("dna_id"))

@@ -138,6 +138,25 @@ def patterns(trades: DataFrame, si: str, *keys: str, least: int = 10) -> DataFra
     return m.where(kept).select(*keys, "name", "n", "win_rate", "avg_pnl", confidence.alias("confidence"))
 
 
+def combination_patterns(rows: DataFrame, *keys: str, least: int = 10, apart: float = 0.15) -> DataFrame:
+    """(keys, name, direction, n, win_rate, confidence) of the fifth detector: pairs of indicators whose signs agree more often among winners, or among losers.
+
+    ``rows`` has net_pnl and a map ``snapshot``; a value of 0 or null has no sign.  Pairs with
+    ``least`` winners and losers count whose rates of agreement are more than ``apart``
+    apart; aligned ones win when they agree, divergent ones when they do not.
+    """
+    signs = F.filter(F.transform(F.array_sort(F.map_entries("snapshot")), lambda e: F.struct(e["key"].alias("k"), F.signum(e["value"]).alias("s"))), lambda e: e["s"] != 0)
+    pairs = F.flatten(F.transform("e", lambda x: F.transform(F.filter("e", lambda y: y["k"] > x["k"]), lambda y: F.struct(x["k"].alias("a"), y["k"].alias("b"), (x["s"] == y["s"]).alias("same")))))
+    each = rows.select(*keys, wins().alias("_won"), signs.alias("e")).select(*keys, "_won", F.explode(pairs).alias("p"))
+    won, same = F.col("_won"), F.col("p.same")
+    m = each.groupBy(*keys, F.concat_ws("_", F.lit("combo"), "p.a", "p.b").alias("name")).agg(
+        F.count_if(won).alias("_w"), F.count_if(~won).alias("_l"), share(F.count_if(won & same), F.count_if(won)).alias("_wa"), share(F.count_if(~won & same), F.count_if(~won)).alias("_la"))
+    gap = F.col("_wa") - F.col("_la")
+    found = m.where((F.col("_w") >= least) & (F.col("_l") >= least) & (F.abs(gap) > apart))
+    return found.select(*keys, "name", F.when(gap > 0, "aligned").otherwise("divergent").alias("direction"), (F.col("_w") + F.col("_l")).alias("n"),
+                        F.when(gap > 0, F.col("_wa")).otherwise(1 - F.col("_la")).alias("win_rate"), F.least(F.lit(1.0), F.abs(gap) * 3).alias("confidence"))
+
+
 def threshold_advice(found: DataFrame, *keys: str, least: float = 0.5) -> DataFrame:
     """What the five surest patterns of a group advise for the entry threshold and the stop, and how sure they are on the mean."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("confidence"), "name"))

@@ -145,6 +145,19 @@ def trade_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(R.patterns(_scored(spark, sf_dir), "si", "player"), "win_rate", "avg_pnl", "confidence")
 
 
+@query(_sql(f"""WITH {SNAPSHOT.replace('SELECT trade_id, net_pnl, (l_orderkey % 17)', 'SELECT trade_id, symbol, year(exit_date) AS year, net_pnl, (l_orderkey % 17)')},
+    p AS (SELECT symbol, year, net_pnl > 0 AS won, x.name AS name, x.same AS same FROM (SELECT symbol, year, net_pnl, unnest([{{'name': 'combo_A_B', 'same': sign(a) = sign(b), 'ok': a * b <> 0}},
+        {{'name': 'combo_A_C', 'same': sign(a) = sign(c), 'ok': a * c <> 0}}, {{'name': 'combo_B_C', 'same': sign(b) = sign(c), 'ok': b * c <> 0}}]) AS x FROM snap) WHERE x.ok),
+    g AS (SELECT symbol, year, name, count(*) FILTER (won) AS w, count(*) FILTER (NOT won) AS l, count(*) FILTER (won AND same) / nullif(count(*) FILTER (won), 0)::DOUBLE AS wa,
+        count(*) FILTER (NOT won AND same) / nullif(count(*) FILTER (NOT won), 0)::DOUBLE AS la FROM p GROUP BY 1, 2, 3)""",
+    "SELECT symbol, year, name, CASE WHEN wa > la THEN 'aligned' ELSE 'divergent' END AS direction, w + l AS n, CASE WHEN wa > la THEN wa ELSE 1 - la END AS win_rate, least(1, abs(wa - la) * 3) AS confidence FROM g WHERE w >= 10 AND l >= 10 AND abs(wa - la) > 0.15",
+    "symbol, year, name, direction, n", "win_rate", "confidence"))
+def combination_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of indicators that tell winners from losers in a symbol's year."""
+    rows = _with_snapshot(spark, sf_dir).select("symbol", F.year("exit_date").alias("year"), "net_pnl", "snapshot")
+    return _shown(R.combination_patterns(rows, "symbol", "year"), "win_rate", "confidence")
+
+
 @query(_sql(_NAMES, """SELECT player, coalesce(arg_max(e, place) FILTER (e IS NOT NULL), 0) AS entry_change, coalesce(max(st), 1) AS stop_factor, avg(confidence) AS confidence FROM (
     SELECT *, CASE WHEN confidence >= 0.5 AND name = 'signal_strength_very_strong' AND win_rate > 0.6 THEN 0.05::DOUBLE WHEN confidence >= 0.5 AND name = 'signal_strength_weak' AND win_rate < 0.4 THEN -0.05 END AS e,
         CASE WHEN confidence >= 0.5 AND name LIKE 'exit_stop%' AND avg_pnl < 0 THEN 0.9::DOUBLE END AS st FROM (SELECT *, row_number() OVER (PARTITION BY player ORDER BY confidence DESC, name) AS place FROM found)) WHERE place <= 5 GROUP BY 1""",

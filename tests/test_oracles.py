@@ -11,7 +11,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-NUMBERED = tuple(f"op{n}_" for n in range(1, 11)) + ("pipeline",)
+NUMBERED = tuple(f"op{n}_" for n in range(1, 14)) + ("pipeline",)
 QUERIES = {k: v for k, v in entry.queries().items() if not k.startswith(NUMBERED)}
 SQL = entry.oracle_sql()
 ONLY = os.environ.get("ONLY", "").split(",") if os.environ.get("ONLY") else None
