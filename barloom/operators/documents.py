@@ -35,7 +35,7 @@ def word_windows(docs: DataFrame, id_col: str, text_col: str, size: int = 500, o
 
 def _units(text: Column, limit: int) -> Column:
     """Paragraphs, or the sentences of those that are too long."""
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")  # F.trim itself would get the index as what to trim
     return F.flatten(F.transform(paragraphs, lambda p: F.when(tokens(p) > limit, F.filter(F.split(p, r"(?<=[.!?])\s+"), lambda s: s != "")).otherwise(F.array(p))))
 
 

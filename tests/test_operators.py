@@ -194,3 +194,9 @@ def test_bars_on_disk(spark, tmp_path):
     (tmp_path / "kb" / "sub" / "b.txt").write_text("b")
     (tmp_path / "kb" / "sub" / "c.bin").write_text("c")
     assert sorted(r["text"] for r in read_texts(spark, str(tmp_path / "kb")).collect()) == ["# A\ntext", "b"]
+
+
+def test_paragraphs_keep_their_first_and_last_digits(spark):
+    docs = spark.createDataFrame([(1, "0 zero 0\n\n 1 one 1 \n\n2 two 2")], "doc_id int, text string")
+    got = D.paragraph_chunks(docs, "doc_id", "text").collect()
+    assert [r["text"] for r in got] == ["0 zero 0\n\n1 one 1\n\n2 two 2"]
