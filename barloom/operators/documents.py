@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 #: Query vectors, and vectors that are searched, that meet in one task.
 QUERY_BLOCK, VECTOR_BLOCK = 2048, 1 << 16
+#: Distances, and vectors of near pairs, that a task holds at a time.
+CELLS, PIECE = 1 << 20, 1 << 15
 
 
 def words(text: Column) -> Column:
@@ -95,6 +97,30 @@ def apply_changes(chunks: DataFrame, changes: DataFrame, fresh: DataFrame, key:
     return chunks.join(gone, key, "left_anti").unionByName(fresh.join(come, key, "left_semi"))
 
 
+def k_nearest(a: np.ndarray, b: np.ndarray, ids: pd.Series, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance): the k rows of ``b`` closest to each row of ``a``, of equals the smaller of ``ids``.
+
+    A few rows of ``a`` meet ``b`` at a time, so the matrix of distances is never held whole.
+    """
+    b, n, out = b.astype(np.float64), min(k, len(b)), []
+    place = pd.factorize(ids, sort=True)[0]
+    place[place < 0] = len(b)
+    size, step = (b * b).sum(axis=1), max(1, CELLS // len(b))
+    for c in range(0, len(a), step):
+        x = a[c:c + step].astype(np.float64)
+        near = x @ b.T
+        near *= -2
+        near += size
+        near += (x * x).sum(axis=1)[:, None]
+        edge = np.partition(near, n - 1, axis=1)[:, n - 1]
+        i, j = np.nonzero(near <= (edge + 1e-6 * (1 + np.abs(edge)))[:, None])
+        distance = np.concatenate([((x[i[s:s + PIECE]] - b[j[s:s + PIECE]]) ** 2).sum(axis=1).round(9) for s in range(0, len(i), PIECE)])
+        order = np.lexsort((place[j], distance, i))
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((i[first] + c, j[order][first], distance[order][first]))
+    return tuple(np.concatenate(o) for o in zip(*out))
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_col: str = "query", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query, id, distance, score, rank): the k closest vectors of each query by squared distance, of equals the smaller id.
 
@@ -115,13 +141,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_col: str = "qu
     def search(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(xs):
             return pd.DataFrame(columns=schema.names)
-        a, b = (np.stack(d["v"].to_numpy()).astype(np.float64) for d in (qs, xs))
-        near = (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T) + (a * a).sum(axis=1)[:, None]
-        n = min(k, len(b))
-        edge = np.partition(near, n - 1, axis=1)[:, n - 1]
-        i, j = np.nonzero(near <= (edge + 1e-6 * (1 + np.abs(edge)))[:, None])
-        found = pd.DataFrame({query_col: qs["q"].to_numpy()[i], id_col: xs["x"].to_numpy()[j], "distance": ((a[i] - b[j]) ** 2).sum(axis=1).round(9)})
-        return found.sort_values(["distance", id_col]).groupby(query_col, sort=False).head(k)
+        i, j, distance = k_nearest(*(np.stack(d["v"].to_numpy()) for d in (qs, xs)), xs["x"], k)
+        return pd.DataFrame({query_col: qs["q"].to_numpy()[i], id_col: xs["x"].to_numpy()[j], "distance": distance})
 
     keys = ["block", "part"]
     found = q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInPandas(search, schema)

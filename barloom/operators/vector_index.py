@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shared_folder
+from .documents import k_nearest
 
 #: Vectors that centroids are fitted on, lists at most, queries among the sample that set the number of probes.
 SAMPLE, MAX_LISTS, TRIED = 1 << 15, 1 << 11, 256
@@ -209,13 +210,8 @@ class VectorStore:
         def nearest(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
             if not len(qs) or not len(xs):
                 return pd.DataFrame(columns=schema.names)
-            a, b = (np.stack(d["v"].to_numpy()).astype(np.float64) for d in (qs, xs))
-            near = _squares(a, b)
-            n = min(k, len(b))
-            edge = np.partition(near, n - 1, axis=1)[:, n - 1]
-            i, j = np.nonzero(near <= (edge + 1e-6 * (1 + edge))[:, None])
-            found = pd.DataFrame({query_col: qs["q"].to_numpy()[i], id_col: xs["x"].to_numpy()[j], "distance": ((a[i] - b[j]) ** 2).sum(axis=1).round(9)})
-            return found.sort_values(["distance", id_col]).groupby(query_col, sort=False).head(k)
+            i, j, distance = k_nearest(*(np.stack(d["v"].to_numpy()) for d in (qs, xs)), xs["x"], k)
+            return pd.DataFrame({query_col: qs["q"].to_numpy()[i], id_col: xs["x"].to_numpy()[j], "distance": distance})
 
         by = ["list", "block", "part"]
         return self._ranked(q.groupBy(*by).cogroup(x.groupBy(*by)).applyInPandas(nearest, schema), k, query_col)

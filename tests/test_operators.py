@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -200,3 +201,22 @@ def test_paragraphs_keep_their_first_and_last_digits(spark):
     docs = spark.createDataFrame([(1, "0 zero 0\n\n 1 one 1 \n\n2 two 2")], "doc_id int, text string")
     got = D.paragraph_chunks(docs, "doc_id", "text").collect()
     assert [r["text"] for r in got] == ["0 zero 0\n\n1 one 1\n\n2 two 2"]
+
+
+def test_distances_are_not_held_whole(monkeypatch):
+    rng = np.random.default_rng(5)
+    a, b = rng.standard_normal((300, 8)), rng.standard_normal((20_000, 8))
+    b[::3] = b[0]
+    ids = pd.Series(rng.permutation(len(b)))
+    tracemalloc.start()
+    i, j, distance = D.k_nearest(a, b, ids, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(a) * len(b)
+    monkeypatch.setattr(D, "CELLS", 50_000)
+    monkeypatch.setattr(D, "PIECE", 7)
+    for got, again in zip((i, j, distance), D.k_nearest(a, b, ids, 5)):
+        assert (got == again).all()
+    for q in range(0, 300, 50):
+        d = ((b - a[q]) ** 2).sum(axis=1).round(9)
+        assert j[i == q].tolist() == np.lexsort((ids, d))[:5].tolist()
