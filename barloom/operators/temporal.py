@@ -50,6 +50,24 @@ def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, end:
     return found.where(F.col(at).between(F.col(start), F.col(end))).drop("_l", "_b")
 
 
+def merged_spans(spans: DataFrame, start: str, end: str, *keys: str, hours: int = 1) -> DataFrame:
+    """(keys, start, end): the times that at least one span of a key covers, ends included, as spans that do not meet.
+
+    Spans merge within buckets of their start first, and what is left of all
+    buckets afterwards: where spans are about as long as a bucket there is one for
+    each bucket, so the second pass follows the time covered and not the number of spans.
+    """
+    def merge(rows: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(start)
+        reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        new = rows.withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1))
+        return new.withColumn("_n", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*by, "_n").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_n")
+
+    once = spans.where(F.col(start) <= F.col(end)).groupBy(*keys, start).agg(F.max(end).alias(end))
+    filed = once.withColumn("_b", F.floor(F.unix_micros(F.col(start).cast("timestamp")) / (hours * 3_600_000_000)))
+    return merge(merge(filed, *keys, "_b").drop("_b"), *keys)
+
+
 def before_after(marks: DataFrame, rows: DataFrame, on: list[str], mark: str, at: str, value: str) -> DataFrame:
     """For each mark, the sums of ``value`` before it and from it on, and whether it helped.
 

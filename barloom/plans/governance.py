@@ -35,7 +35,7 @@ _ACTIVE = f"""e AS (SELECT event_id, ts, {_SEVERITY} AS severity FROM events WHE
 
 def _posted(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    spans = G.validity(_news_events(spark, sf_dir)).select("severity", "valid_from", "valid_until")
+    spans = J.merged_spans(G.validity(_news_events(spark, sf_dir)), "valid_from", "valid_until", "severity")
     active = J.interval_join(points, spans, "ts", "valid_from", "valid_until", 12).groupBy("event_id").agg(G.worst(F.col("severity")).alias("severity"))
     return G.postures(points.join(active, "event_id", "left"))
 

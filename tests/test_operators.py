@@ -220,3 +220,16 @@ def test_distances_are_not_held_whole(monkeypatch):
     for q in range(0, 300, 50):
         d = ((b - a[q]) ** 2).sum(axis=1).round(9)
         assert j[i == q].tolist() == np.lexsort((ids, d))[:5].tolist()
+
+
+def test_merged_spans(spark):
+    """A point meets at most one merged span of a key, however many cover it."""
+    rng = np.random.default_rng(7)
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=int(m))
+    raw = [("ab"[i % 2], int(m), int(m) + int(rng.integers(-1, 90))) for i, m in enumerate(rng.integers(0, 6000, 120))] + [("a", 100, 101), ("a", 101, 102), ("c", 5, 4)]
+    spans = spark.createDataFrame([(k, at(a), at(b)) for k, a, b in raw], "k string, a timestamp_ntz, b timestamp_ntz")
+    points = spark.createDataFrame([(m, at(m)) for m in range(0, 6200, 7)], "m int, at timestamp_ntz")
+    for hours in (1, 24):
+        got = J.interval_join(points, J.merged_spans(spans, "a", "b", "k", hours=hours), "at", "a", "b", 1).select("m", "k").collect()
+        want = {(m, k) for m in range(0, 6200, 7) for k, a, b in raw if a <= m <= b}
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
