@@ -1,4 +1,4 @@
-"""Near-dedup by exact Jaccard similarity of word shingles; MinHash proposes the pairs."""
+"""Near-dedup by exact Jaccard similarity of word shingles; SimHash proposes the pairs, and MinHash those that differ in more bits."""
 
 from __future__ import annotations
 
@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, bucket_blocks, connected_components, give_back, join_counted, key_runs, run_starts, stash
-from .simhash import _LOWER, CHUNK, SEED, WORD
+from .simhash import _LOWER, CHUNK, SEED, WORD, links, majority, ones
 
 #: Words in a shingle, and the similarity from which two texts are linked, as a fraction.
 WIDTH, SIMILARITY = 5, (4, 5)
 #: A pair at similarity 0.8 shares a bucket of some band with chance 1 - (1 - 0.8 ** 8) ** 40 = 0.9994.
 ROWS, BANDS = 8, 40
-#: Bands are numbered in the low bits of a bucket's key.
+#: Tables are numbered in the low bits of a bucket's key: 0 is that of SimHash, then come the bands.
 TABLES = 64
 #: Of ROWS x BANDS minima a pair at similarity 0.8 has so many in common but for one time in 10 ** 7 (5.4 standard deviations).
 LEAST = 218
@@ -106,7 +106,7 @@ def _links(dealt: DataFrame, sets: DataFrame) -> DataFrame:
             starts = run_starts(*(part[k].to_numpy() for k in keys))
             ids, sets_, n = part["s"].tolist(), part["sh"].tolist(), part["n"].to_numpy()
             low = np.frombuffer(b"".join(part["low"]), "<u2").reshape(len(part), ROWS * BANDS)
-            right, cross, band = part["right"].to_numpy(), (part["i"] != part["j"]).to_numpy(), part["key"].to_numpy() % TABLES
+            right, cross, band = part["right"].to_numpy(), (part["i"] != part["j"]).to_numpy(), np.maximum(part["key"].to_numpy() % TABLES - 1, 0)
             out = []
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(part)]):
                 at = np.arange(s, e)
@@ -125,16 +125,26 @@ def _links(dealt: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.join(sets, "s").repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "a long, b long")
 
 
+def simhash_groups(nodes: DataFrame) -> DataFrame:
+    """(s, group): which of the rows (s, fp) are linked by fingerprints that differ in at most three bits."""
+    fps = stash(nodes.groupBy("fp").agg(F.count("*").alias("rows")))
+    parts = connected_components(links(fps.select("fp")), "a", "b").withColumnsRenamed({"node": "fp", "component": "group"})
+    named = stash(fps.join(parts, "fp", "left").select("fp", "rows", F.coalesce("group", "fp").alias("group")))
+    return join_counted(nodes.select("s", "fp"), named, ["fp"], "rows", HOT).select("s", "group")
+
+
 def shingle_components(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """(keys, component): rows linked by texts whose word shingles have Jaccard similarity >= 0.8.
 
-    Texts of equal shingle sets are one node.  The members of a MinHash bucket
+    Texts of equal shingle sets are one node.  Those that SimHash links, by multi-index
+    hashing of fingerprints up to three bits apart, are one bucket; at similarity 0.8
+    most pairs differ in more bits, so the bands of MinHash give further buckets.  The members of a bucket
     meet in one task, or if they are many as pairs of blocks; there the minima
     tell which pairs are worth a comparison of their whole sets, the likeliest
     are compared first, and pairs that are connected already are not.  Only a
     spanning forest leaves the task, so a large group of copies gives no more
-    links than it has texts.  A pair is looked at in the first band that it
-    shares.  Texts without words are equal to each other.
+    links than it has texts.  A pair is looked at in the group of SimHash
+    and in the first band that it shares.  Texts without words are equal to each other.
     """
     bounded_batches(docs.sparkSession, 128)
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
@@ -143,14 +153,15 @@ def shingle_components(docs: DataFrame, keys: list[str], text_col: str = "text")
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
             sets = [shingles(x or "") for x in t["body"]]
-            yield t[keys].assign(s=[xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63) for h in sets], n=[len(h) for h in sets], low=[minima(h) for h in sets])
+            yield t[keys].assign(s=[xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63) for h in sets], n=[len(h) for h in sets], low=[minima(h) for h in sets], fp=np.array([majority(ones(h), len(h)) for h in sets], np.uint64).view(np.int64))
         give_back()
 
-    each = stash(docs.select(*keys, F.col(text_col).alias("body")).mapInPandas(hashed, f"{schema}, s long, n long, low binary"))
-    nodes = stash(each.groupBy("s").agg(F.count("*").alias("rows"), F.first("n").alias("n"), F.first("low").alias("low"), F.min(F.struct(*keys)).alias("one")))
+    each = stash(docs.select(*keys, F.col(text_col).alias("body")).mapInPandas(hashed, f"{schema}, s long, n long, low binary, fp long"))
+    nodes = stash(each.groupBy("s").agg(F.count("*").alias("rows"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("fp").alias("fp"), F.min(F.struct(*keys)).alias("one")))
     filed = nodes.where("n > 0").select("s", "low", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("t"))
     bucket = F.xxhash64("t", F.substring("low", F.col("t") * (2 * ROWS) + 1, F.lit(2 * ROWS)))
-    filed = filed.select("s", bucket.bitwiseAND(F.lit(-TABLES)).bitwiseOR(F.col("t")).alias("key"))
+    filed = filed.select("s", bucket.bitwiseAND(F.lit(-TABLES)).bitwiseOR(F.col("t") + 1).alias("key"))
+    filed = filed.unionByName(simhash_groups(nodes.where("n > 0")).select("s", F.xxhash64("group").bitwiseAND(F.lit(-TABLES)).alias("key")))
     dealt = stash(bucket_blocks(filed, "s", TABLES, BLOCK, HOT))
     shown = nodes.join(dealt.select("s").distinct(), "s").select("s", "n", "low", "one")
     match = [F.col(k).eqNullSafe(F.col("one").getField(k)) for k in keys]

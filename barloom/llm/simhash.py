@@ -23,6 +23,20 @@ CHUNK = 1 << 16
 HOT = 1000
 
 
+def ones(h: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each of the 64 bits is set."""
+    total = np.zeros(64, np.int64)
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for j in range(0, len(bits), 255):  # sums of up to 255 ones fit a byte
+        total += bits[j:j + 255].sum(axis=0, dtype=np.uint8)
+    return total
+
+
+def majority(total: np.ndarray, n: int) -> int:
+    """The fingerprint whose bits are set in over half of ``n`` hashes."""
+    return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str, width: int) -> int:
     """The 64-bit SimHash of the XXH64 of all ``width``-word shingles; without words 0."""
     data = text.encode("utf-8", "surrogatepass")
@@ -39,11 +53,8 @@ def fingerprint(text: str, width: int) -> int:
     total = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for i in range(0, len(starts), CHUNK):
-        h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[i:i + CHUNK].tolist(), ends[i:i + CHUNK].tolist())], np.uint64)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        for j in range(0, len(bits), 255):  # sums of up to 255 ones fit a byte
-            total += bits[j:j + 255].sum(axis=0, dtype=np.uint8)
-    return int(np.packbits(total * 2 > len(starts), bitorder="little").view("<u8")[0])
+        total += ones(np.array([digest(joined[s:e], SEED) for s, e in zip(starts[i:i + CHUNK].tolist(), ends[i:i + CHUNK].tolist())], np.uint64))
+    return majority(total, len(starts))
 
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))

@@ -4,6 +4,8 @@ import random
 import re
 
 import corpus_pipeline
+from barloom.llm import shingle_dedup as module
+from barloom.llm.common import bucket_blocks as blocks
 from barloom.llm.common import table
 
 from .fixtures import AWKWARD, components, documents
@@ -67,3 +69,16 @@ def test_null_and_repeated_ids_keep_their_texts(spark):
 def test_whole_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     one_of_each([tuple(r) for r in docs.select("doc_id", "text").collect()], kept(spark, docs))
+
+
+def test_simhash_proposes_too(spark, monkeypatch):
+    rows = [(1, 0b1011), (2, 0b1000), (3, 0b1011), (4, -1), (5, -1 << 2), (6, 0x0F0F0F0F)]
+    groups = {}
+    for r in module.simhash_groups(spark.createDataFrame(rows, "s long, fp long")).collect():
+        groups.setdefault(r["group"], set()).add(r["s"])
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 3], [4, 5], [6]]
+    # Without bands that pairs can share, what SimHash links is compared and found.
+    monkeypatch.setattr(module, "bucket_blocks", lambda filed, *rest: blocks(filed.where(f"key % {module.TABLES} = 0"), *rest))
+    words = [f"word{i}" for i in range(400)]
+    texts = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(reversed(words)))]
+    assert sorted(i for i, _ in kept(spark, documents(spark, texts))) == [1, 3]
