@@ -89,8 +89,16 @@ def top_per_group(rows: DataFrame, n: int, order: list[Column], *keys: str) -> D
 
 
 def all_but_top(rows: DataFrame, n: int, order: list[Column], *keys: str) -> DataFrame:
-    """What a table that keeps the first n of each group would delete."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") > n)
+    """What a table that keeps the first n of each group would delete; the order must be total.
+
+    A group is ranked in parts, dealt out by a hash, and then the first n of all
+    its parts together: what is not among the first n of its part is deleted anyway.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = lambda by: F.row_number().over(Window.partitionBy(*keys, by).orderBy(*order))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*(c for c, t in rows.dtypes if "map<" not in t)), F.lit(parts)))
+    dealt = dealt.withColumn("_part", F.when(place("_part") > n, F.col("_part")))
+    return dealt.withColumn("_place", place("_part")).where(F.col("_part").isNotNull() | (F.col("_place") > n)).select(*rows.columns)
 
 
 def latest(log: DataFrame, keys: list[str], version: str) -> DataFrame:

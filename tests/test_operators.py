@@ -233,3 +233,13 @@ def test_merged_spans(spark):
         got = J.interval_join(points, J.merged_spans(spans, "a", "b", "k", hours=hours), "at", "a", "b", 1).select("m", "k").collect()
         want = {(m, k) for m in range(0, 6200, 7) for k, a, b in raw if a <= m <= b}
         assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_rest_of_a_group_is_ranked_in_parts(spark):
+    rng = np.random.default_rng(8)
+    raw = [("ab"[int(i == 7)], float(x), f"t{i % 40}") for i, x in enumerate(rng.integers(0, 30, 300))] + [("c", 1.0, "same")] * 50
+    rows = spark.createDataFrame(raw, "k string, x double, id string")
+    out = J.all_but_top(rows, 20, [F.desc("x"), F.col("id")], "k")
+    want = [r for k in "abc" for r in sorted((r for r in raw if r[0] == k), key=lambda r: (-r[1], r[2]))[20:]]
+    assert sorted(tuple(r) for r in out.select("k", "x", "id").collect()) == sorted(want)
+    assert "_part" in out._jdf.queryExecution().optimizedPlan().toString()
