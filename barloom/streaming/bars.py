@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,9 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return rows.select("user_id", "first_ts", "last_ts", "n", "total")
 
 
+#: Rows of a key that leave a task at a time.
+PIECE = 1 << 16
+KINDS = np.array(["HOLD", "LONG_ENTRY", "LONG_EXIT"], object)
 SIGNALS = "symbol string, ts timestamp, value double, signal_type string, held int"
 
 
@@ -52,25 +56,33 @@ def keyed_signals(events: DataFrame, enter: float, leave: float, late: str = "1
     """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         before, held, upto = state.get if state.exists else (float("nan"), 0, 0)
-        frames = [b for b in batches if len(b)]
-        if not frames:
+        us, ids, values = [], [], []
+        for b in batches:
+            us.append(b["us"].to_numpy(np.int64))
+            ids.append(b["event_id"].to_numpy(np.int64))
+            values.append(b["value"].to_numpy(np.float64))
+        if not sum(map(len, us)):
             return
-        out = []
-        for ts, event_id, value in pd.concat(frames)[["ts", "event_id", "value"]].sort_values(["ts", "event_id"]).itertuples(index=False):
-            at = int(ts.value // 1000)
-            if at < upto:
-                continue
-            kind = "HOLD"
-            if not held and value > enter and not before > enter and before == before:
-                kind, held = "LONG_ENTRY", 1
-            elif held and value < leave:
-                kind, held = "LONG_EXIT", 0
-            before, upto = value, at
-            out.append((key[0], ts, value, kind, held))
-        state.update((before, held, upto))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "value", "signal_type", "held"])
-
-    rows = events.withWatermark("ts", late).select(F.col("event_type").alias("symbol"), "ts", "event_id", "value")
+        us, ids, values = (np.concatenate(x) for x in (us, ids, values))
+        order = np.lexsort((ids, us))
+        us, values = us[order], values[order]
+        late_ones = np.searchsorted(us, upto)
+        us, values = us[late_ones:], values[late_ones:]
+        kinds, helds = np.zeros(len(us), np.int8), np.zeros(len(us), np.int8)
+        for c in range(0, len(us), PIECE):
+            for i, value in enumerate(values[c:c + PIECE].tolist(), c):
+                if not held and value > enter and not before > enter and before == before:
+                    kinds[i], held = 1, 1
+                elif held and value < leave:
+                    kinds[i], held = 2, 0
+                helds[i], before = held, value
+        state.update((before, held, int(us[-1]) if len(us) else upto))
+        for c in range(0, max(1, len(us)), PIECE):
+            at = slice(c, c + PIECE)
+            yield pd.DataFrame({"symbol": key[0], "ts": pd.to_datetime(us[at], unit="us", utc=True), "value": values[at], "signal_type": KINDS[kinds[at]], "held": helds[at].astype(np.int32)})
+
+    rows = events.withWatermark("ts", late).select(F.col("event_type").alias("symbol"), "ts", F.coalesce(F.unix_micros("ts"), F.lit(-1)).alias("us"),
+                                                    F.coalesce("event_id", F.lit((1 << 63) - 1)).alias("event_id"), "value")
     return rows.groupBy("symbol").applyInPandasWithState(step, SIGNALS, "before double, held int, upto long", "append", GroupStateTimeout.NoTimeout)
 
 

@@ -62,3 +62,10 @@ def test_alerts_reach_the_handler(spark, sf_dir):
     seen = []
     out = ST.drain(ST.alerts(ST.event_stream(spark, f"{sf_dir}/events.parquet*"), {"view": (5, 90)}), shared_folder(spark), "append", lambda batch, n: seen.append((n, batch.count())))
     assert sum(n for _, n in seen) == out.count() > 0
+
+
+def test_signals_leave_in_pieces(spark, sf_dir, monkeypatch):
+    signals = lambda: sorted(tuple(r) for r in ST.drain(ST.keyed_signals(ST.event_stream(spark, f"{sf_dir}/events.parquet*"), 60, 20), shared_folder(spark), "append").select("symbol", "ts", "value", "signal_type", "held").collect())
+    whole = signals()
+    monkeypatch.setattr(ST, "PIECE", 7)
+    assert signals() == whole and len(whole) == spark.read.parquet(f"{sf_dir}/events.parquet").count()
