@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -75,3 +76,10 @@ def test_silence_closes_a_bar(spark, tmp_path):
     frame.withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, m)")).select("event_id", "ts", "user_id", "event_type", "value", "props").write.parquet(str(tmp_path / "in"))
     out = ST.drain(CB.count_bars(ST.event_stream(spark, str(tmp_path / "in")), 3, "1 hour", "0 seconds"), shared_folder(spark), "append", conf=CB.ROCKSDB)
     assert [(r["bar"], r["open"], r["close"], r["num_trades"], r["complete"]) for r in out.orderBy("bar").collect()] == [(0, 1.0, 2.0, 2, False), (1, 3.0, 5.0, 3, True), (2, 6.0, 6.0, 1, False)]
+
+
+def test_ticks_wait_packed():
+    ticks = np.zeros(20_000, CB.TICK)
+    ticks["us"] = np.arange(20_000)
+    packed = CB._packed(ticks)
+    assert len(packed) < 10 and np.concatenate([np.frombuffer(p[0], CB.TICK) for p in packed]).tolist() == ticks.tolist()
