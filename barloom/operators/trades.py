@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
+from .skew import join_by_size
 
 PNL = "net_pnl"
 #: Half-open holding periods in days; the last has no end.
@@ -186,7 +189,12 @@ def pair_agreement(rows: DataFrame, least: int = 10, apart: float = 0.15) -> Dat
 
 
 def positions(rows: DataFrame, order: list[str], *keys: str, prefix: str = "") -> DataFrame:
-    """Adds ``before`` and ``ties``: how many rows of the keys come earlier in ``order``, and how many are equal to this one.
+    """``rows`` with the columns of ``places``."""
+    return rows.join(places(rows, order, *keys, prefix=prefix), [*keys, *order])
+
+
+def places(rows: DataFrame, order: list[str], *keys: str, prefix: str = "") -> DataFrame:
+    """For each of the rows' different keys and ``order``, ``before`` and ``ties``: how many rows of the keys come earlier in ``order``, and how many are equal.
 
     Few keys may hold all rows, so no window runs over a key: different values
     are dealt out by sampled ranges and counted within each range, and the ranges
@@ -201,18 +209,26 @@ def positions(rows: DataFrame, order: list[str], *keys: str, prefix: str = "") -
     ranges = placed.groupBy(*keys, "_part").agg(F.sum("_n").alias("_s")).withColumn("_off", F.coalesce(F.sum("_s").over(earlier), F.lit(0))).drop("_s")
     inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     found = placed.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(ranges, [*keys, "_part"])
-    found = found.select(*keys, *order, (F.col("_off") + F.col("_in")).alias(f"{prefix}before"), F.col("_n").alias(f"{prefix}ties"))
-    return rows.join(found, [*keys, *order])
+    return found.select(*keys, *order, (F.col("_off") + F.col("_in")).alias(f"{prefix}before"), F.col("_n").alias(f"{prefix}ties"))
 
 
 def ranks_and_halves(rows: DataFrame, result: str) -> DataFrame:
     """Adds, within each indicator, average ranks ``rv`` of value and ``rr`` of the result, and whether a row is in the earlier half of time."""
-    out = positions(rows, ["value"], "indicator").withColumn("rv", F.col("before") + (F.col("ties") + 1) / 2.0).drop("before", "ties")
-    out = positions(out, [result], "indicator").withColumn("rr", F.col("before") + (F.col("ties") + 1) / 2.0).drop("before", "ties")
-    n = rows.groupBy("indicator").agg(F.count("*").alias("_all"))
-    out = positions(out, ["ts", "value", result], "indicator").join(n, "indicator")
-    equal = Window.partitionBy("indicator", "ts", "value", result).orderBy("rv")  # rows that differ in nothing
-    return out.withColumn("first_half", F.col("before") + F.row_number().over(equal) <= F.floor(F.col("_all") / 2)).drop("before", "ties", "_all")
+    path = f"{shared_folder(rows.sparkSession).rstrip('/')}/ranked-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    rank = lambda c, name: places(rows, [c], "indicator").select("indicator", c, (F.col("before") + (F.col("ties") + 1) / 2.0).alias(name), "ties")
+    # Only rows of the one time that holds the middle need an order within their time.
+    half = F.floor(F.col("_all") / 2)
+    times = places(rows, ["ts"], "indicator").join(rows.groupBy("indicator").agg(F.count("*").alias("_all")), "indicator")
+    dated = join_by_size(rows, times, ["indicator", "ts"], "ties")
+    middle = (F.col("before") < half) & (F.col("before") + F.col("ties") > half)
+    whole = dated.where(~middle).select(*rows.columns, (F.col("before") + F.col("ties") <= half).alias("first_half"))
+    cut = positions(dated.where(middle).withColumnRenamed("before", "_before").drop("ties"), ["value", result], "indicator")
+    equal = Window.partitionBy("indicator", "value", result).orderBy("ts")  # rows that differ in nothing
+    cut = cut.select(*rows.columns, (F.col("_before") + F.col("before") + F.row_number().over(equal) <= half).alias("first_half"))
+    out = join_by_size(whole.unionByName(cut), rank("value", "rv"), ["indicator", "value"], "ties").drop("ties")
+    return out.join(rank(result, "rr").drop("ties"), ["indicator", result])
 
 
 def rank_indicators(rows: DataFrame, least: int = 5) -> DataFrame:

@@ -15,6 +15,7 @@ from barloom.operators import documents as D
 from barloom.operators import evolve as E
 from barloom.operators import simulate as S
 from barloom.operators import temporal as J
+from barloom.operators.trades import ranks_and_halves
 from barloom.sources.journal import Journal, read_bars, read_texts, write_bars
 
 
@@ -243,3 +244,14 @@ def test_rest_of_a_group_is_ranked_in_parts(spark):
     want = [r for k in "abc" for r in sorted((r for r in raw if r[0] == k), key=lambda r: (-r[1], r[2]))[20:]]
     assert sorted(tuple(r) for r in out.select("k", "x", "id").collect()) == sorted(want)
     assert "_part" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranks_read_their_rows_once(spark):
+    raw = [("a", float(i % 5), float(i * 7 % 11), i % 3) for i in range(60)]
+    rows = spark.createDataFrame(raw, "indicator string, value double, result double, ts int").repartition(3)
+    out = ranks_and_halves(rows, "result")
+    order = sorted((r[3], r[1], r[2]) for r in raw)
+    rank = lambda i, x: sum(r[i] < x for r in raw) + (sum(r[i] == x for r in raw) + 1) / 2
+    got = out.collect()
+    assert sorted((r["ts"], r["value"], r["result"]) for r in got if r["first_half"]) == order[:30] and len(got) == 60
+    assert all(r["rv"] == rank(1, r["value"]) and r["rr"] == rank(2, r["result"]) for r in got)
