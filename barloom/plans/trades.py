@@ -300,7 +300,8 @@ def keyed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades upserted under other field names, replaced, deleted and sent again too late, by player and direction."""
     t = trades(spark, sf_dir).select("player", "trade_id", "direction", "entry_price", "net_pnl", "l_linenumber")
     other = t.withColumnsRenamed({"direction": "side", "entry_price": "price", "net_pnl": "pnl"})
-    store = KeyedStore(spark, "trade_id string, direction string, entry_price double, net_pnl double, player long", "player", ["trade_id"])
+    buckets = max(8, -(-table(spark, sf_dir, "lineitem").count() // 1_000_000))  # a bucket is sorted in one task
+    store = KeyedStore(spark, "trade_id string, direction string, entry_price double, net_pnl double, player long", "player", ["trade_id"], buckets)
     store.upsert(other, 1, TRADE_ALIASES)
     store.upsert(t.where("l_linenumber = 1").withColumn("net_pnl", F.col("net_pnl") * 2), 2, TRADE_ALIASES)
     store.delete(t.where("l_linenumber = 2 AND player < 3").select("player", "trade_id"), 3)

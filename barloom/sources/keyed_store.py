@@ -32,9 +32,9 @@ def canonical(rows: DataFrame, fields: T.StructType, aliases: dict[str, list[str
 class KeyedStore:
     """The newest row of each key, in a table partitioned by one column and bucketed by the others of the key.
 
-    A key is ``part`` and ``keys``, none of them null.  ``upsert`` shuffles the batch alone: the
-    table's rows lie in the buckets of the join already, only the partitions that
-    the batch names are read, and dynamic partition overwrite replaces only these.
+    A key is ``part`` and ``keys``, none of them null.  ``upsert`` shuffles the batch alone, and
+    once: it is dealt out as the table's buckets are.  Only the partitions that the batch
+    names are read, and dynamic partition overwrite replaces those of them in which a row of it counts.
     """
 
     def __init__(self, spark: SparkSession, schema: str, part: str, keys: list[str], buckets: int = 8, path: str | None = None) -> None:
@@ -45,7 +45,7 @@ class KeyedStore:
         self.path = path or f"{shared_folder(spark).rstrip('/')}/{self.name}"
         stored = T.StructType([*self.fields.fields[:-1], T.StructField("version", T.LongType()), T.StructField("deleted", T.BooleanType()), self.fields.fields[-1]])
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored)
-        spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet PARTITIONED BY (`{part}`) CLUSTERED BY ({', '.join(f'`{k}`' for k in keys)}) INTO {buckets} BUCKETS LOCATION '{self.path}'")
+        spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet PARTITIONED BY (`{part}`) CLUSTERED BY ({', '.join(f'`{k}`' for k in keys)}) INTO {buckets} BUCKETS LOCATION '{self.path}' OPTIONS (compression 'zstd')")
         self.stored = stored
 
     def upsert(self, rows: DataFrame, version: int, aliases: dict[str, list[str]] | None = None, defaults: dict[str, object] | None = None, deleted: bool = False) -> None:
@@ -56,20 +56,27 @@ class KeyedStore:
         given = canonical(rows, self.fields, aliases or {}, defaults).withColumns({"version": F.lit(version).cast("long"), "deleted": F.lit(deleted)})
         key = [self.part, *self.keys]
         rest = [f.name for f in self.stored if f.name not in key]
-        fresh = given.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_new"))
-        fresh = fresh.checkpoint()
-        parts = [r[0] for r in fresh.select(self.part).distinct().collect()]  # partitions of the table, as many as folders
-        if not parts:
-            return
-        held = self.spark.table(self.name).where(F.col(self.part).isin(parts)).select(*key, F.struct(*rest).alias("_old"))
-        newest = F.when(F.col("_new").isNull() | (F.col("_old.version") > F.col("_new.version")), F.col("_old")).otherwise(F.col("_new"))
-        both = held.join(fresh.hint("shuffle_merge"), key, "full").select(*key, newest.alias("x")).select(*key, "x.*").select(*self.stored.names)
-        before = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+        fresh = given.repartition(self.buckets, *self.keys).groupBy(*key).agg(F.max(F.struct(*rest)).alias("_new"))
+        table = self.spark.table(self.name)
+        named = lambda rows: [r[0] for r in rows.select(self.part).distinct().collect()]  # noqa: E731  partitions of the table, as many as folders
+        # Buckets by ``keys`` serve a join by ``key``; a checkpoint of an adaptive plan would forget how its rows are dealt out.
+        conf = {"spark.sql.sources.partitionOverwriteMode": "dynamic", "spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.enabled": "false"}
+        before = {k: self.spark.conf.get(k) for k in conf}
         try:
-            self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+            for k, v in conf.items():
+                self.spark.conf.set(k, v)
+            fresh = fresh.checkpoint()
+            late = table.where(F.col(self.part).isin(named(fresh)) & (F.col("version") > version)).select(*key)
+            parts = named(fresh.hint("shuffle_merge").join(late, key, "left_anti"))
+            if not parts:
+                return
+            held = table.where(F.col(self.part).isin(parts)).select(*key, F.struct(*rest).alias("_old"))
+            newest = F.when(F.col("_new").isNull() | (F.col("_old.version") > F.col("_new.version")), F.col("_old")).otherwise(F.col("_new"))
+            both = held.join(fresh.where(F.col(self.part).isin(parts)).hint("shuffle_merge"), key, "full").select(*key, newest.alias("x")).select(*key, "x.*").select(*self.stored.names)
             both.write.insertInto(self.name, overwrite=True)
         finally:
-            self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
 
     def delete(self, keys: DataFrame, version: int) -> None:
         """Rows of these keys are gone until a later version of them comes."""

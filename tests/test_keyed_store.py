@@ -71,3 +71,27 @@ def test_only_touched_partitions_are_rewritten(spark, store):
     assert store.read().where("direction = 'LONG'").count() == 1 and store.read().count() == 90
     store.upsert(spark.createDataFrame([], "trade_id long, player long"), 3)
     assert store.read().count() == 90
+
+
+def test_the_table_does_not_move_and_late_batches_write_nothing(spark, store):
+    rows = spark.range(2000).select(F.col("id").alias("trade_id"), (F.col("id") % 3).alias("player"), F.lit("S").alias("side"))
+    folder = store.path.removeprefix("file:")
+    files = lambda: sorted((p, f) for p, _, fs in os.walk(folder) for f in fs)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store.upsert(rows, 2, TRADE_ALIASES)
+        store.upsert(rows.where("trade_id < 900"), 3, TRADE_ALIASES)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    done = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [done.apply(i).physicalPlanDescription() for i in range(done.size())]
+    written = [p for p in plans if "InsertIntoHadoopFsRelation" in p and store.name in p]
+    assert len(written) == 2 and not any("Exchange" in p for p in written)
+    held = files()
+    store.upsert(rows.withColumn("side", F.lit("L")), 1, TRADE_ALIASES)
+    assert files() == held and store.read().where("direction = 'S'").count() == 2000
+    store.upsert(rows.where("player = 1").union(spark.createDataFrame([(5000, 2, "L")], "trade_id long, player long, side string")), 1, TRADE_ALIASES)
+    changed = {p for p, _ in set(files()) ^ set(held)}
+    assert any(p.endswith("player=2") for p in changed) and not any(p.endswith(("player=0", "player=1")) for p in changed)
+    assert store.read().count() == 2001
