@@ -69,8 +69,8 @@ CHANGES = """old AS (SELECT doc_id, md5(coalesce(text, '')) AS hash FROM documen
         FROM old o FULL JOIN now n ON o.doc_id = n.doc_id)"""
 
 
-def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+def _versions(spark: SparkSession, sf_dir: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", *more)
     changed = F.when(F.col("doc_id") % 11 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text"))
     return docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 7 <> 0").withColumn("text", changed)
 
@@ -135,14 +135,13 @@ INGEST = f"""{CHANGES}, held AS (SELECT n.doc_id, d.source, n.text FROM now n JO
 
 def _ingested(spark: SparkSession, sf_dir: str) -> Ingest:
     """First most documents, then the changed and new ones with all that did not change, then deletions; the second batch is taken twice."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    old, now = _versions(spark, sf_dir)
-    sources = docs.select("doc_id", "source")
-    changes = lambda d, gone: d.join(sources, "doc_id").select("doc_id", "source", "text", F.lit(gone).alias("deleted"))
+    old, now = _versions(spark, sf_dir, "source")
+    gone = table(spark, sf_dir, "documents").where("doc_id % 7 = 0").withColumn("text", F.lit(None).cast("string"))
+    changes = lambda d, gone: d.select("doc_id", "source", "text", F.lit(gone).alias("deleted"))
     ingest = Ingest(spark, f"{shared_folder(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}", word_windows(200, 150))
     folder = f"{ingest.path}-in"
-    for i, part in enumerate((changes(old, False), changes(now, False), changes(docs.where("doc_id % 7 = 0").select("doc_id", "text"), True))):
-        part.write.parquet(f"{folder}/{i}")
+    for i, part in enumerate((changes(old, False), changes(now, False), changes(gone, True))):
+        part.write.option("compression", "zstd").parquet(f"{folder}/{i}")
         ingest.run(changes_stream(spark, f"{folder}/*"))
         if i == 1:
             ingest.apply(spark.read.schema(CHANGES_OF_STREAM).parquet(f"{folder}/{i}"), i)

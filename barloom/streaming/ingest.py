@@ -13,11 +13,13 @@ from pyspark.sql import types as T
 CHANGES = "doc_id long, source string, text string, deleted boolean"
 DOCS = "doc_id long, source string, hash string, n_chunks long, status string, batch long"
 ERRORS = "doc_id long, source string, reason string, batch long"
+#: Up to so many ids of documents with different changes in one batch are broadcast.
+SEVERAL = 500_000
 
 
 @dataclass
 class Ingest:
-    """The tables of an ingest below one folder: docs (a log of what each batch changed), chunks, errors.
+    """The tables of an ingest below one folder: docs (a log of what each batch changed), chunks, errors; given and changed are steps of a batch, without texts.
 
     Every batch writes folders of its own number and replaces them when it is run
     again, and what it does follows from earlier batches alone: so a replay after a failure
@@ -68,19 +70,34 @@ class Ingest:
         empty = ~gone & ~F.coalesce("text", F.lit("")).rlike(r"[^ \t\n\x0b\f\r]")
         reason = F.when(F.col("doc_id").isNull(), "no id").when(empty, "no text")
         batch = batch.withColumn("reason", reason)
-        batch.where("reason IS NOT NULL").select("doc_id", "source", "reason").write.mode("overwrite").parquet(f"{self.path}/errors/batch={number}")
-        order = F.struct(gone.alias("gone"), F.col("text"), F.col("source"))
-        given = batch.where("reason IS NULL").groupBy("doc_id").agg(F.max(order).alias("x")).select("doc_id", "x.*").withColumn("hash", F.when(~F.col("gone"), F.md5("text")))
+        self._write(batch.where("reason IS NOT NULL").select("doc_id", "source", "reason"), "errors", number)
+        given = batch.where("reason IS NULL").select("doc_id", gone.alias("gone"), "text", "source", F.md5("text").alias("hash"))
+        # Texts stay where they are as long as their MD5 decides; where a document has different changes, the texts themselves do.
+        order = F.struct("gone", "hash", "source")
+        self._write(given.groupBy("doc_id").agg(F.max(order).alias("x"), (~F.min(order).eqNullSafe(F.max(order))).alias("several")).select("doc_id", "x.*", "several"), "given", number)
+        first = self.spark.read.schema("doc_id long, gone boolean, hash string, source string, several boolean").parquet(f"{self.path}/given/batch={number}")
+        several = first.where("several").select("doc_id")
+        n_several = several.count()
+        latest = first.where("NOT several").select("doc_id", "gone", "hash", "source")
+        if n_several:
+            several = F.broadcast(several) if n_several <= SEVERAL else several
+            largest = given.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("gone", "text", "source")).alias("x"))
+            latest = latest.unionByName(largest.select("doc_id", "x.gone", F.md5("x.text").alias("hash"), "x.source"))
+        latest = latest.withColumn("hash", F.when(~F.col("gone"), F.col("hash")))
         known = self.documents(number).select("doc_id", F.col("hash").alias("known"))
         status = F.when(F.col("gone"), F.when(F.col("known").isNotNull(), "deleted")).when(F.col("known").isNull(), "new").when(F.col("known") != F.col("hash"), "modified")
-        changed = given.join(known, "doc_id", "left").withColumn("status", status).where("status IS NOT NULL")
-        pieces = self.chunker(changed.where("status <> 'deleted'").select("doc_id", "text"))
-        pieces.write.mode("overwrite").parquet(f"{self.path}/chunks/batch={number}")
+        self._write(latest.join(known, "doc_id", "left").withColumn("status", status).where("status IS NOT NULL").select("doc_id", "source", "hash", "status"), "changed", number)
+        changed = self.spark.read.schema("doc_id long, source string, hash string, status string").parquet(f"{self.path}/changed/batch={number}")
+        by = ["doc_id", "hash"]
+        texts = given.where("NOT gone").select(*by, "text").join(changed.where("status <> 'deleted'").select(*by), by, "left_semi").groupBy(*by).agg(F.max("text").alias("text"))
+        self._write(self.chunker(texts.select("doc_id", "text")), "chunks", number)
         schema = T.StructType.fromDDL(self.chunk_schema)
         counts = self.spark.read.schema(schema).parquet(f"{self.path}/chunks/batch={number}").groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
         # The log comes last: without it the batch has not been.
-        changed.join(counts, "doc_id", "left").select("doc_id", "source", "hash", F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"), "status").write.mode(
-            "overwrite").parquet(f"{self.path}/docs/batch={number}")
+        self._write(changed.join(counts, "doc_id", "left").select("doc_id", "source", "hash", F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"), "status"), "docs", number)
+
+    def _write(self, rows: DataFrame, name: str, number: int) -> None:
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}/batch={number}")
 
     def run(self, changes: DataFrame) -> None:
         """Take what a stream of CHANGES has now; a later call goes on where this one stopped."""

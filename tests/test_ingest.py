@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 
@@ -67,3 +68,40 @@ def test_a_batch_that_failed_is_run_again(spark, tmp_path):
 
 def test_nothing_yet(ingest):
     assert ingest.documents().count() == ingest.chunks().count() == ingest.totals().count() == 0
+
+
+def shuffled(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_are_shuffled_once(spark, ingest):
+    rng = random.Random(3)
+    rows = [(i, "a", rng.randbytes(2000).hex(), False) for i in range(300)]
+    frame = spark.createDataFrame(rows, CHANGES)
+    before = shuffled(spark)
+    ingest.apply(frame, 0)
+    assert shuffled(spark) - before < 1.5 * sum(len(r[2]) for r in rows)
+    assert ingest.documents().count() == 300
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_different_changes_of_one_document(spark, ingest, monkeypatch, most):
+    monkeypatch.setattr("barloom.streaming.ingest.SEVERAL", most, raising=False)
+    rng = random.Random(most)
+    rows = [(rng.randrange(40), rng.choice("ab"), rng.choice([None, "", "x y z", "x", "w w w", "zz"]), rng.choice([None, False, False, True])) for _ in range(200)]
+    rows += [(50, "a", "same text", False)] * 3 + [(51, "a", None, True), (51, "b", None, True)]
+    taken = [r for r in rows if r[3] or (r[2] or "").strip()]
+    first = [(i, "old", "x", False) for i in range(60)]
+    ingest.apply(spark.createDataFrame(first, CHANGES), 0)
+    ingest.apply(spark.createDataFrame(rows, CHANGES), 1)
+    want = {i: ("old", md5("x")) for i in range(60)}
+    for i in {r[0] for r in taken}:
+        gone, _, text, source = max((bool(r[3]), r[2] is not None, r[2] or "", r[1]) for r in taken if r[0] == i)
+        if gone:
+            del want[i]
+        elif md5(text) != md5("x"):
+            want[i] = (source, md5(text))
+    assert {r["doc_id"]: (r["source"], r["hash"]) for r in ingest.documents().collect()} == want
+    assert {r["doc_id"] for r in ingest.chunks().collect()} == set(want) and ingest.chunks().where("doc_id = 50").count() == 1
