@@ -16,25 +16,21 @@ HOT = 1000
 
 
 def earlier(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the number of earlier smaller and of earlier equal values: halves are merged by value, level by level."""
+    """For each place the number of earlier smaller and of earlier equal values: values are split by the bits of their ranks, the highest first."""
     n = len(values)
-    _, code = np.unique(values, return_inverse=True)
-    below, equal = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    at = np.arange(n)
-    width = 1
-    while width < n:
-        pair, right = at // (2 * width), (at // width) % 2 == 1
-        order = np.lexsort((right, code, pair))
-        left = np.concatenate([[0], np.cumsum(~right[order])])
-        p, c = pair[order], code[order]
-        new_pair = np.concatenate([[True], p[1:] != p[:-1]])
-        new_code = new_pair | np.concatenate([[True], c[1:] != c[:-1]])
-        from_pair = left[np.maximum.accumulate(np.where(new_pair, at, 0))]
-        from_code = left[np.maximum.accumulate(np.where(new_code, at, 0))]
-        side = right[order]
-        below[order[side]] += (from_code - from_pair)[side]
-        equal[order[side]] += (left[:-1] - from_code)[side]
-        width *= 2
+    at, below, equal = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if not n:
+        return below, equal
+    code = np.unique(values, return_inverse=True)[1]
+    since = lambda x: at - np.maximum.accumulate(np.where(np.concatenate([[True], x[1:] != x[:-1]]), at, 0))
+    order = at  # by the higher bits, then by place
+    for bit in reversed(range(int(code.max()).bit_length())):
+        high = code[order] >> bit
+        one = high % 2
+        zeros = np.concatenate([[0], np.cumsum(1 - one)])
+        below[order] += one * (zeros[:-1] - zeros[at - since(high >> 1)])
+        order = order[np.argsort(high, kind="stable")]
+    equal[order] = since(code[order])
     return below, equal
 
 
@@ -58,7 +54,8 @@ def _level(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     hold comes from running sums of a small table, what lies within one from
     numpy, and both give the place in the part as well.
     """
-    lower = F.aggregate("cuts", F.lit(0), lambda n, c: n + (c < F.col("value")).cast("int"))
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(CUTS.bit_length()))))  # cuts are in order: the lower ones are counted by halving
+    lower = F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.get("cuts", n + step - 1) < F.col("value"), step).otherwise(0))
     rows = _held(_cut(rows, sizes).select("node", "at", "pos", "value", "below", "equal", F.floor(F.col("pos") / CHUNK).alias("stretch"),
                                           (2 * lower + F.array_contains("cuts", F.col("value")).cast("int")).alias("sub")))
     by = ["node", "stretch"]

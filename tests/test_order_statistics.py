@@ -43,3 +43,15 @@ def test_all_earlier_rows(spark, monkeypatch, cuts, chunk, leaf, hot):
 
 def test_empty(spark):
     assert O.earlier_counts(spark.createDataFrame([], "symbol string, ts int, v double"), "v", ["symbol"], ["ts"]).count() == 0
+
+
+@pytest.mark.parametrize("cuts", [3, 5])
+def test_values_on_and_beside_cuts(spark, monkeypatch, cuts):
+    """Fewer distinct values than cuts, numbers of cuts that are no powers of two, zeros of both signs, infinities."""
+    for name, n in zip(("CUTS", "CHUNK", "LEAF"), (cuts, 8, 4)):
+        monkeypatch.setattr(O, name, n)
+    values = [0.0, -0.0, float("inf"), float("-inf"), 1.5, -1.5, 2.0]
+    rows = [(k, i, values[(i * 5 + i // 7) % n]) for k, n in (("a", 2), ("b", 4), ("c", 7)) for i in range(60)]
+    got = O.earlier_counts(spark.createDataFrame(rows, "symbol string, ts int, v double"), "v", ["symbol"], ["ts"]).collect()
+    shown = lambda r: (r[0], r[1], *r[3:])
+    assert sorted(shown(tuple(r[c] for c in ("symbol", "ts", "v", "n_before", "below", "equal"))) for r in got) == sorted(map(shown, plain(rows)))
