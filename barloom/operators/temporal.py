@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Spans in one row of an interval join.
+PACK = 256
+
 
 def asof_join(left: DataFrame, right: DataFrame, on: list[str], at: str, value: str, forward: bool = False, strict: bool = False) -> DataFrame:
     """Adds to each left row the ``value`` of the closest right row at or before it (at or after with ``forward``).
@@ -30,24 +33,37 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], at: str, value:
 def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, hours: int = 24) -> DataFrame:
     """Pairs of a point and each span with start <= at <= end.
 
-    Spans are filed under every bucket that they touch, so this is an equi-join
-    on buckets whose size follows the data and not the square of it.  Buckets
-    come in sizes of ``hours`` times powers of eight, and a span takes the
-    smallest size of which it touches at most nine: a long span is not copied
-    into thousands.  A point is looked up once in each size that spans have.
+    Spans are packed first: neighbours by start, at most ``PACK`` of them, become
+    one row.  Packs are filed under every bucket that they touch, so this is an
+    equi-join on buckets whose size follows the data and not the square of it.
+    Buckets come in sizes of ``hours`` times powers of eight, and a span takes the
+    smallest size of which it, and so its pack, touches at most nine: a long span
+    is not copied into thousands.  A point is looked up once in each size that
+    spans have.
+
+    The pairs are as many as they are; each is made when it leaves.  A pack goes
+    past the points of a bucket, so most of a file is one list of spans again
+    and again, which its encoding holds in little space.
     """
     unit, base = hours * 3_600_000_000, 8
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     levels = 12  # eight to the twelfth hours exceed the range of timestamps
     width = lambda level: F.lit(unit) * F.pow(F.lit(base), level).cast("long")
+    bucket = lambda c: F.floor(micros(c) / width(F.col("_l"))).cast("long")
     length = (micros(end) - micros(start)) / unit
     level = F.greatest(F.lit(0), F.ceil(F.log(float(base), F.greatest(length / base, F.lit(1.0)))).cast("int"))
-    filed = spans.where(F.col(start) <= F.col(end)).withColumn("_l", F.least(level, F.lit(levels)))
-    filed = filed.withColumn("_b", F.explode(F.sequence(F.floor(micros(start) / width(F.col("_l"))).cast("long"), F.floor(micros(end) / width(F.col("_l"))).cast("long"))))
-    used = [r[0] for r in filed.select("_l").distinct().collect()]  # at most levels + 1 numbers
-    looked = points.withColumn("_l", F.explode(F.array(*map(F.lit, used)) if used else F.array().cast("array<int>")))
-    found = looked.withColumn("_b", F.floor(micros(at) / width(F.col("_l"))).cast("long")).join(filed, ["_l", "_b"])
-    return found.where(F.col(at).between(F.col(start), F.col(end))).drop("_l", "_b")
+    sized = spans.where(F.col(start) <= F.col(end)).withColumn("_l", F.least(level, F.lit(levels)))
+    used = [r[0] for r in sized.select("_l").distinct().collect()]  # at most levels + 1 numbers
+    place = F.row_number().over(Window.partitionBy("_l", "_b").orderBy(start)) - 1
+    packed = sized.withColumn("_b", bucket(start)).withColumn("_n", F.floor(place / PACK)).groupBy("_l", "_b", "_n").agg(
+        F.collect_list(F.struct(*spans.columns)).alias("_pack"), F.min(start).alias("_from"), F.max(end).alias("_to"))
+    filed = packed.withColumn("_b", F.explode(F.sequence(bucket("_from"), bucket("_to"))))
+    looked = points.withColumn("_l", F.explode(F.array(*map(F.lit, used)) if used else F.array().cast("array<int>"))).withColumn("_b", bucket(at))
+    # A fixed number of partitions: joined by the size of what is shuffled, all pairs would leave from one or two tasks.
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = filed.repartition(parts, "_l", "_b").join(looked.repartition(parts, "_l", "_b"), ["_l", "_b"]).where(F.col(at).between(F.col("_from"), F.col("_to")))
+    pairs = found.select(*points.columns, F.explode("_pack").alias("_span")).select(*points.columns, "_span.*")
+    return pairs.where(F.col(at).between(F.col(start), F.col(end)))
 
 
 def merged_spans(spans: DataFrame, start: str, end: str, *keys: str, hours: int = 1) -> DataFrame:

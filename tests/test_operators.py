@@ -236,6 +236,26 @@ def test_merged_spans(spark):
         assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_interval_join_leaves_in_packs(spark, monkeypatch, tmp_path):
+    """All pairs are found whatever the size of packs, and dense ones take little space where they are written."""
+    rng = np.random.default_rng(9)
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=int(m))
+    raw = [(i, int(a), int(a) + int(b)) for i, (a, b) in enumerate(zip(rng.integers(0, 90_000, 300), 10 ** rng.uniform(-1, 5, 300) - 1))]
+    spans = spark.createDataFrame([(i, at(a), at(b), {"a": i}) for i, a, b in raw], "s int, a timestamp_ntz, b timestamp_ntz, m map<string,int>")
+    points = spark.createDataFrame([(m, at(m)) for m in range(0, 90_000, 500)] + [(-1, None)], "p int, at timestamp_ntz")
+    want = sorted((m, i) for m in range(0, 90_000, 500) for i, a, b in raw if a <= m <= b)
+    for size in (1, 7, 256):
+        monkeypatch.setattr(J, "PACK", size)
+        got = J.interval_join(points, spans, "at", "a", "b", 1)
+        assert got.columns == ["p", "at", "s", "a", "b", "m"]
+        assert sorted((r["p"], r["s"]) for r in got.collect()) == want
+    some = spark.range(8000).select("id", F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, pmod(xxhash64(id), 86400))").alias("at"))
+    long = some.select(F.col("id").alias("s"), F.col("at").alias("a"), F.expr("at + INTERVAL 6 HOURS").alias("b"))
+    J.interval_join(some.limit(1000), long, "at", "a", "b", 6).select("id", "s").write.parquet(str(tmp_path / "pairs"))
+    n = spark.read.parquet(str(tmp_path / "pairs")).count()
+    assert n > 1_000_000 and sum(p.stat().st_size for p in tmp_path.rglob("*.parquet") if p.is_file()) < 0.5 * n
+
+
 def test_rest_of_a_group_is_ranked_in_parts(spark):
     rng = np.random.default_rng(8)
     raw = [("ab"[int(i == 7)], float(x), f"t{i % 40}") for i, x in enumerate(rng.integers(0, 30, 300))] + [("c", 1.0, "same")] * 50
