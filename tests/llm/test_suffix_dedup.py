@@ -55,6 +55,26 @@ def test_suffix_array():
         assert place[order].tolist() == list(range(n))
 
 
+@pytest.mark.parametrize("depth", [8, 12, 16, 21, 64])
+def test_suffix_array_to_a_depth(depth):
+    """Suffixes of segments have one place if their first bytes are the same, and no comparison goes deeper."""
+    rng = np.random.default_rng(depth)
+    parts = [rng.integers(97, 99, n).astype(np.uint8).tobytes() for n in rng.integers(0, 80, 30)] + [b"a" * 200, b"a" * 150, b"ab" * 70]
+    text = np.frombuffer(b"".join(p + b"\xff" for p in parts), np.uint8)
+    ends = np.concatenate([np.full(len(p) + 1, len(p)) for p in parts]) + np.repeat(np.cumsum([0, *(len(p) + 1 for p in parts[:-1])]), [len(p) + 1 for p in parts])
+    order, place = suffix_array(text, ends, depth)
+    assert sorted(order.tolist()) == list(range(len(text)))
+    whole = [i for i in order.tolist() if ends[i] - i >= depth]
+    heads = [text[i: i + depth].tobytes() for i in whole]
+    assert heads == sorted(heads)
+    groups = {}
+    for i, head in zip(whole, heads):
+        groups.setdefault(head, set()).add(int(place[i]))
+    assert all(len(g) == 1 for g in groups.values())
+    assert len(set.union(*groups.values())) == len(groups)
+    assert len(groups) < len(whole)
+
+
 @pytest.mark.parametrize("seed,limits", [(1, {}), (2, {"SEGMENTS": 2}), (3, {"SEGMENTS": 2, "SHARD": 512, "PIECE": 512}), (4, {"HOT": 2}), (5, {"PIECE": 300, "SEGMENTS": 3})])
 def test_passages(spark, monkeypatch, seed, limits):
     for k, v in limits.items():
@@ -73,6 +93,17 @@ def test_spans_and_columns(spark):
     assert found == {1: ("k", [(0, 400)], b""), 2: ("k", [(2, 402)], "Ä".encode()), 3: ("k", [], b"s" * 400)}
 
 
+def test_what_is_kept_is_counted_in_characters(spark):
+    """A text left alone keeps its n_chars, whatever its letters; passages below 400 bytes stay."""
+    passage = " ".join(f"wör{i}" for i in range(52))
+    clean = " ".join(f"Äé€😀{i}" for i in range(60))
+    assert len(passage.encode()) < 400 < len(clean.encode())
+    texts = [(1, clean), (2, "x" * 400 + "ß"), (3, "x" * 400), (4, None), (5, "one " + passage), (6, passage + " two"), (7, "q" * 399 + "€"), (8, "q" * 399 + "₭")]
+    got = {r["doc_id"]: (r["n_removed"], r["n_kept"], r["kept_text"]) for r in suffix_report(documents(spark, texts)).collect()}
+    assert got == {1: (0, len(clean), clean), 2: (400, 1, "ß"), 3: (400, 0, ""), 4: (0, 0, ""), 5: (0, len(texts[4][1]), texts[4][1]),
+                   6: (0, len(texts[5][1]), texts[5][1]), 7: (401, 1, "\ufffd"), 8: (401, 1, "\ufffd")}
+
+
 def test_whole_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     texts = [tuple(r) for r in docs.select("doc_id", "text").collect()]
