@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Spans in one row of an interval join.
-PACK = 256
+#: Spans and points in one row of an interval join, and copies of the spans where few buckets hold them all.
+PACK, POINTS, COPIES = 256, 32, 4
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: list[str], at: str, value: str, forward: bool = False, strict: bool = False) -> DataFrame:
@@ -38,12 +38,14 @@ def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, end:
     equi-join on buckets whose size follows the data and not the square of it.
     Buckets come in sizes of ``hours`` times powers of eight, and a span takes the
     smallest size of which it, and so its pack, touches at most nine: a long span
-    is not copied into thousands.  A point is looked up once in each size that
-    spans have.
-
-    The pairs are as many as they are; each is made when it leaves.  A pack goes
-    past the points of a bucket, so most of a file is one list of spans again
-    and again, which its encoding holds in little space.
+    is not copied into thousands.  Points are packed too, at most ``POINTS``
+    neighbours, and a pack is looked up once in each size that spans have.
+
+    The pairs are as many as they are; each is made when it leaves, so rows that
+    meet are packs and a pair costs no lookup.  Most of a file is one list of
+    spans again and again, which its encoding holds in little space.  Where all
+    spans start in few buckets, the packs of points of a bucket are dealt to
+    ``COPIES`` copies of its spans, so that a bucket is not one task.
     """
     unit, base = hours * 3_600_000_000, 8
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
@@ -52,17 +54,29 @@ def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, end:
     bucket = lambda c: F.floor(micros(c) / width(F.col("_l"))).cast("long")
     length = (micros(end) - micros(start)) / unit
     level = F.greatest(F.lit(0), F.ceil(F.log(float(base), F.greatest(length / base, F.lit(1.0)))).cast("int"))
-    sized = spans.where(F.col(start) <= F.col(end)).withColumn("_l", F.least(level, F.lit(levels)))
-    used = [r[0] for r in sized.select("_l").distinct().collect()]  # at most levels + 1 numbers
-    place = F.row_number().over(Window.partitionBy("_l", "_b").orderBy(start)) - 1
-    packed = sized.withColumn("_b", bucket(start)).withColumn("_n", F.floor(place / PACK)).groupBy("_l", "_b", "_n").agg(
-        F.collect_list(F.struct(*spans.columns)).alias("_pack"), F.min(start).alias("_from"), F.max(end).alias("_to"))
-    filed = packed.withColumn("_b", F.explode(F.sequence(bucket("_from"), bucket("_to"))))
-    looked = points.withColumn("_l", F.explode(F.array(*map(F.lit, used)) if used else F.array().cast("array<int>"))).withColumn("_b", bucket(at))
+    sized = spans.where(F.col(start) <= F.col(end)).withColumn("_l", F.least(level, F.lit(levels))).withColumn("_b", bucket(start))
+    used = {r["_l"]: r["n"] for r in sized.groupBy("_l").agg(F.approx_count_distinct("_b").alias("n")).collect()}  # at most levels + 1 rows
     # A fixed number of partitions: joined by the size of what is shuffled, all pairs would leave from one or two tasks.
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = filed.repartition(parts, "_l", "_b").join(looked.repartition(parts, "_l", "_b"), ["_l", "_b"]).where(F.col(at).between(F.col("_from"), F.col("_to")))
-    pairs = found.select(*points.columns, F.explode("_pack").alias("_span")).select(*points.columns, "_span.*")
+    session = points.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    copies = COPIES if sum(used.values()) < COPIES * parts else 1
+
+    def packs(rows: DataFrame, at: str, to: str, size: int, name: str) -> DataFrame:
+        """(_l, _b, name, name_from, name_to): at most ``size`` neighbours by ``at`` in a row."""
+        place = F.row_number().over(Window.partitionBy("_l", "_b").orderBy(at)) - 1
+        columns = [c for c in rows.columns if c not in ("_l", "_b")]
+        return rows.withColumn("_n", F.floor(place / size)).groupBy("_l", "_b", "_n").agg(
+            F.collect_list(F.struct(*columns)).alias(name), F.min(at).alias(f"{name}_from"), F.max(to).alias(f"{name}_to"))
+
+    filed = packs(sized, start, end, PACK, "_spans").withColumn("_b", F.explode(F.sequence(bucket("_spans_from"), bucket("_spans_to"))))
+    filed = filed.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    # The smallest buckets lie within larger ones, so a pack has one bucket of each size.
+    near = packs(points.where(F.col(at).isNotNull()).withColumn("_l", F.lit(0)).withColumn("_b", bucket(at)), at, at, POINTS, "_points")
+    looked = near.withColumn("_l", F.explode(F.array(*map(F.lit, used)) if used else F.array().cast("array<int>"))).withColumn("_b", bucket("_points_from"))
+    looked = looked.withColumn("_copy", F.pmod("_n", F.lit(copies)).cast("int"))
+    met, keys = F.col("_spans_from") <= F.col("_points_to"), ["_l", "_b", "_copy"]
+    found = filed.drop("_n").repartition(parts, *keys).join(looked.drop("_n").repartition(parts, *keys), keys).where(met & (F.col("_points_from") <= F.col("_spans_to")))
+    pairs = found.select(F.explode("_points").alias("_point"), "_spans").select("_point.*", F.inline("_spans"))
     return pairs.where(F.col(at).between(F.col(start), F.col(end)))
 
 

@@ -256,6 +256,18 @@ def test_interval_join_leaves_in_packs(spark, monkeypatch, tmp_path):
     assert n > 1_000_000 and sum(p.stat().st_size for p in tmp_path.rglob("*.parquet") if p.is_file()) < 0.5 * n
 
 
+def test_interval_join_deals_out_a_bucket(spark):
+    """Points and spans of one hour leave from several tasks, and what meets are packs on both sides."""
+    at = lambda c, n: F.expr(f"timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, {c} % {n})")
+    points = spark.range(2000).select("id", at("id", 3000).alias("at"))
+    spans = spark.range(1000).select(F.col("id").alias("s"), at("id", 900).alias("a")).withColumn("b", F.expr("a + INTERVAL 10 MINUTES"))
+    got = J.interval_join(points, spans, "at", "a", "b", 6).withColumn("task", F.spark_partition_id())
+    by_task = {r["task"]: r["count"] for r in got.groupBy("task").count().collect()}
+    assert sum(by_task.values()) == sum(s % 900 <= p <= s % 900 + 600 for p in range(2000) for s in range(1000))
+    assert len(by_task) > 1 and max(by_task.values()) < 0.7 * sum(by_task.values())
+    assert got.count() == got.select("id", "s").distinct().count()
+
+
 def test_rest_of_a_group_is_ranked_in_parts(spark):
     rng = np.random.default_rng(8)
     raw = [("ab"[int(i == 7)], float(x), f"t{i % 40}") for i, x in enumerate(rng.integers(0, 30, 300))] + [("c", 1.0, "same")] * 50
